@@ -91,6 +91,9 @@ SIGNATURES = (
     ("application/x-ole-storage", ((0, "D0CF11E0A1B11AE1"),)),
 )
 
+# The last signature ends well before this many bytes.
+SIGNATURE_BYTES = 512
+
 # Control bytes that text does not use (tab, LF, CR are fine).
 CONTROL_CLASS = r"[\x01-\x08\x0B\x0C\x0E-\x1F\x7F]"
 # After transcoding the C1 controls count as well.
@@ -126,6 +129,11 @@ def probe(content: Column) -> Column:
     return F.substring(content, 1, PROBE_BYTES)
 
 
+def head(content: Column) -> Column:
+    """The start of the payload, long enough for every signature."""
+    return payload(F.substring(content, 1, SIGNATURE_BYTES))
+
+
 def _signature(content: Column, parts: tuple[tuple[int, str], ...]) -> Column:
     test = F.lit(True)
     for offset, value in parts:

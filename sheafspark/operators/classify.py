@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sheafspark.functions import bytes as B
+from sheafspark.session import attach
 
 
 def classify(files: DataFrame, utf8: bool = False) -> DataFrame:
@@ -30,14 +31,10 @@ def classify(files: DataFrame, utf8: bool = False) -> DataFrame:
         F.col("binary_reason") == "Utf16ConversionDisabled", bom
     )
     jis = F.coalesce(bom.isNull() & F.col("binary_reason").isNull() & B.iso2022jp_candidate(content), F.lit(False))
-    return (
-        files.withColumn("bom", B.bom(content))
-        .withColumn("_magic", B.magic_mime(B.payload(B.probe(content))))
-        .withColumn("binary_reason", reason)
-        .withColumn("binary_detail", detail)
-        .withColumn("iso2022jp_candidate", jis)
-        .drop("_magic")
-    )
+    marked = files.withColumn("bom", B.bom(content)).withColumn("_head", B.head(content))
+    marked = marked.withColumn("_magic", B.magic_mime(F.col("_head"))).drop("_head")
+    reasoned = attach(marked, binary_reason=reason)
+    return reasoned.withColumn("binary_detail", detail).withColumn("iso2022jp_candidate", jis).drop("_magic")
 
 
 def file_extension(path: str = "path"):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sheafspark.functions import bytes as B
 from sheafspark.functions.charset import transcode
-from sheafspark.schemas import TRANSCODED
+from sheafspark.session import attach
 
 
 def decode_files(classified: DataFrame, utf8: bool = False) -> DataFrame:
@@ -39,14 +39,16 @@ def decode_files(classified: DataFrame, utf8: bool = False) -> DataFrame:
         df = df.withColumn("_mode", mode)
         df = df.withColumn("_out", transcode(F.when(F.col("_mode").isNotNull(), content), F.col("_mode")))
         out = F.col("_out")
-        implausible = F.coalesce(B.is_implausible(out["text"]), F.lit(False))
-        df = df.withColumn("_implausible", implausible)
+        df = df.withColumn("_implausible", F.coalesce(B.is_implausible(out["text"]), F.lit(False)))
+        df = df.withColumn("_transcoded", out.isNotNull() & ~F.col("_implausible"))
+        implausible, transcoded = F.col("_implausible"), F.col("_transcoded")
+        encoding = F.when(transcoded, out["encoding"])
+        replaced = F.coalesce(F.when(transcoded, out["had_replacements"]), F.lit(False))
+        transcoded_text = out["text"]
     else:
-        df = df.withColumn("_out", F.lit(None).cast(TRANSCODED))
-        df = df.withColumn("_implausible", F.lit(False))
+        implausible, transcoded, replaced = F.lit(False), F.lit(False), F.lit(False)
+        encoding = transcoded_text = F.lit(None).cast("string")
 
-    out, implausible = F.col("_out"), F.col("_implausible")
-    transcoded = out.isNotNull() & ~implausible
     decode_class = (
         F.when(content.isNull(), "error")
         .when(reason.isNotNull() | implausible, "binary")
@@ -56,23 +58,21 @@ def decode_files(classified: DataFrame, utf8: bool = False) -> DataFrame:
     )
     text = (
         F.when(~is_text | implausible, None)
-        .when(transcoded, out["text"])
+        .when(transcoded, transcoded_text)
         .when(valid, raw)
         .otherwise(F.make_valid_utf8(raw))
     )
     # A malformed file without a byte-order mark is lossy without a flag.
-    flagged = F.lit(utf8) & (F.col("decode_class") == "lossy") & F.col("bom").isNotNull()
-    return (
-        df.withColumn("text", text)
-        .withColumn("decode_class", decode_class)
-        .withColumn("source_encoding", F.when(transcoded, out["encoding"]))
-        .withColumn("had_replacements", F.coalesce(F.when(transcoded, out["had_replacements"]), F.lit(False)))
-        .withColumn("utf8_had_replacements", F.coalesce(flagged, F.lit(False)))
-        .withColumn(
-            "binary_reason", F.when(implausible, F.lit("ImplausibleDecodedData")).otherwise(reason)
-        )
-        .drop("_valid", "_mode", "_out", "_implausible")
-    )
+    flagged = F.lit(utf8) & is_text & ~valid & (F.col("bom") == "UTF-8")
+    return attach(
+        df,
+        text=text,
+        decode_class=decode_class,
+        source_encoding=encoding,
+        had_replacements=replaced,
+        utf8_had_replacements=F.coalesce(flagged, F.lit(False)),
+        binary_reason=F.when(implausible, F.lit("ImplausibleDecodedData")).otherwise(reason),
+    ).drop("_valid", "_mode", "_out", "_implausible", "_transcoded")
 
 
 def conversion_report(decoded: DataFrame) -> DataFrame:

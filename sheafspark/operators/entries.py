@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sheafspark.functions import text as L
 from sheafspark.functions import xml as X
+from sheafspark.session import attach
 
 # Diagnostics placed in the entry of a file without text.
 BINARY_COMMENT = "This file is a binary file and not included"
@@ -34,10 +35,9 @@ def build_entries(decoded: DataFrame, line_numbers: bool = False) -> DataFrame:
         .when(F.col("disposition") == "xml_omitted", F.concat(F.lit(OMITTED_COMMENT), bad["code_point"]))
     )
     body = F.when(F.col("disposition") == "text", L.number_lines(text) if line_numbers else text)
+    judged = attach(decoded.withColumn("_bad", X.first_invalid_char(text)), disposition=disposition)
     return (
-        decoded.withColumn("_bad", X.first_invalid_char(text))
-        .withColumn("disposition", disposition)
-        .withColumn("diagnostic", diagnostic)
+        judged.withColumn("diagnostic", diagnostic)
         .withColumn("body", body)
         .withColumn("size", F.when(F.col("disposition") == "read_error", F.lit(0)).otherwise(F.col("size")).cast("bigint"))
         .withColumn("lines", F.coalesce(L.count_lines(F.col("body")), F.lit(0)))

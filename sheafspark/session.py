@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Inputs below this size are cheap to shuffle and often sit in one row group.
 SPREAD_LIMIT_BYTES = 2 * 1024**3
@@ -43,3 +44,15 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     if size > SPREAD_LIMIT_BYTES:
         return df
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism, *keys)
+
+
+def attach(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add or replace columns that are costly, so that each is computed once.
+
+    Catalyst moves a filter on a projected column below the projection and
+    computes the expression a second time there. It does not do so with the
+    output of a generator, so the columns come out of a one-row ``inline``.
+    """
+    kept = [F.col(name) for name in df.columns if name not in columns]
+    row = F.struct(*[value.alias(name) for name, value in columns.items()])
+    return df.select(*kept, F.inline(F.array(row)))
