@@ -28,7 +28,8 @@ def nul_flags(spark, sf):
 
 
 def magic_types(spark, sf):
-    return C.byte_files(spark, sf).select("path", B.magic_mime(B.payload(F.col("content"))).alias("mime"))
+    heads = C.byte_files(spark, sf).select("path", B.head(F.col("content")).alias("head"))
+    return heads.select("path", B.magic_mime("head").alias("mime"))
 
 
 def control_density(spark, sf):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sheafspark.session import spread
@@ -148,35 +148,26 @@ byte_files AS (
 """
 
 
-def _lit(data: bytes) -> Column:
-    return F.lit(bytearray(data))
+_BYTE_CONTENT = r"""
+CASE doc_id % 14
+  WHEN 1 THEN concat(X'EFBBBF', encode(text, 'UTF-8'))
+  WHEN 2 THEN concat(X'FFFE', encode(text, 'UTF-16LE'))
+  WHEN 3 THEN concat(X'FEFF', encode(text, 'UTF-16BE'))
+  WHEN 4 THEN concat(X'4100', encode(text, 'UTF-8'))
+  WHEN 5 THEN concat(X'89504E470D0A1A0A', encode(text, 'UTF-8'))
+  WHEN 6 THEN concat(encode(repeat('x', 8192), 'UTF-8'), X'00', encode(text, 'UTF-8'))
+  WHEN 7 THEN encode(concat(repeat(char(1), octet_length(text)), text), 'UTF-8')
+  WHEN 8 THEN encode(replace(text, char(10), concat(char(13), char(10))), 'UTF-8')
+  WHEN 9 THEN encode(replace(text, char(10), char(13)), 'UTF-8')
+  WHEN 10 THEN encode(concat('a sufficiently long text prefix ', char(11), text), 'UTF-8')
+  WHEN 11 THEN encode(concat(text, ']]>end]]>'), 'UTF-8')
+  WHEN 12 THEN concat(encode(text, 'UTF-8'), X'FF')
+  WHEN 13 THEN X''
+  ELSE encode(text, 'UTF-8') END
+"""
 
 
 def byte_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document in one of 14 byte forms, so that all branches are taken."""
     df = table(spark, sf_dir, "documents", "doc_id")
-    text = F.col("text")
-    e = F.encode(text, "UTF-8")
-    k = F.col("doc_id") % 14
-
-    def enc(value: Column) -> Column:
-        return F.encode(value, "UTF-8")
-
-    content = (
-        F.when(k == 1, F.concat(_lit(b"\xef\xbb\xbf"), e))
-        .when(k == 2, F.concat(_lit(b"\xff\xfe"), F.encode(text, "UTF-16LE")))
-        .when(k == 3, F.concat(_lit(b"\xfe\xff"), F.encode(text, "UTF-16BE")))
-        .when(k == 4, F.concat(_lit(b"A\0"), e))
-        .when(k == 5, F.concat(_lit(b"\x89PNG\r\n\x1a\n"), e))
-        .when(k == 6, F.concat(_lit(b"x" * 8192 + b"\0"), e))
-        .when(k == 7, F.concat(enc(F.repeat(F.lit("\x01"), F.octet_length(text))), e))
-        .when(k == 8, enc(F.replace(text, F.lit("\n"), F.lit("\r\n"))))
-        .when(k == 9, enc(F.replace(text, F.lit("\n"), F.lit("\r"))))
-        .when(k == 10, F.concat(_lit(b"a sufficiently long text prefix \x0b"), e))
-        .when(k == 11, F.concat(e, _lit(b"]]>end]]>")))
-        .when(k == 12, F.concat(e, _lit(b"\xff")))
-        .when(k == 13, _lit(b""))
-        .otherwise(e)
-    )
-    path = F.concat(F.lit("f"), F.col("doc_id").cast("string"), F.lit(".txt"))
-    return from_table(df, F.col("source"), path, content)
+    return from_table(df, F.col("source"), F.expr("concat('f', doc_id, '.txt')"), F.expr(_BYTE_CONTENT))

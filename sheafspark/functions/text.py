@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, with the value computed once rather than at each mention."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def normalize_newlines(text: Column) -> Column:
     """CRLF and lone CR become LF; text without CR is passed on untouched."""
     cr = F.lit("\r")
@@ -23,14 +30,22 @@ def count_lines(text: Column) -> Column:
 
 def split_lines(text: Column) -> Column:
     """Array of logical lines, without the empty piece after a final newline."""
-    return F.slice(F.split(normalize_newlines(text), "\n"), F.lit(1), count_lines(text))
+    pieces = F.split(normalize_newlines(text), "\n")
+    return _let(pieces, lambda p: F.slice(p, F.lit(1), F.size(p) - (F.element_at(p, -1) == "").cast("int")))
 
 
 def number_lines(text: Column) -> Column:
     """Each line behind its right-aligned number and two spaces; ends in LF."""
-    width = F.length(count_lines(text).cast("string"))
-    numbered = F.transform(
-        split_lines(text),
-        lambda line, i: F.concat(F.lpad((i + 1).cast("string"), width, F.lit(" ")), F.lit("  "), line),
+    lines = split_lines(text)
+
+    def number(s: Column) -> Column:
+        numbered = F.transform(
+            s["lines"],
+            lambda line, i: F.concat(F.lpad((i + 1).cast("string"), s["width"], F.lit(" ")), F.lit("  "), line),
+        )
+        return F.concat(F.array_join(numbered, "\n"), F.lit("\n"))
+
+    with_width = _let(
+        lines, lambda a: F.struct(a.alias("lines"), F.length(F.size(a).cast("string")).alias("width"))
     )
-    return F.when(text == "", text).otherwise(F.concat(F.array_join(numbered, "\n"), F.lit("\n")))
+    return F.when(text == "", text).otherwise(_let(with_width, number))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sheafspark.functions import bytes as B
@@ -10,34 +10,36 @@ from sheafspark.session import attach
 
 
 def classify(files: DataFrame, utf8: bool = False) -> DataFrame:
-    """Adds bom, binary_reason, binary_detail, iso2022jp_candidate.
+    """Adds bom, suspect, binary_reason, binary_detail, iso2022jp_candidate.
 
     Text has a null ``binary_reason``. ``utf8`` says whether UTF-16 and legacy
     content will be transcoded later; without it UTF-16 counts as binary.
-    Rows with a ``read_error`` have null content and are left unclassified.
+    ``suspect`` is false where no character needs a closer look. Rows with a
+    ``read_error`` have null content and are left unclassified.
     """
-    content, bom = F.col("content"), F.col("bom")
-    body = B.payload(content)
-    utf16 = F.coalesce(bom.startswith("UTF-16"), F.lit(False))
-    magic = F.col("_magic")
-    reason = (
-        F.when(content.isNull(), None)
-        .when(utf16, F.lit(None if utf8 else "Utf16ConversionDisabled"))
-        .when(magic.isNotNull() & ~B.has_nul(B.probe(content)), "RecognizedMagic")
-        .when(B.has_nul(content), "NullByte")
-        .when(B.control_density(body) > B.CONTROL_DENSITY, "ControlDensity")
-    )
-    detail = F.when(F.col("binary_reason") == "RecognizedMagic", magic).when(
-        F.col("binary_reason") == "Utf16ConversionDisabled", bom
-    )
-    jis = F.coalesce(bom.isNull() & F.col("binary_reason").isNull() & B.iso2022jp_candidate(content), F.lit(False))
-    marked = files.withColumn("bom", B.bom(content)).withColumn("_head", B.head(content))
-    marked = marked.withColumn("_magic", B.magic_mime(F.col("_head"))).drop("_head")
-    reasoned = attach(marked, binary_reason=reason)
-    return reasoned.withColumn("binary_detail", detail).withColumn("iso2022jp_candidate", jis).drop("_magic")
-
-
-def file_extension(path: str = "path"):
+    content = F.col("content")
+    reason = f"""
+        CASE WHEN content IS NULL THEN NULL
+             WHEN startswith(bom, 'UTF-16') THEN {"NULL" if utf8 else "'Utf16ConversionDisabled'"}
+             WHEN _magic IS NOT NULL AND NOT contains(substring(content, 1, {B.PROBE_BYTES}), X'00')
+               THEN 'RecognizedMagic'
+             WHEN contains(content, X'00') THEN 'NullByte'
+             WHEN _density > {B.CONTROL_DENSITY} THEN 'ControlDensity' END"""
+    detail = """
+        CASE binary_reason WHEN 'RecognizedMagic' THEN _magic
+                           WHEN 'Utf16ConversionDisabled' THEN bom END"""
+    jis_escapes = " OR ".join(f"contains(content, X'{e}')" for e in B.JIS_ESCAPES)
+    candidate = f"coalesce(bom IS NULL AND binary_reason IS NULL AND ({jis_escapes}), false)"
+    marked = files.withColumns({"bom": B.bom(content), "_head": B.head(content)})
+    marked = marked.withColumns({"_magic": B.magic_mime("_head"), "suspect": B.is_suspect(content)})
+    marked = marked.withColumn("_density", B.control_density(B.payload(content), F.col("suspect")))
+    reasoned = attach(marked, binary_reason=F.expr(reason))
+    return reasoned.withColumns(
+        {"binary_detail": F.expr(detail), "iso2022jp_candidate": F.expr(candidate)}
+    ).drop("_head", "_magic", "_density")
+
+
+def file_extension(path: str = "path") -> Column:
     """Lower-case extension of a path column, '' without one."""
     return F.lower(F.regexp_extract(F.col(path), r"[^/]\.([^./]+)$", 1))
 

@@ -17,62 +17,47 @@ def decode_files(classified: DataFrame, utf8: bool = False) -> DataFrame:
     Without ``utf8`` everything is a built-in expression. With it the rows that
     need a charset codec, and only those, hand their bytes to an Arrow UDF.
     Transcoded text that looks like binary data ends as 'binary' with the
-    reason ImplausibleDecodedData.
+    reason ImplausibleDecodedData. A malformed file without a byte-order mark
+    is lossy without a flag.
     """
-    content, reason = F.col("content"), F.col("binary_reason")
-    is_text = content.isNotNull() & reason.isNull()
-    raw = content.cast("string")
-    df = classified.withColumn("_valid", F.when(is_text, F.is_valid_utf8(raw)))
-    valid = F.col("_valid")
-
+    valid = "CASE WHEN binary_reason IS NULL THEN is_valid_utf8(CAST(content AS string)) END"
+    df = classified.withColumn("_valid", F.expr(valid))
     if utf8:
-        jis = F.col("iso2022jp_candidate")
-        utf16 = F.coalesce(F.col("bom").startswith("UTF-16"), F.lit(False))
-        legacy = F.col("bom").isNull() & ~valid
-        mode = (
-            F.when(~is_text, None)
-            .when(utf16, F.col("bom"))
-            .when(jis & legacy, "jis+legacy")
-            .when(legacy, "legacy")
-            .when(jis, "jis")
-        )
-        df = df.withColumn("_mode", mode)
-        df = df.withColumn("_out", transcode(F.when(F.col("_mode").isNotNull(), content), F.col("_mode")))
-        out = F.col("_out")
-        df = df.withColumn("_implausible", F.coalesce(B.is_implausible(out["text"]), F.lit(False)))
-        df = df.withColumn("_transcoded", out.isNotNull() & ~F.col("_implausible"))
-        implausible, transcoded = F.col("_implausible"), F.col("_transcoded")
-        encoding = F.when(transcoded, out["encoding"])
-        replaced = F.coalesce(F.when(transcoded, out["had_replacements"]), F.lit(False))
-        transcoded_text = out["text"]
+        df = _transcoded(df)
+        transcoded, implausible, out = "_transcoded", "_implausible", "_out"
     else:
-        implausible, transcoded, replaced = F.lit(False), F.lit(False), F.lit(False)
-        encoding = transcoded_text = F.lit(None).cast("string")
+        df = df.withColumn("_out", F.lit(None).cast("struct<text:string,encoding:string,had_replacements:boolean>"))
+        transcoded, implausible, out = "false", "false", "_out"
+    columns = {
+        "text": f"""
+            CASE WHEN content IS NULL OR binary_reason IS NOT NULL OR {implausible} THEN NULL
+                 WHEN {transcoded} THEN {out}.text
+                 WHEN _valid THEN CAST(content AS string)
+                 ELSE make_valid_utf8(CAST(content AS string)) END""",
+        "decode_class": f"""
+            CASE WHEN content IS NULL THEN 'error'
+                 WHEN binary_reason IS NOT NULL OR {implausible} THEN 'binary'
+                 WHEN {transcoded} THEN 'transcoded' WHEN _valid THEN 'valid' ELSE 'lossy' END""",
+        "source_encoding": f"CASE WHEN {transcoded} THEN {out}.encoding END",
+        "had_replacements": f"coalesce({transcoded} AND {out}.had_replacements, false)",
+        "utf8_had_replacements": f"coalesce({str(utf8).lower()} AND NOT _valid AND bom = 'UTF-8', false)",
+        "binary_reason": f"CASE WHEN {implausible} THEN 'ImplausibleDecodedData' ELSE binary_reason END",
+    }
+    decoded = attach(df, **{name: F.expr(text) for name, text in columns.items()})
+    return decoded.drop("_valid", "_mode", "_out", "_implausible", "_transcoded")
 
-    decode_class = (
-        F.when(content.isNull(), "error")
-        .when(reason.isNotNull() | implausible, "binary")
-        .when(transcoded, "transcoded")
-        .when(valid, "valid")
-        .otherwise("lossy")
-    )
-    text = (
-        F.when(~is_text | implausible, None)
-        .when(transcoded, transcoded_text)
-        .when(valid, raw)
-        .otherwise(F.make_valid_utf8(raw))
-    )
-    # A malformed file without a byte-order mark is lossy without a flag.
-    flagged = F.lit(utf8) & is_text & ~valid & (F.col("bom") == "UTF-8")
-    return attach(
-        df,
-        text=text,
-        decode_class=decode_class,
-        source_encoding=encoding,
-        had_replacements=replaced,
-        utf8_had_replacements=F.coalesce(flagged, F.lit(False)),
-        binary_reason=F.when(implausible, F.lit("ImplausibleDecodedData")).otherwise(reason),
-    ).drop("_valid", "_mode", "_out", "_implausible", "_transcoded")
+
+def _transcoded(df: DataFrame) -> DataFrame:
+    """Adds the outcome of the charset codecs; null for rows that need none."""
+    mode = """
+        CASE WHEN content IS NULL OR binary_reason IS NOT NULL THEN NULL
+             WHEN startswith(bom, 'UTF-16') THEN bom
+             WHEN bom IS NULL AND NOT _valid THEN if(iso2022jp_candidate, 'jis+legacy', 'legacy')
+             WHEN iso2022jp_candidate THEN 'jis' END"""
+    df = df.withColumn("_mode", F.expr(mode))
+    df = df.withColumn("_out", transcode(F.expr("if(_mode IS NOT NULL, content, NULL)"), F.col("_mode")))
+    df = df.withColumn("_implausible", F.coalesce(B.is_implausible(F.col("_out.text")), F.lit(False)))
+    return df.withColumn("_transcoded", F.expr("_out IS NOT NULL AND NOT _implausible"))
 
 
 def conversion_report(decoded: DataFrame) -> DataFrame:

@@ -21,28 +21,33 @@ def build_entries(decoded: DataFrame, line_numbers: bool = False) -> DataFrame:
     disposition is 'read_error', 'binary', 'xml_omitted' or 'text'. ``body``
     is the text as it will be packed; lines are counted on it.
     """
-    text = F.col("text")
-    bad = F.col("_bad")
-    disposition = (
-        F.when(F.col("read_error").isNotNull(), "read_error")
-        .when(F.col("binary_reason").isNotNull(), "binary")
-        .when(bad.isNotNull(), "xml_omitted")
-        .otherwise("text")
+    disposition = """
+        CASE WHEN read_error IS NOT NULL THEN 'read_error'
+             WHEN binary_reason IS NOT NULL THEN 'binary'
+             WHEN _bad IS NOT NULL THEN 'xml_omitted'
+             ELSE 'text' END"""
+    diagnostic = f"""
+        CASE disposition WHEN 'read_error' THEN concat('{READ_ERROR_COMMENT}', read_error)
+                         WHEN 'binary' THEN '{BINARY_COMMENT}'
+                         WHEN 'xml_omitted' THEN concat('{OMITTED_COMMENT}', _bad.code_point) END"""
+    # Text that the byte scan passed as clean needs no second scan, unless transcoded.
+    checked = F.expr("coalesce(suspect, true) OR decode_class = 'transcoded'")
+    judged = attach(
+        decoded.withColumn("_bad", F.when(checked, X.first_invalid_char(F.col("text")))),
+        disposition=F.expr(disposition),
     )
-    diagnostic = (
-        F.when(F.col("disposition") == "read_error", F.concat(F.lit(READ_ERROR_COMMENT), F.col("read_error")))
-        .when(F.col("disposition") == "binary", F.lit(BINARY_COMMENT))
-        .when(F.col("disposition") == "xml_omitted", F.concat(F.lit(OMITTED_COMMENT), bad["code_point"]))
-    )
-    body = F.when(F.col("disposition") == "text", L.number_lines(text) if line_numbers else text)
-    judged = attach(decoded.withColumn("_bad", X.first_invalid_char(text)), disposition=disposition)
+    text = L.number_lines(F.col("text")) if line_numbers else F.col("text")
     return (
-        judged.withColumn("diagnostic", diagnostic)
-        .withColumn("body", body)
-        .withColumn("size", F.when(F.col("disposition") == "read_error", F.lit(0)).otherwise(F.col("size")).cast("bigint"))
+        judged.withColumns(
+            {
+                "diagnostic": F.expr(diagnostic),
+                "body": F.when(F.col("disposition") == "text", text),
+                "size": F.expr("if(disposition = 'read_error', 0L, size)"),
+                "code_point": F.col("_bad.code_point"),
+                "byte_index": F.col("_bad.byte_index"),
+            }
+        )
         .withColumn("lines", F.coalesce(L.count_lines(F.col("body")), F.lit(0)))
-        .withColumn("code_point", bad["code_point"])
-        .withColumn("byte_index", bad["byte_index"])
         .drop("_bad", "content", "text")
     )
 

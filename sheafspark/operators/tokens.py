@@ -7,8 +7,11 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sheafspark.functions.text import number_lines
 from sheafspark.functions.tokens import Vocabulary, token_counter
 from sheafspark.operators.document import document_chunk
+from sheafspark.operators.entries import entry_xml
+from sheafspark.session import attach
 
 # Fixed values: (name or alias, model, display name, vocabulary, kind of vocabulary).
 MODELS = (
@@ -98,16 +101,18 @@ def compare_models(df: DataFrame, text: str, vocabularies: Sequence[Vocabulary],
 
 def token_overhead(entries: DataFrame, vocabulary: Vocabulary, special: str = "all") -> DataFrame:
     """Per bundle: tokens of the plain texts, of numbered texts, and of the entries as XML."""
-    from sheafspark.functions.text import number_lines
-    from sheafspark.operators.entries import entry_xml
-
     count = token_counter(vocabulary, special)
     body = F.col("body")
-    counted = entries.where("disposition = 'text'").select(
+    texts = attach(
+        entries.where("disposition = 'text'"),
+        numbered=number_lines(body),
+        packed=F.concat(F.lit("\n    "), entry_xml()),
+    )
+    counted = texts.select(
         "bundle_id",
         count(body).alias("plain"),
-        count(number_lines(body)).alias("numbered"),
-        count(F.concat(F.lit("\n    "), entry_xml())).alias("packed"),
+        count(F.col("numbered")).alias("numbered"),
+        count(F.col("packed")).alias("packed"),
     )
     sums = counted.groupBy("bundle_id").agg(*[F.sum(c).alias(f"{c}_tokens") for c in ("plain", "numbered", "packed")])
     return sums.withColumn("packed_ratio", F.col("packed_tokens") / F.col("plain_tokens"))

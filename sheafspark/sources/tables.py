@@ -12,10 +12,10 @@ def from_table(df: DataFrame, bundle: Column, path: Column, content: Column) ->
     picked = df.select(bundle.cast("string").alias("bundle_id"), path.alias("path"), content.alias("content"))
     if isinstance(picked.schema["content"].dataType, T.StringType):
         picked = picked.withColumn("content", F.encode("content", "UTF-8"))
-    return picked.select(
+    return picked.selectExpr(
         "bundle_id",
         "path",
-        F.octet_length("content").cast("bigint").alias("size"),
+        "CAST(octet_length(content) AS bigint) AS size",
         "content",
-        F.lit(None).cast("string").alias("read_error"),
+        "CAST(NULL AS string) AS read_error",
     )
