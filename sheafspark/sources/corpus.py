@@ -12,7 +12,6 @@ from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -43,16 +42,21 @@ class Shard(InputPartition):
     folders: list[Folder]
 
 
-def _open(uri: str) -> tuple[fs.FileSystem, str]:
+def _open(uri: str):
+    """(file system, path) of a URI or a local path."""
+    from pyarrow import fs  # starts threads, so not before a worker needs it
+
     return fs.FileSystem.from_uri(uri if "://" in uri else os.path.abspath(uri))
 
 
-def _children(files: fs.FileSystem, path: str) -> Iterator[fs.FileInfo]:
-    """Files and folders in ``path``; symbolic links are passed over."""
-    local = isinstance(files, fs.LocalFileSystem)
+def _children(files, path: str) -> Iterator[tuple[str, str, int | None]]:
+    """(name, path, size) in a folder, size None for folders; no symbolic links."""
+    from pyarrow import fs
+
+    local = files.type_name == "local"
     for info in files.get_file_info(fs.FileSelector(path)):
         if not (local and os.path.islink(info.path)):
-            yield info
+            yield info.base_name, info.path, info.size if info.type == fs.FileType.File else None
 
 
 class CorpusSource(DataSource):
@@ -83,8 +87,7 @@ class CorpusReader(DataSourceReader):
     def partitions(self) -> Sequence[InputPartition]:
         files, root = _open(self.uri)
         if self.by_child:
-            roots = [i for i in _children(files, root) if i.type == fs.FileType.Directory]
-            work = [Folder(i.base_name, i.path, i.path, True) for i in roots]
+            work = [Folder(name, path, path, True) for name, path, size in _children(files, root) if size is None]
         else:
             work = [Folder(os.path.basename(root.rstrip("/")), root, root, True)]
         # Open folders breadth first only until there is enough to share out.
@@ -94,9 +97,9 @@ class CorpusReader(DataSourceReader):
             for folder in level:
                 done.append(Folder(folder.bundle_id, folder.root, folder.path, False))
                 below += [
-                    Folder(folder.bundle_id, folder.root, info.path, True)
-                    for info in _children(files, folder.path)
-                    if info.type == fs.FileType.Directory
+                    Folder(folder.bundle_id, folder.root, path, True)
+                    for _, path, size in _children(files, folder.path)
+                    if size is None
                 ]
             level = below
         work = done + level
@@ -108,12 +111,11 @@ class CorpusReader(DataSourceReader):
         for folder in partition.folders:
             pending = [folder.path]
             while pending:
-                for info in _children(files, pending.pop()):
-                    if info.type == fs.FileType.Directory and folder.deep:
-                        pending.append(info.path)
-                    elif info.type == fs.FileType.File:
-                        relative = info.path[len(folder.root.rstrip("/")) + 1 :]
-                        yield folder.bundle_id, relative, info.size, scheme + info.path
+                for _, path, size in _children(files, pending.pop()):
+                    if size is not None:
+                        yield folder.bundle_id, path[len(folder.root.rstrip("/")) + 1 :], size, scheme + path
+                    elif folder.deep:
+                        pending.append(path)
 
 
 def list_corpus(spark: SparkSession, path: str, bundles: str = "self", shards: int | None = None) -> DataFrame:
