@@ -16,7 +16,7 @@ from sheafspark.options import BundleOptions
 from sheafspark.plans.pack import pack
 from sheafspark.session import shared_dir
 from sheafspark.sinks import bundles as sink
-from sheafspark.sources.bundles import read_bundles
+from sheafspark.sources.bundles import read_bundles, read_comments, read_structure
 from sheafspark.sources.corpus import list_corpus, read_corpus
 from sheafspark.streaming.files import running_totals, write_entries
 
@@ -97,6 +97,20 @@ def gzip_roundtrip(spark, sf):
     return _roundtrip(spark, sf, 9)
 
 
+def structure_roundtrip(spark, sf):
+    """Write docs, rebuild the paths from the nesting of the structure section."""
+    target = shared_dir(spark)
+    sink.write_bundles(_rows(spark, sf), target)
+    return read_structure(spark, target)
+
+
+def comment_roundtrip(spark, sf):
+    """Write the byte corpus, read the comments of the entries without text."""
+    target = shared_dir(spark)
+    sink.write_bundles(document.document_rows(entries(C.byte_files(spark, sf), True)), target)
+    return read_comments(spark, target)
+
+
 def pack_run(spark, sf):
     """The whole run: metrics of the packed documents, with the files re-read for their bytes."""
     target = shared_dir(spark)
@@ -219,6 +233,8 @@ QUERIES = {
     "document_rows": document_rows,
     "bundle_roundtrip": bundle_roundtrip,
     "gzip_roundtrip": gzip_roundtrip,
+    "structure_roundtrip": structure_roundtrip,
+    "comment_roundtrip": comment_roundtrip,
     "bundle_metrics": bundle_metrics,
     "pack_run": pack_run,
     "corpus_scan": corpus_scan,
@@ -341,6 +357,12 @@ GROUP BY bundle_id, depth""",
     "document_rows": with_(*_DOCUMENTS) + "SELECT bundle_id, section, sort_key, md5(line) AS line_md5 FROM document_rows",
     "bundle_roundtrip": _ROUNDTRIP,
     "gzip_roundtrip": _ROUNDTRIP,
+    "structure_roundtrip": with_(C.DOCS) + "SELECT bundle_id, path FROM docs",
+    "comment_roundtrip": with_(C.BYTES)
+    + """SELECT bundle_id, path, size, CASE disposition_on
+  WHEN 'binary' THEN ' This file is a binary file and not included '
+  ELSE ' Text content omitted: XML 1.0 cannot represent character U+000B ' END AS comment
+FROM byte_files WHERE disposition_on <> 'text'""",
     "bundle_metrics": with_(C.BYTES, Q.folders("byte_files"), _document_ctes("byte_files", _BYTES_ENTRY), _SIZES)
     + """SELECT bundle_id, n_files, xml_bytes, xml_bytes AS output_bytes
 FROM document_sizes JOIN (SELECT bundle_id, count(*) AS n_files FROM byte_files GROUP BY 1) USING (bundle_id)""",

@@ -44,6 +44,7 @@ LINE_NUMBER_NOTE = (
     "\n- Every line starts with its number, padded to equal width, and two spaces.\n"
     "  The numbers are for reference and are not part of the file."
 )
+STRUCTURE_END = "  </repository_structure>"
 STRUCTURE_SUMMARY = "The folders and files of the collection."
 FILES_SUMMARY = "The files with their full paths and, where it can be shown, their text."
 
@@ -66,7 +67,7 @@ def frame_rows(line_numbers: bool = False) -> list[tuple[int, str, str]]:
     return [
         (HEADER, "", header_text(line_numbers)),
         (STRUCTURE, "", f"  <repository_structure>\n    <summary>{_escape(STRUCTURE_SUMMARY)}</summary>"),
-        (STRUCTURE, "3", "  </repository_structure>"),
+        (STRUCTURE, "3", STRUCTURE_END),
         (ENTRIES, "", f"  <repository_files>\n    <summary>{_escape(FILES_SUMMARY)}</summary>"),
         (ENTRIES, "3", "  </repository_files>"),
         (FOOTER, "", "</repository>"),

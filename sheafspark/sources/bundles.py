@@ -1,11 +1,20 @@
-"""Read written documents back."""
+"""Read written documents back: entries, comments and the structure section.
+
+A document may lie in many files. Entries are whole rows, so the XML source
+reads them from any split. What depends on earlier lines (the open folders,
+whether a line stands inside CDATA) is carried over splits in two steps: a
+window within each split, and one over a single summary row per split.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-_SCHEMA = "_path string, _size bigint, _lines int, _VALUE string, bundle_id string"
+from sheafspark.operators.document import STRUCTURE_END
+
+_ENTRY = "_path string, _size bigint, _lines int, _VALUE string, bundle_id string"
+_SPLIT = ("bundle_id", "file", "block")
 
 
 def read_bundles(spark: SparkSession, target: str) -> DataFrame:
@@ -15,7 +24,7 @@ def read_bundles(spark: SparkSession, target: str) -> DataFrame:
     null for entries that hold a comment (and for empty files).
     """
     elements = (
-        spark.read.schema(_SCHEMA)
+        spark.read.schema(_ENTRY)
         .option("rowTag", "file")
         .option("ignoreSurroundingSpaces", "false")
         .xml(target)
@@ -27,3 +36,88 @@ def read_bundles(spark: SparkSession, target: str) -> DataFrame:
         F.col("_lines").alias("lines"),
         F.col("_VALUE").alias("text"),
     )
+
+
+def _lines(spark: SparkSession, target: str) -> DataFrame:
+    """Lines with their place: file, start of the split in it, number within the split."""
+    lines = spark.read.schema("value string, bundle_id string").option("lineSep", "\n").text(target)
+    return lines.select(
+        "bundle_id",
+        "value",
+        F.col("_metadata.file_name").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("pos"),
+    )
+
+
+def _last_before(lines: DataFrame, **values: Column) -> DataFrame:
+    """Adds, per value, its last non-null occurrence in earlier lines of the document."""
+    marked = lines.withColumns(values)
+    in_split = Window.partitionBy(*_SPLIT).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    ends = marked.groupBy(*_SPLIT).agg(
+        *[F.max_by(F.col(v), F.when(F.col(v).isNotNull(), F.col("pos"))).alias(f"end_{v}") for v in values]
+    )
+    over_splits = Window.partitionBy("bundle_id").orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select(
+        *_SPLIT, *[F.last(f"end_{v}", ignorenulls=True).over(over_splits).alias(f"carry_{v}") for v in values]
+    )
+    near = marked.select(
+        *lines.columns, *[F.last(v, ignorenulls=True).over(in_split).alias(f"near_{v}") for v in values]
+    )
+    return near.join(carried, list(_SPLIT)).select(
+        *lines.columns, *[F.coalesce(f"near_{v}", f"carry_{v}").alias(v) for v in values]
+    )
+
+
+def _unescape(value: Column) -> Column:
+    for old, new in (
+        ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"),
+        ("&#xA;", "\n"), ("&#xD;", "\r"), ("&amp;", "&"),
+    ):
+        value = F.replace(value, F.lit(old), F.lit(new))
+    return value
+
+
+def read_comments(spark: SparkSession, target: str) -> DataFrame:
+    """(bundle_id, path, size, comment) of the entries that hold a comment.
+
+    The same characters inside the text of another entry do not count: what
+    was the last CDATA mark before the line tells them apart.
+    """
+    entry = r'(?s)\A    <file path="([^"]*)" size="(\d+)" lines="0"><!--(.*)--></file>\z'
+    value = F.col("value")
+    mark = F.regexp_extract(value, r"(?s)\A.*(<!\[CDATA\[|\]\]>)", 1)
+    of_use = _lines(spark, target).where(value.rlike(entry) | value.rlike(r"<!\[CDATA\[|\]\]>"))
+    placed = _last_before(of_use, mark=F.when(~value.rlike(entry) & (mark != ""), mark))
+    real = value.rlike(entry) & (F.coalesce("mark", F.lit("]]>")) == "]]>")
+    return placed.where(real).select(
+        "bundle_id",
+        _unescape(F.regexp_extract(value, entry, 1)).alias("path"),
+        F.regexp_extract(value, entry, 2).cast("bigint").alias("size"),
+        F.regexp_extract(value, entry, 3).alias("comment"),
+    )
+
+
+def read_structure(spark: SparkSession, target: str) -> DataFrame:
+    """(bundle_id, path) of the files the structure section lists, from its nesting."""
+    node = r'\A( {4,})<(file path|folder name)="([^"]*)"(?: /)?>\z'
+    value = F.col("value")
+    place = F.struct("file", "block", "pos")
+    lines = _lines(spark, target).where(value.rlike(node) | (value == STRUCTURE_END))
+    # Texts may repeat the end tag, but only after the real one.
+    ends = lines.where(value == STRUCTURE_END).groupBy("bundle_id").agg(F.min(place).alias("end"))
+    nodes = lines.join(ends, "bundle_id").where(value.rlike(node) & (place < F.col("end"))).select(
+        *_SPLIT,
+        "pos",
+        ((F.length(F.regexp_extract(value, node, 1)) - 4) / 2).cast("int").alias("depth"),
+        (F.regexp_extract(value, node, 2) == "folder name").alias("is_folder"),
+        _unescape(F.regexp_extract(value, node, 3)).alias("name"),
+    )
+    deepest = nodes.agg(F.max("depth")).first()[0] or 0
+    opened = {
+        f"at_{d}": F.when(F.col("is_folder") & (F.col("depth") == d), F.col("name")) for d in range(deepest)
+    }
+    if opened:
+        nodes = _last_before(nodes, **opened)
+    above = [F.when(F.col("depth") > d, F.col(f"at_{d}")) for d in range(deepest)]
+    return nodes.where(~F.col("is_folder")).select("bundle_id", F.concat_ws("/", *above, F.col("name")).alias("path"))

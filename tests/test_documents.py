@@ -14,7 +14,7 @@ from sheafspark.options import BundleOptions
 from sheafspark.plans.pack import entries_of, pack
 from sheafspark.session import shared_dir, stage
 from sheafspark.sinks.bundles import ZLIB_LEVELS, sink_names, write_bundles, write_summary, written_bytes
-from sheafspark.sources.bundles import read_bundles
+from sheafspark.sources.bundles import read_bundles, read_comments, read_structure
 
 CONTENTS = {
     "plain.txt": "alpha\nbeta\n",
@@ -153,6 +153,34 @@ def test_read_back_takes_entries_only(spark, make_files):
     assert back == {p: ("007", plain(t) or None) for p, t in text.items()}
 
 
+@pytest.mark.parametrize("split_bytes", [None, 700])
+def test_structure_and_comments_are_read_over_splits(spark, make_files, split_bytes):
+    paths = [f"d{i % 3}/e{i % 5}/f{i}.txt" for i in range(60)] + ["top.txt", "d1/side.txt", "d&1/<q>.txt", "d1\nx/y"]
+    contents = {p: "text\n" for p in paths}
+    contents["tricky.txt"] = (
+        '  </repository_structure>\n    <file path="no" />\n    <folder name="no">\n'
+        '    <file path="no" size="0" lines="0"><!-- no --></file>\n]]>\n'
+        '    <file path="no" size="0" lines="0"><!-- no --></file>\n<![CDATA[\n'
+    )
+    contents["d0/a.txt"] = "one\rtwo\r"
+    contents["d0/b.bin"] = b"\0"
+    contents["zz/<b>.bin"] = b"\0\0"
+    target = shared_dir(spark)
+    rows = document.document_rows(entries_of(make_files(contents), RUN))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", split_bytes is None)
+    if split_bytes:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", split_bytes)
+    try:
+        write_bundles(rows, target)
+        assert sorted(r.path for r in read_structure(spark, target).collect()) == sorted(contents)
+        got = {(r.path, r.size, r.comment) for r in read_comments(spark, target).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", True)
+    note = " This file is a binary file and not included "
+    assert got == {("d0/b.bin", 1, note), ("zz/<b>.bin", 2, note)}
+
+
 def test_entry_forms(spark, make_files):
     files = make_files({"a.bin": b"\0", "t.txt": "x\ny", "omit": "\x0b" + "a" * 9})
     failed = files.where("path = 't.txt'").withColumn("path", F.lit("gone")).withColumn("content", F.lit(None).cast("binary"))
