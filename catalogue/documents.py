@@ -72,6 +72,11 @@ def _rows(spark, sf, line_numbers=False):
     return document.document_rows(entries(files, line_numbers=line_numbers), files, line_numbers)
 
 
+def _byte_rows(spark, sf):
+    files = C.byte_files(spark, sf)
+    return document.document_rows(entries(files, True), files)
+
+
 def bundle_documents(spark, sf):
     return document.document_sizes(_rows(spark, sf))
 
@@ -82,9 +87,8 @@ def document_rows(spark, sf):
 
 def _roundtrip(spark, sf, gzip_level):
     """Write the byte corpus, read it back; texts come back with plain newlines."""
-    made = entries(C.byte_files(spark, sf), True)
     target = shared_dir(spark)
-    sink.write_bundles(document.document_rows(made), target, gzip_level)
+    sink.write_bundles(_byte_rows(spark, sf), target, gzip_level)
     back = read_bundles(spark, target)
     return back.select("bundle_id", "path", "size", "lines", F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"))
 
@@ -107,7 +111,7 @@ def structure_roundtrip(spark, sf):
 def comment_roundtrip(spark, sf):
     """Write the byte corpus, read the comments of the entries without text."""
     target = shared_dir(spark)
-    sink.write_bundles(document.document_rows(entries(C.byte_files(spark, sf), True)), target)
+    sink.write_bundles(_byte_rows(spark, sf), target)
     return read_comments(spark, target)
 
 
@@ -119,10 +123,7 @@ def pack_run(spark, sf):
 
 
 def bundle_metrics(spark, sf):
-    files = C.byte_files(spark, sf)
-    made = entries(files, True)
-    sizes = document.document_sizes(document.document_rows(made, files))
-    return metrics.bundle_metrics(made, sizes)
+    return metrics.bundle_metrics(document.document_sizes(_byte_rows(spark, sf)))
 
 
 def corpus_scan(spark, sf):
@@ -294,7 +295,7 @@ document_rows AS (
 
 _SIZES = """
 document_sizes AS (
-  SELECT bundle_id, count(*) AS n_rows, CAST(sum(octet_length(encode(line)) + 1) AS BIGINT) AS xml_bytes
+  SELECT bundle_id, count(*) FILTER (section = 2 AND starts_with(sort_key, '1')) AS n_files, count(*) AS n_rows, CAST(sum(octet_length(encode(line)) + 1) AS BIGINT) AS xml_bytes
   FROM document_rows GROUP BY bundle_id)
 """
 
@@ -364,11 +365,9 @@ GROUP BY bundle_id, depth""",
   ELSE ' Text content omitted: XML 1.0 cannot represent character U+000B ' END AS comment
 FROM byte_files WHERE disposition_on <> 'text'""",
     "bundle_metrics": with_(C.BYTES, Q.folders("byte_files"), _document_ctes("byte_files", _BYTES_ENTRY), _SIZES)
-    + """SELECT bundle_id, n_files, xml_bytes, xml_bytes AS output_bytes
-FROM document_sizes JOIN (SELECT bundle_id, count(*) AS n_files FROM byte_files GROUP BY 1) USING (bundle_id)""",
+    + "SELECT bundle_id, n_files, xml_bytes, xml_bytes AS output_bytes FROM document_sizes",
     "pack_run": with_(C.DOCS, _KEPT, Q.folders("kept"), _document_ctes("kept", _DOC_ENTRY, True), _SIZES)
-    + """SELECT bundle_id, n_files, xml_bytes, xml_bytes AS output_bytes, xml_bytes AS file_bytes
-FROM document_sizes JOIN (SELECT bundle_id, count(*) AS n_files FROM kept GROUP BY 1) USING (bundle_id)""",
+    + "SELECT bundle_id, n_files, xml_bytes, xml_bytes AS output_bytes, xml_bytes AS file_bytes FROM document_sizes",
     "corpus_scan": with_(*_DOCUMENTS)
     + f"""SELECT 'bundle_id=' || bundle_id AS bundle_id, 'text' AS disposition, CAST(sum(octet_length(encode(line)) + 1) AS BIGINT) AS n_bytes,
   CAST(sum(octet_length(encode(line)) + 1) AS BIGINT) AS text_bytes,

@@ -77,8 +77,10 @@ def frame_rows(line_numbers: bool = False) -> list[tuple[int, str, str]]:
 def document_rows(entries: DataFrame, files: DataFrame | None = None, line_numbers: bool = False) -> DataFrame:
     """(bundle_id, section, sort_key, line); in that order the lines are the document.
 
-    ``files`` gives the paths of the structure section (default: the entries);
-    only its thin columns are read. No row holds more than one file.
+    The structure section and the frame take their paths from ``files``, whose
+    content is then not read. Leave it out only if ``entries`` is a staged
+    table, or its texts would be decoded again for their paths. No row holds
+    more than one file.
     """
     paths = (files if files is not None else entries).select("bundle_id", "path")
     frame = F.array(
@@ -114,8 +116,10 @@ def document_chunk() -> Column:
 
 
 def document_sizes(rows: DataFrame) -> DataFrame:
-    """Rows and bytes of each document."""
+    """Files, rows and bytes of each document, in one pass over its rows."""
+    is_file = (F.col("section") == ENTRIES) & F.startswith(F.col("sort_key"), F.lit("1"))
     return rows.groupBy("bundle_id").agg(
+        F.count_if(is_file).alias("n_files"),
         F.count("*").alias("n_rows"),
         F.sum(F.octet_length("line") + 1).cast("bigint").alias("xml_bytes"),
     )

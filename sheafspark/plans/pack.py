@@ -53,5 +53,5 @@ def pack(
     write_bundles(rows, target, options.gzip_level if options.gzip else None, staged=True)
     tokens = bundle_tokens(rows, vocabulary) if vocabulary else None
     outputs = written_bytes(files.sparkSession, target) if options.gzip else None
-    metrics = bundle_metrics(entries, document_sizes(rows), tokens, outputs)
+    metrics = bundle_metrics(document_sizes(rows), tokens, outputs)
     return Packed(entries, rows, metrics, diagnostics(entries, quiet))

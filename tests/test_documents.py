@@ -238,7 +238,7 @@ def test_summary_and_largest(spark, make_files):
     entries = entries_of(make_files({"a": "1", "b": "22", "c": "22"}), RUN)
     assert [r.path for r in metrics.largest(entries, "size", 2).collect()] == ["b", "c"]
     target = shared_dir(spark)
-    write_summary(metrics.bundle_metrics(entries, document.document_sizes(document.document_rows(entries))), target)
+    write_summary(metrics.bundle_metrics(document.document_sizes(document.document_rows(entries))), target)
     assert spark.read.parquet(target).first().n_files == 3
 
 
