@@ -19,6 +19,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from sheafspark.functions.bytes import BOMS, PROBE_BYTES, SIGNATURES
 from sheafspark.operators import ignore, select
 from sheafspark.schemas import FILES, LISTING
+from sheafspark.session import stage
 
 # A reader task hands over a batch when it holds this many bytes.
 BATCH_BYTES = 32 * 1024 * 1024
@@ -209,8 +210,13 @@ def read_corpus(
     ignore_files: bool = True,
     probe_only: bool = True,
 ) -> DataFrame:
-    """List, drop ignored and excluded paths, then read what is left."""
+    """List, drop ignored and excluded paths, then read what is left.
+
+    Several steps look at the listing, so the folders are walked once into a
+    staged table.
+    """
     listing = list_corpus(spark, path, bundles)
+    listing = stage(listing) if ignore_files else listing
     kept = select.exclude_paths(listing, extend, replace)
     if ignore_files:
         kept = ignore.apply_ignore_rules(kept, ignore.parse_ignore_rules(rule_files(listing)))
