@@ -10,7 +10,7 @@ from catalogue import sql as Q
 from catalogue.entries import entries
 from catalogue.sql import with_
 from sheafspark.functions import text as L
-from sheafspark.functions.tokens import Vocabulary
+from sheafspark.functions.tokens import Vocabulary, token_counter
 from sheafspark.operators import document, metrics, tokens, tree
 from sheafspark.options import BundleOptions
 from sheafspark.plans.pack import pack
@@ -182,6 +182,18 @@ def model_comparison(spark, sf):
     return tokens.compare_models(entries(C.docs(spark, sf)), "body", VOCABULARIES)
 
 
+def shared_vocabulary(spark, sf):
+    """Two encoders of one vocabulary must count every text alike."""
+    made = entries(C.docs(spark, sf))
+    ranks, json = token_counter(VOCABULARIES[0])(F.col("body")), token_counter(VOCABULARIES[2])(F.col("body"))
+    counted = made.select("bundle_id", F.octet_length("body").alias("size"), ranks.alias("a"), json.alias("b"))
+    return counted.groupBy("bundle_id").agg(
+        F.count("*").alias("n_files"),
+        F.count_if(F.col("a") != F.col("b")).alias("n_different"),
+        F.count_if((F.col("a") == 0) != (F.col("size") == 0)).alias("n_wrongly_empty"),
+    )
+
+
 def token_overhead(spark, sf):
     return tokens.token_overhead(entries(C.docs(spark, sf)), BYTE_BPE)
 
@@ -245,6 +257,7 @@ QUERIES = {
     "file_tokens": file_tokens,
     "bundle_tokens": bundle_tokens,
     "model_comparison": model_comparison,
+    "shared_vocabulary": shared_vocabulary,
     "token_overhead": token_overhead,
     "compression_profile": compression_profile,
     "streamed_entries": streamed_entries,
@@ -384,6 +397,9 @@ FROM requests LEFT JOIN models ON lower(model_name) = alias""",
     + """SELECT DISTINCT model_name, 'Unsupported model: ' || model_name || '. Supported models: '
   || 'gpt5, gpt4o, gpt4, gpt3.5, deepseek-v4, deepseek-v3, deepseek-r1, glm5.2, deepseek' AS message
 FROM requests WHERE lower(model_name) IN ('gpt2', 'unknown')""",
+    "shared_vocabulary": """
+SELECT source AS bundle_id, count(*) AS n_files, CAST(0 AS BIGINT) AS n_different, CAST(0 AS BIGINT) AS n_wrongly_empty
+FROM documents GROUP BY source""",
     "streamed_entries": with_(_CHAT_TEXT)
     + f"SELECT bundle_id, path, size, {Q.lines('text')} AS lines, 'text' AS disposition, md5(text) AS body_md5 FROM chat_files",
     "streamed_totals": with_(_CHAT_TEXT)

@@ -19,7 +19,11 @@ class Vocabulary:
     """A vocabulary file. ``kind`` is 'tiktoken', 'huggingface' or 'sentencepiece'.
 
     ``path`` must be readable on the executors: the same path everywhere, or
-    the name of a file shipped with ``SparkContext.addFile``.
+    the name of a file shipped with ``SparkContext.addFile``. ``newline`` says
+    where the pre-tokenizer puts a newline that follows punctuation: with the
+    white space after it ('next'), or with the punctuation ('previous'), as
+    patterns do whose punctuation branch ends in ``[\r\n]*``. Documents are
+    cut on that side for counting, so the counts of the pieces add up.
     """
 
     name: str
@@ -27,6 +31,11 @@ class Vocabulary:
     path: str
     pattern: str = ""
     special_tokens: tuple[tuple[str, int], ...] = field(default=())
+    newline: str = "next"
+
+    def __post_init__(self) -> None:
+        if self.newline not in ("next", "previous"):
+            raise ValueError("newline must be 'next' or 'previous'")
 
     def local_path(self) -> str:
         if os.path.exists(self.path):

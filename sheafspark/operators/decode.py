@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from sheafspark.functions import bytes as B
@@ -69,11 +69,20 @@ def conversion_report(decoded: DataFrame) -> DataFrame:
 
 def decode_metrics(decoded: DataFrame) -> DataFrame:
     """Per bundle: valid files by decoded bytes, transcoded files by source bytes."""
+    return decoded.groupBy("bundle_id").agg(*_counters())
+
+
+def observe_decoding(decoded: DataFrame, observation: Observation) -> DataFrame:
+    """``decoded`` itself; the counters of the whole run appear in ``observation``."""
+    return decoded.observe(observation, *_counters())
+
+
+def _counters() -> list[Column]:
     valid, transcoded = F.col("decode_class") == "valid", F.col("decode_class") == "transcoded"
     zero = F.lit(0)
-    return decoded.groupBy("bundle_id").agg(
+    return [
         F.count_if(valid).alias("valid_files"),
         F.coalesce(F.sum(F.when(valid, F.octet_length("text"))), zero).alias("valid_bytes"),
         F.count_if(transcoded).alias("transcoded_files"),
         F.coalesce(F.sum(F.when(transcoded, F.octet_length("content"))), zero).alias("transcoded_bytes"),
-    )
+    ]

@@ -100,12 +100,14 @@ def document_rows(entries: DataFrame, files: DataFrame | None = None, line_numbe
     return framed.unionByName(structure).unionByName(body)
 
 
-def document_chunk() -> Column:
-    """The row's share of the document text.
+def document_chunk(newline: str = "next") -> Column:
+    """The row's share of the document text; the shares joined are the text.
 
-    The newline between two rows goes to the row after it: a newline after
-    ``>`` always starts a new pre-token, so token counts of chunks add up.
+    Every row ends in ``>``, so the newline after it is always on a border of
+    pre-tokens, either before it ('next') or after it ('previous').
     """
+    if newline == "previous":
+        return F.concat(F.col("line"), F.lit("\n"))
     first = (F.col("section") == HEADER) & (F.col("sort_key") == "")
     last = F.col("section") == FOOTER
     return F.concat(

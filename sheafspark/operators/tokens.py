@@ -60,14 +60,23 @@ def unsupported_models(requests: DataFrame, name: str = "model_name") -> DataFra
     )
 
 
+def _model(name: str) -> tuple[str, ...]:
+    for row in MODELS:
+        if row[0] == name.lower():
+            return row
+    raise ValueError(f"Unsupported model: {name}. Supported models: {', '.join(r[0] for r in MODELS)}")
+
+
+def display_name(model: str) -> str:
+    return _model(model)[2]
+
+
 def vocabulary_for(model: str, vocabularies: Mapping[str, Vocabulary]) -> Vocabulary:
     """The vocabulary of a model name; raises if unknown or not supplied."""
-    for alias, _, display, vocab, _ in MODELS:
-        if alias == model.lower():
-            if vocab not in vocabularies:
-                raise LookupError(f"{display} needs the vocabulary {vocab}; pass its file")
-            return vocabularies[vocab]
-    raise ValueError(f"Unsupported model: {model}. Supported models: {', '.join(r[0] for r in MODELS)}")
+    _, _, display, vocab, _ = _model(model)
+    if vocab not in vocabularies:
+        raise LookupError(f"{display} needs the vocabulary {vocab}; pass its file")
+    return vocabularies[vocab]
 
 
 def count_tokens(df: DataFrame, text: str, vocabulary: Vocabulary, special: str = "all") -> DataFrame:
@@ -77,7 +86,7 @@ def count_tokens(df: DataFrame, text: str, vocabulary: Vocabulary, special: str
 
 def bundle_tokens(rows: DataFrame, vocabulary: Vocabulary, special: str = "all") -> DataFrame:
     """Tokens of each whole document, counted row by row and added up."""
-    chunks = rows.select("bundle_id", document_chunk().alias("chunk"))
+    chunks = rows.select("bundle_id", document_chunk(vocabulary.newline).alias("chunk"))
     return (
         count_tokens(chunks, "chunk", vocabulary, special)
         .groupBy("bundle_id")

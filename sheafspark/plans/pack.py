@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from sheafspark.functions.tokens import Vocabulary
 from sheafspark.operators.classify import classify
@@ -13,7 +15,7 @@ from sheafspark.operators.document import document_rows, document_sizes
 from sheafspark.operators.entries import build_entries, diagnostics
 from sheafspark.operators.metrics import bundle_metrics
 from sheafspark.operators.select import exclude_paths, require_safe_paths
-from sheafspark.operators.tokens import bundle_tokens
+from sheafspark.operators.tokens import bundle_tokens, display_name, vocabulary_for
 from sheafspark.options import BundleOptions
 from sheafspark.session import stage
 from sheafspark.sinks.bundles import write_bundles, written_bytes
@@ -38,15 +40,18 @@ def pack(
     files: DataFrame,
     target: str,
     options: BundleOptions = BundleOptions(),
-    vocabulary: Vocabulary | None = None,
+    vocabularies: Mapping[str, Vocabulary] | None = None,
     quiet: bool = False,
 ) -> Packed:
     """Write one document per bundle below ``target`` and return the result tables.
 
-    Bad names stop the run before anything is written. Raw content is read
+    Bad names stop the run before anything is written, and so does a model
+    without its vocabulary among ``vocabularies`` (vocabulary name -> file);
+    without any, tokens are not counted. Raw content is read
     and decoded once, into a staged table of entries; the documents, metrics
     and diagnostics all read that table, each only the columns it needs.
     """
+    vocabulary = vocabulary_for(options.model, vocabularies) if vocabularies is not None else None
     safe = require_safe_paths(exclude_paths(files, options.extend_exclude, options.exclude), options.on_bad_path)
     entries = stage(entries_of(safe, options))
     rows = document_rows(entries, line_numbers=options.line_numbers)
@@ -54,4 +59,6 @@ def pack(
     tokens = bundle_tokens(rows, vocabulary) if vocabulary else None
     outputs = written_bytes(files.sparkSession, target) if options.gzip else None
     metrics = bundle_metrics(document_sizes(rows), tokens, outputs)
+    if vocabulary:
+        metrics = metrics.withColumn("model", F.lit(display_name(options.model)))
     return Packed(entries, rows, metrics, diagnostics(entries, quiet))

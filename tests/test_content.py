@@ -4,7 +4,9 @@ import pytest
 
 from sheafspark.functions.charset import detect_iso2022jp, detect_legacy
 from sheafspark.operators.classify import classify
-from sheafspark.operators.decode import conversion_report, decode_files, decode_metrics
+from pyspark.sql import Observation
+
+from sheafspark.operators.decode import conversion_report, decode_files, decode_metrics, observe_decoding
 
 # Sentences whose encoded forms the detector must tell apart.
 JAPANESE = "これは文字コード検出のための日本語の文章です。複数の文を含めて、短い入力による誤判定を避けます。古い文書も正しく読み取ります。\n"
@@ -146,3 +148,6 @@ def test_metrics_and_report(make_files):
     row = decode_metrics(decoded).first()
     assert (row.valid_files, row.valid_bytes, row.transcoded_files, row.transcoded_bytes) == (1, 2, 1, 6)
     assert [(r.path, r.source_encoding) for r in conversion_report(decoded).collect()] == [("u", "UTF-16LE")]
+    seen = Observation()
+    assert observe_decoding(decoded, seen).count() == 5
+    assert seen.get == {"valid_files": 1, "valid_bytes": 2, "transcoded_files": 1, "transcoded_bytes": 6}

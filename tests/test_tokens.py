@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 from sheafspark.functions.tokens import Vocabulary, _counter, token_counter
 from sheafspark.operators import document, tokens
 from sheafspark.options import BundleOptions
-from sheafspark.plans.pack import entries_of
+from sheafspark.plans.pack import entries_of, pack
+from sheafspark.session import shared_dir
 
 PATTERN = public_tokenizers.PATTERN
 END = "<|endoftext|>"
@@ -72,6 +73,29 @@ def test_document_tokens_are_those_of_the_whole_text(spark, make_files):
     assert got == _counter(RANKS, "all")([whole])[0]
 
 
+# A pattern whose punctuation takes the newlines after it along.
+JOINING = (
+    r"'(?i:[sdmt]|ll|ve|re)|[^\r\n\p{L}\p{N}]?+\p{L}++|\p{N}{1,3}+| ?[^\s\p{L}\p{N}]++[\r\n]*+|\s++$|\s*[\r\n]|\s+(?!\S)|\s"
+)
+
+
+def test_document_tokens_of_a_pattern_that_joins_newlines(spark, make_files):
+    vocabulary = Vocabulary("joining", "tiktoken", RANKS.path, JOINING, newline="previous")
+    contents = {f"d/{i}.txt": t for i, t in enumerate([*TEXTS, "ends blank \n \n", "]]>\n\n"])}
+    rows = document.document_rows(entries_of(make_files(contents), BundleOptions(exclude=())))
+    whole = "".join(r.line + "\n" for r in rows.orderBy("section", "sort_key").collect())
+    assert tokens.bundle_tokens(rows, vocabulary).first().n_tokens == _counter(vocabulary, "all")([whole])[0]
+
+
+def test_packing_counts_tokens_of_the_model(spark, make_files):
+    target = shared_dir(spark)
+    packed = pack(make_files({"a": "x y"}), target, BundleOptions(model="gpt4"), {"cl100k_base": RANKS})
+    row = packed.metrics.first()
+    assert row.model == "GPT-4" and row.n_tokens == tokens.bundle_tokens(packed.rows, RANKS).first().n_tokens
+    with pytest.raises(LookupError):
+        pack(make_files({"a": "x y"}), shared_dir(spark), BundleOptions(model="gpt5"), {"cl100k_base": RANKS})
+
+
 def test_comparison_and_overhead(spark, make_files):
     entries = entries_of(make_files({"a": "one two\nthree\n", "b": "x"}), BundleOptions(exclude=()))
     got = {r.vocab: (r.n_files, r.n_tokens) for r in tokens.compare_models(entries, "body", [RANKS, JSON]).collect()}
