@@ -16,7 +16,7 @@ from sheafspark.options import BundleOptions
 from sheafspark.plans.pack import pack
 from sheafspark.session import shared_dir
 from sheafspark.sinks import bundles as sink
-from sheafspark.sources.bundles import read_bundles, read_comments, read_structure
+from sheafspark.sources.bundles import read_bundles, read_structure
 from sheafspark.sources.corpus import list_corpus, read_corpus
 from sheafspark.streaming.files import running_totals, write_entries
 
@@ -112,7 +112,8 @@ def comment_roundtrip(spark, sf):
     """Write the byte corpus, read the comments of the entries without text."""
     target = shared_dir(spark)
     sink.write_bundles(_byte_rows(spark, sf), target)
-    return read_comments(spark, target)
+    back = read_bundles(spark, target).where("comment IS NOT NULL")
+    return back.select("bundle_id", "path", "size", "lines", "comment")
 
 
 def pack_run(spark, sf):
@@ -373,7 +374,7 @@ GROUP BY bundle_id, depth""",
     "gzip_roundtrip": _ROUNDTRIP,
     "structure_roundtrip": with_(C.DOCS) + "SELECT bundle_id, path FROM docs",
     "comment_roundtrip": with_(C.BYTES)
-    + """SELECT bundle_id, path, size, CASE disposition_on
+    + """SELECT bundle_id, path, size, 0 AS lines, CASE disposition_on
   WHEN 'binary' THEN ' This file is a binary file and not included '
   ELSE ' Text content omitted: XML 1.0 cannot represent character U+000B ' END AS comment
 FROM byte_files WHERE disposition_on <> 'text'""",

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sheafspark.session import stage
+from sheafspark.sources.bundles import written_files
 
 # Hadoop's names of the deflate levels.
 ZLIB_LEVELS = {
@@ -49,13 +50,9 @@ def sink_names(plan: DataFrame, name: str = "output_file", gzip: str = "gzip") -
     return plan.withColumn("effective_file", effective_name(F.col(name), F.col(gzip)))
 
 
-def written_bytes(spark, target: str) -> DataFrame:
-    """(bundle_id, output_bytes) from the written files; contents are not read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(target)
-    folder = F.regexp_extract(F.col("path"), r"/bundle_id=([^/]+)/", 1)
-    # Folder names escape with %XX only; a plus sign stands for itself.
-    bundle = F.url_decode(F.replace(folder, F.lit("+"), F.lit("%2B")))
-    return files.groupBy(bundle.alias("bundle_id")).agg(F.sum("length").alias("output_bytes"))
+def written_bytes(spark: SparkSession, target: str) -> DataFrame:
+    """(bundle_id, output_bytes) of the written documents."""
+    return written_files(spark, target).groupBy("bundle_id").agg(F.sum("length").alias("output_bytes"))
 
 
 def write_summary(bundles: DataFrame, target: str) -> None:

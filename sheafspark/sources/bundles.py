@@ -1,41 +1,100 @@
-"""Read written documents back: entries, comments and the structure section.
+"""Read written documents back: their entries and the structure section.
 
-A document may lie in many files. Entries are whole rows, so the XML source
-reads them from any split. What depends on earlier lines (the open folders,
-whether a line stands inside CDATA) is carried over splits in two steps: a
-window within each split, and one over a single summary row per split.
+A document may lie in many files, but no row of it crosses from one file into
+the next. So entries are read file by file, as streams. The nesting of the
+structure section does depend on earlier files; the open folders are carried
+over in two steps, a window within each split and one over a single summary
+row per split.
 """
 
 from __future__ import annotations
 
+import io
+import re
+from collections.abc import Iterator
+from xml.sax.saxutils import unescape
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sheafspark.operators.document import STRUCTURE_END
+from sheafspark.sources.corpus import BATCH_BYTES, open_uri
 
-_ENTRY = "_path string, _size bigint, _lines int, _VALUE string, bundle_id string"
+ENTRIES = "bundle_id string, path string, size bigint, lines int, text string, comment string"
 _SPLIT = ("bundle_id", "file", "block")
 
+_START = re.compile(r'    <file path="([^"]*)" size="(\d+)" lines="(\d+)">(.*)', re.DOTALL)
+_ENTITIES = {"&quot;": '"', "&apos;": "'", "&#xA;": "\n", "&#xD;": "\r"}
+
+
+def bundle_of(file: Column) -> Column:
+    """The bundle a written file belongs to, from its folder's name."""
+    folder = F.regexp_extract(file, r"/bundle_id=([^/]+)/", 1)
+    # Folder names escape with %XX only; a plus sign stands for itself.
+    return F.url_decode(F.replace(folder, F.lit("+"), F.lit("%2B")))
+
+
+def written_files(spark: SparkSession, target: str) -> DataFrame:
+    """(bundle_id, file, length) of the written files; contents are not read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(target)
+    return files.select(bundle_of(F.col("path")).alias("bundle_id"), F.col("path").alias("file"), "length")
+
+
+def parse_entries(lines: Iterator[str]) -> Iterator[tuple]:
+    """(path, size, lines, text, comment) of the entries among the lines of a file.
+
+    Text cannot hold ``]]>`` unbroken, so only a real end tag follows one;
+    newlines come out as an XML parser gives them.
+    """
+    attributes, inner, end = (), [], ""
+    for line in lines:
+        if not inner:
+            start = _START.match(line)
+            if not start:
+                continue
+            path, size, count, line = start.groups()
+            attributes = (unescape(path, _ENTITIES), int(size), int(count))
+            end = "--></file>\n" if line.startswith("<!--") else "]]></file>\n"
+        inner.append(line)
+        if line.endswith(end):
+            content = "".join(inner)[: -len(end)]
+            if end.startswith("-"):
+                yield *attributes, None, content[len("<!--") :]
+            else:
+                text = content[len("<![CDATA[") :].replace("]]]]><![CDATA[>", "]]>")
+                yield *attributes, text.replace("\r\n", "\n").replace("\r", "\n"), None
+            inner = []
+
 
 def read_bundles(spark: SparkSession, target: str) -> DataFrame:
-    """(bundle_id, path, size, lines, text) of the entries of written documents.
+    """(bundle_id, path, size, lines, text, comment) of the entries of written documents.
 
-    Elements of the structure section carry no size and are left out. Text is
-    null for entries that hold a comment (and for empty files).
+    One of text and comment is null. Tasks take whole files, packed by size.
     """
-    elements = (
-        spark.read.schema(_ENTRY)
-        .option("rowTag", "file")
-        .option("ignoreSurroundingSpaces", "false")
-        .xml(target)
-    )
-    return elements.where("_size IS NOT NULL").select(
-        "bundle_id",
-        F.col("_path").alias("path"),
-        F.col("_size").alias("size"),
-        F.col("_lines").alias("lines"),
-        F.col("_VALUE").alias("text"),
-    )
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["bundle_id", "path", "size", "lines", "text", "comment"]
+        types = [pa.string(), pa.string(), pa.int64(), pa.int32(), pa.string(), pa.string()]
+
+        def batch(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
+
+        rows, held = [], 0
+        for incoming in batches:
+            for bundle, uri in zip(incoming["bundle_id"].to_pylist(), incoming["file"].to_pylist()):
+                files, path = open_uri(uri)
+                with files.open_input_stream(path) as stream:
+                    for entry in parse_entries(io.TextIOWrapper(stream, encoding="utf-8", newline="\n")):
+                        rows.append((bundle, *entry))
+                        held += len(entry[3] or "")
+                        if held >= BATCH_BYTES:
+                            yield batch(rows)
+                            rows, held = [], 0
+        if rows:
+            yield batch(rows)
+
+    return written_files(spark, target).select("bundle_id", "file").mapInArrow(read, ENTRIES)
 
 
 def _lines(spark: SparkSession, target: str) -> DataFrame:
@@ -78,26 +137,6 @@ def _unescape(value: Column) -> Column:
     return value
 
 
-def read_comments(spark: SparkSession, target: str) -> DataFrame:
-    """(bundle_id, path, size, comment) of the entries that hold a comment.
-
-    The same characters inside the text of another entry do not count: what
-    was the last CDATA mark before the line tells them apart.
-    """
-    entry = r'(?s)\A    <file path="([^"]*)" size="(\d+)" lines="0"><!--(.*)--></file>\z'
-    value = F.col("value")
-    mark = F.regexp_extract(value, r"(?s)\A.*(<!\[CDATA\[|\]\]>)", 1)
-    of_use = _lines(spark, target).where(value.rlike(entry) | value.rlike(r"<!\[CDATA\[|\]\]>"))
-    placed = _last_before(of_use, mark=F.when(~value.rlike(entry) & (mark != ""), mark))
-    real = value.rlike(entry) & (F.coalesce("mark", F.lit("]]>")) == "]]>")
-    return placed.where(real).select(
-        "bundle_id",
-        _unescape(F.regexp_extract(value, entry, 1)).alias("path"),
-        F.regexp_extract(value, entry, 2).cast("bigint").alias("size"),
-        F.regexp_extract(value, entry, 3).alias("comment"),
-    )
-
-
 def read_structure(spark: SparkSession, target: str) -> DataFrame:
     """(bundle_id, path) of the files the structure section lists, from its nesting."""
     node = r'\A( {4,})<(file path|folder name)="([^"]*)"(?: /)?>\z'

@@ -8,8 +8,10 @@ one huge folder does not end in one task.
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -43,11 +45,26 @@ class Shard(InputPartition):
     folders: list[Folder]
 
 
-def _open(uri: str):
-    """(file system, path) of a URI or a local path."""
+@lru_cache(maxsize=None)
+def _file_system(scheme: str, authority: str):
+    """(file system, path of its root), one per worker."""
     from pyarrow import fs  # starts threads, so not before a worker needs it
 
-    return fs.FileSystem.from_uri(uri if "://" in uri else os.path.abspath(uri))
+    if scheme == "file":
+        return fs.LocalFileSystem(), ""
+    return fs.FileSystem.from_uri(f"{scheme}://{authority}/")
+
+
+def open_uri(uri: str):
+    """(file system, path) of a URI or a local path; names are taken as they are, not %-decoded."""
+    if not re.match(r"[a-z][a-z0-9+.-]+:/", uri):
+        return _file_system("file", "")[0], os.path.abspath(uri)
+    scheme, _, rest = uri.partition(":")
+    if scheme == "file":
+        return _file_system("file", "")[0], re.sub(r"^/+", "/", rest)
+    authority, _, path = rest.removeprefix("//").partition("/")
+    files, base = _file_system(scheme, authority)
+    return files, f"{base.rstrip('/')}/{path}"
 
 
 def _children(files, path: str) -> Iterator[tuple[str, str, int | None]]:
@@ -86,7 +103,7 @@ class CorpusReader(DataSourceReader):
         self.shards = int(options.get("shards", "32"))
 
     def partitions(self) -> Sequence[InputPartition]:
-        files, root = _open(self.uri)
+        files, root = open_uri(self.uri)
         if self.by_child:
             work = [Folder(name, path, path, True) for name, path, size in _children(files, root) if size is None]
         else:
@@ -107,7 +124,7 @@ class CorpusReader(DataSourceReader):
         return [Shard(work[i :: self.shards]) for i in range(min(self.shards, max(len(work), 1)))]
 
     def read(self, partition: Shard) -> Iterator[tuple]:
-        files, _ = _open(self.uri)
+        files, _ = open_uri(self.uri)
         scheme = self.uri.split("://")[0] + "://" if "://" in self.uri else ""
         for folder in partition.folders:
             pending = [folder.path]
@@ -163,8 +180,8 @@ def read_contents(listing: DataFrame, utf8: bool = False, probe_only: bool = Tru
             for row in incoming.to_pylist():
                 content, error = None, None
                 try:
-                    files, path = _open(row["uri"])
-                    with files.open_input_stream(path) as stream:
+                    files, path = open_uri(row["uri"])
+                    with files.open_input_stream(path, compression=None) as stream:
                         content = read_bytes(stream, utf8, probe_only)
                 except OSError as failure:
                     error = os.strerror(failure.errno) if failure.errno else str(failure)

@@ -14,7 +14,7 @@ from sheafspark.options import BundleOptions
 from sheafspark.plans.pack import entries_of, pack
 from sheafspark.session import shared_dir, stage
 from sheafspark.sinks.bundles import ZLIB_LEVELS, sink_names, write_bundles, write_summary, written_bytes
-from sheafspark.sources.bundles import read_bundles, read_comments, read_structure
+from sheafspark.sources.bundles import read_bundles, read_structure
 
 CONTENTS = {
     "plain.txt": "alpha\nbeta\n",
@@ -150,7 +150,7 @@ def test_read_back_takes_entries_only(spark, make_files):
     text = {k: v for k, v in CONTENTS.items() if k not in ("bad.txt", "dir/sub/deep/png.bin")}
     write_bundles(document.document_rows(entries_of(make_files(text, "007"), RUN)), target)
     back = {r.path: (r.bundle_id, r.text) for r in read_bundles(spark, target).collect()}
-    assert back == {p: ("007", plain(t) or None) for p, t in text.items()}
+    assert back == {p: ("007", plain(t)) for p, t in text.items()}
 
 
 @pytest.mark.parametrize("split_bytes", [None, 700])
@@ -173,7 +173,10 @@ def test_structure_and_comments_are_read_over_splits(spark, make_files, split_by
     try:
         write_bundles(rows, target)
         assert sorted(r.path for r in read_structure(spark, target).collect()) == sorted(contents)
-        got = {(r.path, r.size, r.comment) for r in read_comments(spark, target).collect()}
+        back = read_bundles(spark, target).collect()
+        texts = {r.path: r.text for r in back}
+        got = {(r.path, r["size"], r.comment) for r in back if r.comment is not None}
+        assert texts == {p: plain(t) if isinstance(t, str) else None for p, t in contents.items()}
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", True)

@@ -1,5 +1,6 @@
 """Scanning folder trees, reading with a probe, read errors, and streams of files."""
 
+import gzip
 import io
 import os
 
@@ -84,6 +85,14 @@ def test_probe_reading_gives_the_same_entries(spark, tmp_path):
     assert [r[3] for r in rows[0]] == ["NullByte", "RecognizedMagic", None, "Utf16ConversionDisabled"]
 
 
+def test_compressed_files_are_read_as_they_are(spark, tmp_path):
+    packed = gzip.compress(b"text")
+    root = plant(tmp_path, {"a.gz": packed, "100%25 +.txt": "odd name"})
+    rows = {r.path: r for r in read_corpus(spark, root).collect()}
+    assert bytes(rows["a.gz"].content) == packed and rows["a.gz"]["size"] == len(packed)
+    assert bytes(rows["100%25 +.txt"].content) == b"odd name"
+
+
 def test_unreadable_file_becomes_an_entry(spark, tmp_path):
     root = plant(tmp_path, {"here.txt": "1", "gone.txt": "22"})
     listing = list_corpus(spark, root).withColumn(
