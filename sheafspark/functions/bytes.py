@@ -96,8 +96,10 @@ SIGNATURE_BYTES = 512
 
 # Control bytes that text does not use (tab, LF, CR are fine).
 CONTROL_CLASS = r"[\x01-\x08\x0B\x0C\x0E-\x1F\x7F]"
-# Control bytes and all else that XML 1.0 cannot hold.
-SUSPECT_CLASS = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F\uFFFE\uFFFF]"
+# Control bytes with NUL. As an intersection it scans several times faster than as ranges.
+SUSPECT_CLASS = r"[\p{Cntrl}&&[^\t\n\r]]"
+# UTF-8 of U+FFFE and U+FFFF, which XML 1.0 cannot hold either.
+NONCHARACTERS = ("EFBFBE", "EFBFBF")
 # After transcoding the C1 controls count as well.
 DECODED_CONTROL_CLASS = r"[\x01-\x08\x0B\x0C\x0E-\x1F\x7F-\x9F]"
 
@@ -167,7 +169,8 @@ def is_suspect(content: Column) -> Column:
     Most text holds none and is done with both tests after this one scan. A
     lossy view as text is enough: it keeps every control byte, being ASCII.
     """
-    return content.cast("string").rlike(SUSPECT_CLASS)
+    marks = [F.contains(content, _hex(mark)) for mark in NONCHARACTERS]
+    return content.cast("string").rlike(SUSPECT_CLASS) | marks[0] | marks[1]
 
 
 def control_density(content: Column, suspect: Column | None = None) -> Column:
