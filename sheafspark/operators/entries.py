@@ -74,40 +74,41 @@ def render_entries(entries: DataFrame) -> DataFrame:
     return entries.withColumn("entry_xml", entry_xml())
 
 
+# Fixed values: (condition, level, code, message), the message as a printf format and its arguments.
+_LOST = "with replacement characters; information was lost"
+DIAGNOSTICS = (
+    ("source_encoding IS NOT NULL", "info", "converted", "Converted '%s' from %s to UTF-8", "path, source_encoding"),
+    (
+        "source_encoding IS NOT NULL AND had_replacements", "warning", "lossy_conversion",
+        f"'%s' decoded as %s {_LOST}", "path, source_encoding",
+    ),
+    (
+        "utf8_had_replacements", "warning", "malformed_utf8",
+        f"'%s' contained malformed UTF-8 and was decoded {_LOST}", "path",
+    ),
+    (
+        "disposition = 'xml_omitted'", "warning", "xml_omitted",
+        "'%s' content was omitted because XML 1.0 cannot represent character %s", "path, code_point",
+    ),
+    ("disposition = 'read_error'", "error", "read_error", "Error reading file '%s': %s", "path, read_error"),
+)
+
+
 def diagnostics(entries: DataFrame, quiet: bool = False) -> DataFrame:
     """(bundle_id, path, level, code, message) for all that was converted, lost or left out.
 
     ``quiet`` keeps errors only.
     """
-    path = F.col("path")
-
-    def row(test: Column, level: str, code: str, *message: Column | str) -> Column:
-        parts = [F.lit(m) if isinstance(m, str) else m for m in message]
-        return F.when(
-            test,
-            F.struct(F.lit(level).alias("level"), F.lit(code).alias("code"), F.concat(*parts).alias("message")),
+    rows = [
+        F.when(
+            F.expr(condition),
+            F.struct(
+                F.lit(level).alias("level"),
+                F.lit(code).alias("code"),
+                F.format_string(message, *arguments.split(", ")).alias("message"),
+            ),
         )
-
-    encoding = F.col("source_encoding")
-    lost = "; information was lost"
-    rows = F.array(
-        row(encoding.isNotNull(), "info", "converted", "Converted '", path, "' from ", encoding, " to UTF-8"),
-        row(
-            encoding.isNotNull() & F.col("had_replacements"), "warning", "lossy_conversion",
-            "'", path, "' decoded as ", encoding, " with replacement characters" + lost,
-        ),
-        row(
-            F.col("utf8_had_replacements"), "warning", "malformed_utf8",
-            "'", path, "' contained malformed UTF-8 and was decoded with replacement characters" + lost,
-        ),
-        row(
-            F.col("disposition") == "xml_omitted", "warning", "xml_omitted",
-            "'", path, "' content was omitted because XML 1.0 cannot represent character ", F.col("code_point"),
-        ),
-        row(
-            F.col("disposition") == "read_error", "error", "read_error",
-            "Error reading file '", path, "': ", F.col("read_error"),
-        ),
-    )
-    kept = F.filter(rows, lambda r: r.isNotNull() & ((r["level"] == "error") | F.lit(not quiet)))
-    return entries.select("bundle_id", "path", F.inline(kept))
+        for condition, level, code, message, arguments in DIAGNOSTICS
+        if level == "error" or not quiet
+    ]
+    return entries.select("bundle_id", "path", F.inline(F.filter(F.array(*rows), lambda r: r.isNotNull())))

@@ -49,10 +49,12 @@ def exclusion_audit(
     return files.agg(*counts).select(F.inline(F.array(*rows)))
 
 
-# Roles of a name in a bundle, as reported for a bad one.
+# Roles of a name in a bundle, and what is wrong with a bad one.
 FILE_PATH = "repository file path"
 FILE_NAME = "repository structure file path"
 FOLDER_NAME = "repository structure folder name"
+TAB_REASON = "cannot round-trip through XML attributes"
+INVALID_REASON = "cannot be represented in XML 1.0"
 
 
 def path_violations(files: DataFrame) -> DataFrame:
@@ -82,9 +84,7 @@ def path_violations(files: DataFrame) -> DataFrame:
         .where("bad IS NOT NULL")
         .select("bundle_id", "role", "node_path", "value", "bad.code_point", "bad.byte_index")
     )
-    reason = F.when(
-        F.col("code_point") == "U+0009", "cannot round-trip through XML attributes"
-    ).otherwise("cannot be represented in XML 1.0")
+    reason = F.when(F.col("code_point") == "U+0009", TAB_REASON).otherwise(INVALID_REASON)
     return found.dropDuplicates(["bundle_id", "role", "node_path"]).withColumn("reason", reason)
 
 

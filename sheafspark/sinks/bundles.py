@@ -24,16 +24,25 @@ ZLIB_LEVELS = {
 ORDER = ("bundle_id", "section", "sort_key")
 
 
-def write_bundles(rows: DataFrame, target: str, gzip_level: int | None = None, staged: bool = False) -> None:
+def write_bundles(
+    rows: DataFrame,
+    target: str,
+    gzip_level: int | None = None,
+    staged: bool = False,
+    partitions: int | None = None,
+) -> None:
     """Write document rows below ``target``, plain or as gzip.
 
     Rows are split by range, so a huge bundle spreads over many tasks and
     files; gzip files put one after the other are again one gzip stream.
     Finding the ranges reads the rows twice, so they are staged first unless
-    ``staged`` says they already come from a cheap table.
+    ``staged`` says they already come from a cheap table. ``partitions`` should
+    give tasks that sort in memory (about total bytes / 256 MB); by default
+    it is the session's number of shuffle partitions, small ones merged.
     """
     rows = rows if staged else stage(rows)
-    ordered = rows.repartitionByRange(*ORDER).sortWithinPartitions(*ORDER)
+    ranges = rows.repartitionByRange(partitions, *ORDER) if partitions else rows.repartitionByRange(*ORDER)
+    ordered = ranges.sortWithinPartitions(*ORDER)
     writer = ordered.select("bundle_id", F.col("line").alias("value")).write.partitionBy("bundle_id")
     if gzip_level is not None:
         writer = writer.option("compression", "gzip").option("zlib.compress.level", ZLIB_LEVELS[gzip_level])
