@@ -96,8 +96,9 @@ SIGNATURE_BYTES = 512
 
 # Control bytes that text does not use (tab, LF, CR are fine).
 CONTROL_CLASS = r"[\x01-\x08\x0B\x0C\x0E-\x1F\x7F]"
-# Control bytes with NUL. As an intersection it scans several times faster than as ranges.
-SUSPECT_CLASS = r"[\p{Cntrl}&&[^\t\n\r]]"
+# Text free of NUL and control bytes. Single characters, not ranges, and one greedy run: Java
+# then looks each character up in a bit set, several times faster than a search for a class.
+CLEAN_TEXT = r"\A[^" + "".join(rf"\x{b:02X}" for b in (*range(9), 11, 12, *range(14, 32), 127)) + r"]*\z"
 # UTF-8 of U+FFFE and U+FFFF, which XML 1.0 cannot hold either.
 NONCHARACTERS = ("EFBFBE", "EFBFBF")
 # After transcoding the C1 controls count as well.
@@ -170,7 +171,7 @@ def is_suspect(content: Column) -> Column:
     lossy view as text is enough: it keeps every control byte, being ASCII.
     """
     marks = [F.contains(content, _hex(mark)) for mark in NONCHARACTERS]
-    return content.cast("string").rlike(SUSPECT_CLASS) | marks[0] | marks[1]
+    return ~content.cast("string").rlike(CLEAN_TEXT) | marks[0] | marks[1]
 
 
 def control_density(content: Column, suspect: Column | None = None) -> Column:
