@@ -337,10 +337,11 @@ def revisit_decisions(scanned: DataFrame, least: int = REVISIT_BYTES) -> DataFra
     )
 
 
-def convert(decisions: DataFrame, arc_folder: str, warc_folder: str) -> DataFrame:
+def convert(decisions: DataFrame, n_files: int, arc_folder: str, warc_folder: str) -> DataFrame:
     """Convert each ARC file with the decisions about its records; returns the manifest of WARC files.
 
-    A group is the decisions of one file, whose number of records is bounded.
+    A group is the decisions of one file, whose number of records is bounded. The decisions are thin and the files
+    are not, so the number of tasks follows from the files and is not left to the size of the decisions.
     """
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
@@ -357,7 +358,8 @@ def convert(decisions: DataFrame, arc_folder: str, warc_folder: str) -> DataFram
                 out.add(warc_record(record, name, refers.get(record.place)))
         return out.end().to_pandas()
 
-    return stage(decisions.groupBy("file").applyInPandas(run, MANIFEST))
+    by_file = decisions.repartition(max(1, min(n_files, 10_000)), "file")
+    return stage(by_file.groupBy("file").applyInPandas(run, MANIFEST))
 
 
 def read_warcs(manifest: DataFrame, folder: str) -> DataFrame:
@@ -394,7 +396,7 @@ def archive_round_trip(pages: DataFrame) -> DataFrame:
     arcs, warcs = storage.make_folder(spark), storage.make_folder(spark)
     manifest = write_arcs(pages, arcs)
     decisions = revisit_decisions(stage(scan_arcs(manifest, arcs)))
-    found = stage(read_warcs(convert(decisions, arcs, warcs), warcs))
+    found = stage(read_warcs(convert(decisions, manifest.count(), arcs, warcs), warcs))
     originals = found.where("record_type = 'response'").select(F.col("record_id").alias("_id"), F.col("page_id").alias("refers_to"))
     # Only revisits look for their response; a response has no reference and meets nothing.
     return found.join(originals, found["refers"] == originals["_id"], "left").select(
