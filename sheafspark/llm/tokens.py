@@ -21,7 +21,7 @@ import pyarrow as pa
 from sheafspark.llm.buffers import SPACED, Text, find_words, lowered
 
 #: A worker's memory of words is emptied when it holds this many.
-MEMORY_WORDS = 1_000_000
+MEMORY_WORDS = 500_000
 #: Words per call of the library.
 _CALL = 256
 
