@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sheafspark.llm.buffers import SPACED, Text, find_words, slices, text_of
-from sheafspark.llm.storage import free_name, schema_with, stage
+from sheafspark.llm.storage import schema_with, stage
 
 BITS, RADIUS, SHINGLE, SEED = 64, 2, 3, 42
 #: Fingerprints of one bucket that are compared with each other directly.
@@ -223,17 +223,22 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """The rows of ``docs`` that remain when one document of each group of near-duplicates stays.
 
-    It is the one with the smallest id, a row without id only in a group that has none. Of
-    repeated rows with that id one stays. All columns are kept as they are.
+    It is the one with the smallest id, a row without id only in a group that has none; among equal ids the text with the
+    smallest hash; of repeated rows one. All columns are kept as they are. What is decided about a row is found again
+    by its id and a hash of its text, so no copy of the texts is written.
     """
-    name = free_name(docs, "fp")
-    marked = stage(with_fingerprint(docs, name))
-    prints = marked.select(F.col("doc_id"), F.col(name).alias("fp"))
-    groups = stage(fingerprint_groups(prints, radius))
-    named = groups.select(F.col("fp").alias("_fp"), F.col("root").alias("_root"), F.col("component_id").alias("_id"), F.col("n_named").alias("_n"))
-    first = marked.join(named, marked[name] == F.col("_fp")).where(F.col("doc_id").eqNullSafe(F.col("_id")))
-    single = first.where("_n = 1").select(*[marked[c] for c in docs.columns])
-    if groups.where("n_named > 1 OR n_named IS NULL").isEmpty():
-        return single
-    several = first.where("_n > 1 OR _n IS NULL").dropDuplicates(["_root"])
-    return single.unionByName(several.select(*[F.col(c) for c in docs.columns]))
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("key"))
+    prints = stage(with_fingerprint(keyed, "fp").select("doc_id", "key", "fp"))
+    groups = fingerprint_groups(prints, radius).select("fp", "root")
+    rows = prints.groupBy("fp", "doc_id", "key").agg(F.count("*").alias("n")).join(groups, "fp")
+    rank = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "key")
+    first = rows.groupBy("root").agg(F.min(rank).alias("first"))
+    kept = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("key") == F.col("first.key"))
+    marks = stage(rows.join(first, "root").select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "n", kept.alias("kept")))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_key"))
+    rest = docs.join(marks.where("NOT kept"), same, "left_anti")
+    several = marks.where("kept AND n > 1")
+    if several.isEmpty():
+        return rest
+    once = rest.join(several, same, "left_semi").dropDuplicates(["doc_id", "text"])
+    return rest.join(several, same, "left_anti").unionByName(once)
