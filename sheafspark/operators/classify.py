@@ -15,7 +15,10 @@ def classify(files: DataFrame, utf8: bool = False) -> DataFrame:
     Text has a null ``binary_reason``. ``utf8`` says whether UTF-16 and legacy
     content will be transcoded later; without it UTF-16 counts as binary.
     ``suspect`` is false where no character needs a closer look. Rows with a
-    ``read_error`` have null content and are left unclassified.
+    ``read_error`` have null content and are left unclassified. Content that a
+    probe read has cut (``truncated``) must be binary here as well; otherwise
+    the reader ran with another ``utf8``, and the query fails rather than pass
+    the cut content on.
     """
     content = F.col("content")
     reason = f"""
@@ -25,6 +28,9 @@ def classify(files: DataFrame, utf8: bool = False) -> DataFrame:
                THEN 'RecognizedMagic'
              WHEN contains(content, X'00') THEN 'NullByte'
              WHEN _density > {B.CONTROL_DENSITY} THEN 'ControlDensity' END"""
+    if "truncated" in files.columns:
+        cut = "raise_error(concat('only the start of ', path, ' was read, for other options than these'))"
+        reason = f"CASE WHEN truncated AND ({reason}) IS NULL THEN CAST({cut} AS string) ELSE {reason} END"
     detail = """
         CASE binary_reason WHEN 'RecognizedMagic' THEN _magic
                            WHEN 'Utf16ConversionDisabled' THEN bom END"""

@@ -1,30 +1,32 @@
-"""Session helpers: shared scratch space, spreading small inputs, staging tables."""
+"""Session helpers: shared scratch space, staging tables, columns computed once."""
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Inputs below this size are cheap to shuffle and often sit in one row group.
-SPREAD_LIMIT_BYTES = 2 * 1024**3
-
 
 def shared_dir(spark: SparkSession) -> str:
     """A fresh folder name under the shared folder of the cluster.
 
-    The folder is the one named by ``spark.checkpoint.dir``; only a session
-    without that setting (a test) gets a temporary one of its own.
+    It is below the folder named by ``spark.checkpoint.dir``, in one folder per
+    application, which can be deleted when the application's results have been
+    read. Only a local session without that setting (a test) gets a temporary
+    folder of its own, which goes when the session's process ends.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="sheafspark-")
+        atexit.register(shutil.rmtree, base, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/sheafspark/{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/sheafspark/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
 
 
 def stage(df: DataFrame) -> DataFrame:
@@ -34,18 +36,6 @@ def stage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(target)
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Shuffle a small input over all cores; leave a large one as it is split.
-
-    A small Parquet table is one row group, so one task would do all the work.
-    A large one already arrives in many splits and must not be shuffled.
-    """
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    if size > SPREAD_LIMIT_BYTES:
-        return df
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, *keys)
-
-
 def attach(df: DataFrame, **columns: Column) -> DataFrame:
     """Add or replace columns that are costly, so that each is computed once.
 

@@ -1,4 +1,4 @@
-"""Write documents: one folder per bundle whose files, in name order, are the document."""
+"""Write documents: one folder per bundle whose files, by the number in their names, are the document."""
 
 from __future__ import annotations
 
@@ -38,9 +38,15 @@ def write_bundles(
     Finding the ranges reads the rows twice, so they are staged first unless
     ``staged`` says they already come from a cheap table. ``partitions`` should
     give tasks that sort in memory (about total bytes / 256 MB); by default
-    it is the session's number of shuffle partitions, small ones merged.
+    it is the session's number of shuffle partitions, small ones merged. A
+    bundle needs a name: null and empty ids would end in the same folder.
+    ``sources.bundles.document_order`` lists the files of a document in order.
     """
-    rows = rows if staged else stage(rows)
+    bundle = F.col("bundle_id").cast("string")
+    unnamed = F.raise_error(F.lit("a bundle without a name cannot be written"))
+    # Before the sort, so that the writer finds its partition column already in order.
+    named = F.when(bundle.isNull() | (bundle == ""), unnamed).otherwise(bundle)
+    rows = (rows if staged else stage(rows)).withColumn("bundle_id", named)
     ranges = rows.repartitionByRange(partitions, *ORDER) if partitions else rows.repartitionByRange(*ORDER)
     ordered = ranges.sortWithinPartitions(*ORDER)
     writer = ordered.select("bundle_id", F.col("line").alias("value")).write.partitionBy("bundle_id")

@@ -35,6 +35,17 @@ def bundle_of(file: Column) -> Column:
     return F.url_decode(F.replace(folder, F.lit("+"), F.lit("%2B")))
 
 
+def part_number(name: Column) -> Column:
+    """The number of a part file: beyond 99,999 the order of names is no longer that of numbers."""
+    return F.regexp_extract(name, r"part-(\d+)", 1).cast("bigint")
+
+
+def document_order(spark: SparkSession, target: str) -> DataFrame:
+    """(bundle_id, ordinal, file, length): the files of each written document in their order."""
+    order = Window.partitionBy("bundle_id").orderBy(part_number(F.regexp_extract("file", r"[^/]*\z", 0)), "file")
+    return written_files(spark, target).withColumn("ordinal", F.row_number().over(order))
+
+
 def written_files(spark: SparkSession, target: str) -> DataFrame:
     """(bundle_id, file, length) of the written files; contents are not read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(target)
@@ -103,7 +114,7 @@ def _lines(spark: SparkSession, target: str) -> DataFrame:
     return lines.select(
         "bundle_id",
         "value",
-        F.col("_metadata.file_name").alias("file"),
+        part_number(F.col("_metadata.file_name")).alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("pos"),
     )

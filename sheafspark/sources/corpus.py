@@ -1,8 +1,9 @@
 """File trees as corpora: a distributed listing, path filters, then balanced reading.
 
-The listing is a Python data source that yields thin rows. Paths are filtered
-before any content is read, and reading is spread by file, not by folder, so
-one huge folder does not end in one task.
+Folders are listed level by level: the folders of one level are rows, listing
+them in tasks gives files and the folders of the next level. The driver holds
+no names. Paths are filtered before any content is read, and reading is spread
+by bytes, so neither a huge folder nor many small files end in one task.
 """
 
 from __future__ import annotations
@@ -10,13 +11,11 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
 from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from sheafspark.functions.bytes import BOMS, PROBE_BYTES, SIGNATURES
 from sheafspark.operators import ignore, select
@@ -25,26 +24,13 @@ from sheafspark.session import stage
 
 # A reader task hands over a batch when it holds this many bytes.
 BATCH_BYTES = 32 * 1024 * 1024
+# What a reading task gets on average, at most.
+TASK_BYTES, TASK_FILES = 128 * 1024 * 1024, 20_000
 
 _SIGNATURES = tuple(tuple((offset, bytes.fromhex(h)) for offset, h in parts) for _, parts in SIGNATURES)
 _BOMS = {name: bytes.fromhex(h) for name, h in BOMS}
 
 
-@dataclass(frozen=True)
-class Folder:
-    """A folder of a bundle that one listing task walks (or lists, if not deep)."""
-
-    bundle_id: str
-    root: str
-    path: str
-    deep: bool
-
-
-@dataclass
-class Shard(InputPartition):
-    folders: list[Folder]
-
-
 @lru_cache(maxsize=None)
 def _file_system(scheme: str, authority: str):
     """(file system, path of its root), one per worker."""
@@ -67,80 +53,110 @@ def open_uri(uri: str):
     return files, f"{base.rstrip('/')}/{path}"
 
 
-def _children(files, path: str) -> Iterator[tuple[str, str, int | None]]:
-    """(name, path, size) in a folder, size None for folders; no symbolic links."""
+def _children(files, path: str) -> Iterator[tuple[str, str, int | None, str | None]]:
+    """(name, path, size, error) in a folder, size None for folders; no symbolic links."""
     from pyarrow import fs
 
-    local = files.type_name == "local"
-    for info in files.get_file_info(fs.FileSelector(path)):
-        if not (local and os.path.islink(info.path)):
-            yield info.base_name, info.path, info.size if info.type == fs.FileType.File else None
+    if files.type_name != "local":
+        for info in files.get_file_info(fs.FileSelector(path)):
+            yield info.base_name, info.path, info.size if info.type == fs.FileType.File else None, None
+        return
+    with os.scandir(path) as found:
+        for entry in found:
+            if entry.is_symlink():
+                continue
+            try:
+                if entry.is_dir(follow_symlinks=False):
+                    yield entry.name, entry.path, None, None
+                elif entry.is_file(follow_symlinks=False):
+                    yield entry.name, entry.path, entry.stat(follow_symlinks=False).st_size, None
+            except OSError as failure:
+                yield entry.name, entry.path, 0, _said(failure)
+
+
+def _said(failure: OSError) -> str:
+    return os.strerror(failure.errno) if failure.errno else str(failure)
+
+
+def _prefix(uri: str) -> str:
+    """What turns a path of the URI's file system back into a URI, authority included."""
+    if not re.match(r"[a-z][a-z0-9+.-]+://", uri) or uri.startswith("file:"):
+        return ""
+    scheme, _, rest = uri.partition("://")
+    authority = rest.partition("/")[0]
+    # Object stores have the bucket as the first part of each path, other stores begin at the root.
+    in_path = _file_system(scheme, authority)[1].strip("/")
+    return f"{scheme}://" if in_path else f"{scheme}://{authority}"
+
+
+def _list_level(folders: DataFrame, uri: str, by_child: bool, strict: bool) -> DataFrame:
+    """Everything directly in the given folders."""
+
+    def list_folders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, top = open_uri(uri)
+        before = _prefix(uri)
+        names = ["bundle_id", "path", "size", "uri", "is_folder", "list_error"]
+        types = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.bool_(), pa.string()]
+
+        def batch(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
+
+        rows = []
+        for incoming in batches:
+            for bundle, folder in zip(incoming["bundle_id"].to_pylist(), incoming["path"].to_pylist()):
+                place = f"{top.rstrip('/')}/{folder}" if folder else top
+                try:
+                    for name, path, size, error in _children(files, place):
+                        inner = f"{folder}/{name}" if folder else name
+                        # With bundles by child, the first level gives the bundles their names.
+                        named = name if by_child and not folder else bundle
+                        if error and strict:
+                            raise RuntimeError(f"{path}: {error}")
+                        rows.append((named, inner, size, before + path, size is None, error))
+                        if len(rows) >= 50_000:
+                            yield batch(rows)
+                            rows = []
+                except OSError as failure:
+                    rows.append((bundle, folder, 0, before + place, False, _said(failure)))
+        if rows:
+            yield batch(rows)
+
+    return folders.select("bundle_id", "path").mapInArrow(list_folders, f"{LISTING}, is_folder boolean, list_error string")
 
 
-class CorpusSource(DataSource):
-    """``spark.read.format("corpus")``: lists the regular files below a folder.
+def list_corpus(
+    spark: SparkSession, path: str, bundles: str = "self", shards: int | None = None, on_stat_error: str = "fail"
+) -> DataFrame:
+    """(bundle_id, path, size, uri, list_error) of all regular files, dot-files included.
 
-    Options: ``path``; ``bundles``, either 'self' (the folder is one bundle,
-    default) or 'children' (each sub-folder is one); ``shards``, how many
-    listing tasks to aim for.
+    ``bundles`` is 'self' (the folder is one bundle) or 'children' (each
+    sub-folder is one). A folder that cannot be listed or has vanished gives one
+    row with its error and does not stop the others; the top folder must be
+    there. A file whose size
+    cannot be asked for stops the listing (``on_stat_error='fail'``) or is a row with its error ('keep').
     """
-
-    @classmethod
-    def name(cls) -> str:
-        return "corpus"
-
-    def schema(self) -> str:
-        return LISTING
-
-    def reader(self, schema) -> DataSourceReader:
-        return CorpusReader(self.options)
-
-
-class CorpusReader(DataSourceReader):
-    def __init__(self, options):
-        self.uri = options["path"]
-        self.by_child = options.get("bundles", "self") == "children"
-        self.shards = int(options.get("shards", "32"))
-
-    def partitions(self) -> Sequence[InputPartition]:
-        files, root = open_uri(self.uri)
-        if self.by_child:
-            work = [Folder(name, path, path, True) for name, path, size in _children(files, root) if size is None]
-        else:
-            work = [Folder(os.path.basename(root.rstrip("/")), root, root, True)]
-        # Open folders breadth first only until there is enough to share out.
-        done, level = [], work
-        while level and len(done) + len(level) < self.shards:
-            below = []
-            for folder in level:
-                done.append(Folder(folder.bundle_id, folder.root, folder.path, False))
-                below += [
-                    Folder(folder.bundle_id, folder.root, path, True)
-                    for _, path, size in _children(files, folder.path)
-                    if size is None
-                ]
-            level = below
-        work = done + level
-        return [Shard(work[i :: self.shards]) for i in range(min(self.shards, max(len(work), 1)))]
-
-    def read(self, partition: Shard) -> Iterator[tuple]:
-        files, _ = open_uri(self.uri)
-        scheme = self.uri.split("://")[0] + "://" if "://" in self.uri else ""
-        for folder in partition.folders:
-            pending = [folder.path]
-            while pending:
-                for _, path, size in _children(files, pending.pop()):
-                    if size is not None:
-                        yield folder.bundle_id, path[len(folder.root.rstrip("/")) + 1 :], size, scheme + path
-                    elif folder.deep:
-                        pending.append(path)
-
-
-def list_corpus(spark: SparkSession, path: str, bundles: str = "self", shards: int | None = None) -> DataFrame:
-    """(bundle_id, path, size, uri) of all regular files, dot-files included."""
-    spark.dataSource.register(CorpusSource)
-    wanted = shards or 4 * spark.sparkContext.defaultParallelism
-    return spark.read.format("corpus").option("bundles", bundles).option("shards", wanted).load(path)
+    files, root = open_uri(path)
+    for _ in _children(files, root):  # a missing top folder is a mistake of the caller
+        break
+    by_child = bundles == "children"
+    level = spark.createDataFrame([(os.path.basename(root.rstrip("/")), "")], "bundle_id string, path string")
+    found = None
+    while True:
+        listed = stage(_list_level(level, path, by_child, on_stat_error == "fail"))
+        entries = listed.where("NOT is_folder")
+        if by_child:
+            # Files beside the bundles belong to none; paths start below the bundle's folder.
+            inner = F.col("path").contains("/") | F.col("list_error").isNotNull()
+            below = F.substring("path", F.length("bundle_id") + 2, F.length("path"))
+            entries = entries.where(inner).withColumn("path", below)
+        found = entries if found is None else found.unionByName(entries)
+        folders = listed.where("is_folder")
+        count = folders.count()
+        if not count:
+            break
+        wanted = shards or 4 * spark.sparkContext.defaultParallelism
+        level = folders.select("bundle_id", "path").repartition(max(1, min(count, wanted)))
+    return found.select("bundle_id", "path", "size", "uri", "list_error")
 
 
 def _known_binary(start: bytes, utf8: bool) -> bool:
@@ -164,12 +180,19 @@ def read_bytes(stream, utf8: bool, probe_only: bool) -> bytes:
     return start + stream.read()
 
 
-def read_contents(listing: DataFrame, utf8: bool = False, probe_only: bool = True) -> DataFrame:
-    """The ``files`` table of a listing; an unreadable file keeps a row with its error."""
+def read_contents(listing: DataFrame, utf8: bool = False, probe_only: bool = False) -> DataFrame:
+    """The ``files`` table of a listing; an unreadable file keeps a row with its error.
+
+    The listing is read twice, first for its sum of bytes, which gives the
+    number of tasks: thin rows say nothing about the files behind them. With
+    ``probe_only`` only the start of a file is read where that decides that it
+    is binary; such rows are marked in a column ``truncated``, and ``classify``
+    refuses them if it comes to another result.
+    """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["bundle_id", "path", "size", "content", "read_error"]
-        types = [pa.string(), pa.string(), pa.int64(), pa.binary(), pa.string()]
+        names = ["bundle_id", "path", "size", "content", "read_error"] + ["truncated"] * probe_only
+        types = [pa.string(), pa.string(), pa.int64(), pa.binary(), pa.string()] + [pa.bool_()] * probe_only
         rows, held = [], 0
 
         def batch() -> pa.RecordBatch:
@@ -178,14 +201,16 @@ def read_contents(listing: DataFrame, utf8: bool = False, probe_only: bool = Tru
 
         for incoming in batches:
             for row in incoming.to_pylist():
-                content, error = None, None
+                content, error, cut = None, row["list_error"], False
                 try:
-                    files, path = open_uri(row["uri"])
-                    with files.open_input_stream(path, compression=None) as stream:
-                        content = read_bytes(stream, utf8, probe_only)
+                    if error is None:
+                        files, path = open_uri(row["uri"])
+                        with files.open_input_stream(path, compression=None) as stream:
+                            content = read_bytes(stream, utf8, probe_only)
+                            cut = probe_only and len(content) == PROBE_BYTES and bool(stream.read(1))
                 except OSError as failure:
-                    error = os.strerror(failure.errno) if failure.errno else str(failure)
-                rows.append((row["bundle_id"], row["path"], row["size"], content, error))
+                    error = _said(failure)
+                rows.append((row["bundle_id"], row["path"], row["size"], content, error) + (cut,) * probe_only)
                 held += len(content or b"")
                 if held >= BATCH_BYTES:
                     yield batch()
@@ -193,8 +218,13 @@ def read_contents(listing: DataFrame, utf8: bool = False, probe_only: bool = Tru
         if rows:
             yield batch()
 
-    spread = listing.select("bundle_id", "path", "size", "uri").repartition(F.col("bundle_id"), F.col("path"))
-    return spread.mapInArrow(read, FILES)
+    failed = F.col("list_error") if "list_error" in listing.columns else F.lit(None).cast("string")
+    thin = listing.select("bundle_id", "path", "size", "uri", failed.alias("list_error"))
+    total = thin.agg(F.count("*").alias("n"), F.sum("size").alias("bytes")).first()
+    cores = thin.sparkSession.sparkContext.defaultParallelism
+    tasks = max(min(cores, total["n"]), -(-(total["bytes"] or 0) // TASK_BYTES), -(-total["n"] // TASK_FILES), 1)
+    schema = FILES + ", truncated boolean" if probe_only else FILES
+    return thin.repartition(tasks, "bundle_id", "path").mapInArrow(read, schema)
 
 
 def rule_files(listing: DataFrame) -> DataFrame:
@@ -225,15 +255,15 @@ def read_corpus(
     replace: Sequence[str] | None = None,
     utf8: bool = False,
     ignore_files: bool = True,
-    probe_only: bool = True,
+    probe_only: bool = False,
+    on_stat_error: str = "fail",
 ) -> DataFrame:
     """List, drop ignored and excluded paths, then read what is left.
 
-    Several steps look at the listing, so the folders are walked once into a
-    staged table.
+    Several steps look at the listing; the levels of the folder trees are staged
+    tables. Folders that could not be listed stay as rows with their error.
     """
-    listing = list_corpus(spark, path, bundles)
-    listing = stage(listing) if ignore_files else listing
+    listing = list_corpus(spark, path, bundles, on_stat_error=on_stat_error)
     kept = select.exclude_paths(listing, extend, replace)
     if ignore_files:
         kept = ignore.apply_ignore_rules(kept, ignore.parse_ignore_rules(rule_files(listing)))

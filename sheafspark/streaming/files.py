@@ -9,20 +9,36 @@ from pyspark.sql.streaming import StreamingQuery
 from sheafspark.options import BundleOptions
 from sheafspark.plans.pack import entries_of
 
+def _bare(folder: str) -> str:
+    """The path of a folder without scheme and outer slashes."""
+    if "://" in folder:
+        folder = folder.split("://", 1)[1]
+    elif folder.startswith("file:"):
+        folder = folder.removeprefix("file:")
+    return folder.strip("/")
+
+
 _BINARY_FILE = "path string, modificationTime timestamp, length bigint, content binary"
 
 
 def watch_files(spark: SparkSession, folder: str, bundle_id: str, max_files: int = 1000) -> DataFrame:
-    """A ``files`` stream of what lands in ``folder``; paths are relative to it."""
+    """A ``files`` stream of what lands in ``folder``; paths are relative to it.
+
+    Files that vanish before they are read are passed over. Spark's file stream
+    does not see names that begin with a dot or an underscore; a batch run
+    (``read_corpus``) does.
+    """
     arriving = (
         spark.readStream.format("binaryFile")
         .schema(_BINARY_FILE)
         .option("recursiveFileLookup", "true")
         .option("maxFilesPerTrigger", max_files)
+        .option("ignoreMissingFiles", "true")
         .load(folder)
     )
-    root = folder.rstrip("/").split("://")[-1]
-    relative = F.substring_index(F.col("path"), root + "/", -1)
+    # Spark reports whole URIs. The root is their start, wherever its name occurs again below.
+    path, root = F.regexp_replace("path", r"^[a-z][a-z0-9+.-]*:/*", "/"), f"/{_bare(folder)}/"
+    relative = F.substring(path, F.lit(len(root) + 1), F.length("path"))
     return arriving.select(
         F.lit(bundle_id).alias("bundle_id"),
         relative.alias("path"),

@@ -14,7 +14,7 @@ from sheafspark.options import BundleOptions
 from sheafspark.plans.pack import entries_of, pack
 from sheafspark.session import shared_dir, stage
 from sheafspark.sinks.bundles import ZLIB_LEVELS, sink_names, write_bundles, write_summary, written_bytes
-from sheafspark.sources.bundles import read_bundles, read_structure
+from sheafspark.sources.bundles import document_order, read_bundles, read_structure
 
 CONTENTS = {
     "plain.txt": "alpha\nbeta\n",
@@ -250,3 +250,21 @@ def test_compression_profile(spark, make_files):
     got = {r.level: (r.plain_bytes, r.gzip_bytes) for r in metrics.compression_profile(rows, (1, 9)).collect()}
     assert got[1][0] == got[9][0] == document.document_sizes(rows).first().xml_bytes
     assert got[9][1] <= got[1][1] < got[1][0]
+
+
+def test_parts_in_the_order_of_their_numbers(spark, tmp_path):
+    folder = tmp_path / "bundle_id=b"
+    folder.mkdir()
+    head = '    <folder name="a">\n        <file path="f" />\n'
+    rest = f'        <file path="g" />\n    </folder>\n{document.STRUCTURE_END}\n'
+    (folder / "part-99999-x.c000.txt").write_text(head)
+    (folder / "part-100000-x.c000.txt").write_text(rest)
+    order = document_order(spark, str(tmp_path)).orderBy("ordinal").collect()
+    assert [r.file.rsplit("part-")[-1][:6] for r in order] == ["99999-", "100000"]
+    assert {r.path for r in read_structure(spark, str(tmp_path)).collect()} == {"a/f", "a/g"}
+
+
+def test_bundles_need_names(spark, make_files):
+    rows = document.document_rows(entries_of(make_files({"a": "x"}, bundle="")))
+    with pytest.raises(Exception, match="without a name"):
+        write_bundles(rows, shared_dir(spark))

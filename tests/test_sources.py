@@ -4,13 +4,14 @@ import gzip
 import io
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from sheafspark.functions.bytes import PROBE_BYTES
 from sheafspark.options import BundleOptions
 from sheafspark.plans.pack import entries_of
 from sheafspark.session import shared_dir
-from sheafspark.sources.corpus import list_corpus, read_bytes, read_contents, read_corpus
+from sheafspark.sources.corpus import _list_level, list_corpus, read_bytes, read_contents, read_corpus
 from sheafspark.streaming.files import running_totals, watch_files, write_entries
 
 PNG = b"\x89PNG\r\n\x1a\n"
@@ -85,6 +86,43 @@ def test_probe_reading_gives_the_same_entries(spark, tmp_path):
     assert [r[3] for r in rows[0]] == ["NullByte", "RecognizedMagic", None, "Utf16ConversionDisabled"]
 
 
+def test_whole_files_by_default_and_cut_ones_never_pass(spark, tmp_path):
+    wide = b"\xff\xfe" + "".join(f"row {i:05d} of a wide file\n" for i in range(5000)).encode("utf-16-le")
+    root = plant(tmp_path, {"wide.txt": wide})
+    row = entries_of(read_corpus(spark, root), BundleOptions(utf8=True)).first()
+    assert (row.disposition, row.lines, row["size"]) == ("text", 5000, len(wide))
+    cut = read_corpus(spark, root, probe_only=True)
+    assert cut.first().truncated and entries_of(cut).first().binary_reason == "Utf16ConversionDisabled"
+    with pytest.raises(Exception, match="only the start of wide.txt"):
+        entries_of(cut, BundleOptions(utf8=True)).collect()
+
+
+def test_many_small_files_are_read_by_all_cores(spark, tmp_path):
+    root = plant(tmp_path, {f"d/{i}.txt": "x" for i in range(300)})
+    files = read_corpus(spark, root, ignore_files=False)
+    assert files.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and files.count() == 300
+
+
+def test_folders_that_cannot_be_listed_do_not_stop_the_scan(spark, tmp_path):
+    root = plant(tmp_path, {"a/x.txt": "x", "b/y.txt": "y"})
+    (tmp_path / "b" / "locked").mkdir()
+    listed = _list_level(spark.createDataFrame([("s", "a"), ("s", "gone"), ("s", "b")], "bundle_id string, path string"), root, False, True)
+    rows = {r.path: r for r in listed.collect()}
+    assert rows["a/x.txt"]["size"] == 1 and rows["b/locked"].is_folder
+    assert rows["gone"].list_error == "No such file or directory" and not rows["gone"].is_folder
+    broken = read_contents(listed.where("NOT is_folder"))
+    assert {(r.path, r.read_error) for r in broken.collect()} == {("a/x.txt", None), ("b/y.txt", None), ("gone", "No such file or directory")}
+    with pytest.raises(FileNotFoundError):
+        list_corpus(spark, root + "/nowhere")
+
+
+def test_stream_paths_begin_below_the_root(spark, tmp_path):
+    root = plant(tmp_path / "data", {"x/data/y.txt": "1", "y.txt": "2"})
+    target, checkpoint = shared_dir(spark), shared_dir(spark)
+    write_entries(watch_files(spark, root, "inbox"), target, checkpoint).awaitTermination()
+    assert {r.path for r in spark.read.parquet(target).collect()} == {"x/data/y.txt", "y.txt"}
+
+
 def test_compressed_files_are_read_as_they_are(spark, tmp_path):
     packed = gzip.compress(b"text")
     root = plant(tmp_path, {"a.gz": packed, "100%25 +.txt": "odd name"})
