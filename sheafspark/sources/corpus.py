@@ -266,5 +266,5 @@ def read_corpus(
     listing = list_corpus(spark, path, bundles, on_stat_error=on_stat_error)
     kept = select.exclude_paths(listing, extend, replace)
     if ignore_files:
-        kept = ignore.apply_ignore_rules(kept, ignore.parse_ignore_rules(rule_files(listing)))
+        kept = stage(ignore.apply_ignore_rules(kept, ignore.parse_ignore_rules(rule_files(listing))))
     return read_contents(kept, utf8, probe_only)
