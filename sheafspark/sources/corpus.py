@@ -16,6 +16,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from sheafspark.functions.bytes import BOMS, PROBE_BYTES, SIGNATURES
 from sheafspark.operators import ignore, select
@@ -159,6 +160,44 @@ def list_corpus(
     return found.select("bundle_id", "path", "size", "uri", "list_error")
 
 
+class CorpusSource(DataSource):
+    """``spark.read.format("corpus").load(folder)``: one folder as one bundle, for SQL and small trees.
+
+    One task per folder directly below; ``list_corpus`` splits deeper and keeps errors as rows.
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "corpus"
+
+    def schema(self) -> str:
+        return LISTING
+
+    def reader(self, schema) -> DataSourceReader:
+        return CorpusReader(self.options["path"])
+
+
+class CorpusReader(DataSourceReader):
+    def __init__(self, uri: str):
+        self.uri = uri
+
+    def partitions(self) -> Sequence[InputPartition]:
+        files, top = open_uri(self.uri)
+        inner = [path for _, path, size, _ in _children(files, top) if size is None]
+        return [InputPartition(None), *map(InputPartition, inner)]
+
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        files, top = open_uri(self.uri)
+        before, base = _prefix(self.uri), top.rstrip("/")
+        pending = [partition.value or top]
+        while pending:
+            for _, path, size, _ in _children(files, pending.pop()):
+                if size is not None:
+                    yield os.path.basename(base), path[len(base) + 1 :], size, before + path
+                elif partition.value:
+                    pending.append(path)
+
+
 def _known_binary(start: bytes, utf8: bool) -> bool:
     """Whether the first bytes already decide that a file is binary."""
     if start.startswith((_BOMS["UTF-16LE"], _BOMS["UTF-16BE"])):
