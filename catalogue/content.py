@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalogue import corpora as C
-from catalogue.sql import with_
+from catalogue.sql import quoted, with_
 from sheafspark.functions import bytes as B
 from sheafspark.operators.classify import classification_profile, classification_rollup, classify
 from sheafspark.operators.decode import conversion_report, decode_files, decode_metrics
@@ -118,6 +118,96 @@ def _bad_bom(spark, sf):
     return from_table(docs, F.col("source"), F.col("doc_id").cast("string"), content)
 
 
+# One sentence per charset as (label, Python codec, sentence).
+SENTENCES = (
+    ("Shift_JIS", "cp932", "古い日記には天気のことがたくさん書いてあり、どの行も大切です。"),
+    ("EUC-JP", "euc_jp", "古い日記には天気のことがたくさん書いてあり、どの行も大切です。"),
+    ("ISO-2022-JP", "iso2022_jp", "古い日記には天気のことがたくさん書いてあり、どの行も大切です。"),
+    ("GBK", "gbk", "这本旧日记里写着许多年的天气，每一行对水手来说都很重要。"),
+    ("Big5", "big5", "這本舊日記裡寫著許多年的天氣，每一行對水手來說都很重要。"),
+    ("EUC-KR", "cp949", "오래된 일기에는 여러 해의 날씨가 적혀 있고 모든 줄이 중요하다."),
+    ("windows-1250", "cp1250", "Stary dziennik przechowuje zapiski o pogodzie, a każda linijka była ważna dla żeglarzy."),
+    ("windows-1251", "cp1251", "Старый журнал хранит записи о погоде за много лет, и каждая строка важна."),
+    ("KOI8-U", "koi8_u", "Старый журнал хранит записи о погоде за много лет, и каждая строка важна."),
+    ("windows-1252", "cp1252", "El viejo diario guarda notas del año pasado; ¿qué línea importa más?"),
+    ("windows-1253", "cp1253", "Το παλιό ημερολόγιο κρατά σημειώσεις για τον καιρό και κάθε γραμμή έχει σημασία."),
+    ("windows-1255", "cp1255", "היומן הישן שומר רשימות על מזג האוויר לאורך שנים רבות וכל שורה חשובה."),
+    ("windows-1256", "cp1256", "يحفظ الدفتر القديم ملاحظات عن الطقس لسنوات طويلة وكل سطر مهم."),
+    ("windows-874", "cp874", "สมุดบันทึกเก่าเก็บเรื่องสภาพอากาศไว้หลายปี และทุกบรรทัดมีความสำคัญ"),
+)
+
+
+def legacy_charsets(spark, sf):
+    """The plain letters of every document behind a sentence in one of the legacy charsets."""
+    docs = C.table(spark, sf, "documents", "doc_id")
+    encoded = F.array(*[F.lit(sentence.encode(codec)) for _, codec, sentence in SENTENCES])
+    start = F.element_at(encoded, (F.col("doc_id") % len(SENTENCES) + 1).cast("int"))
+    plain = F.encode(F.regexp_replace("text", r"[^\x00-\x7f]", ""), "UTF-8")
+    files = from_table(docs, F.col("source"), F.col("doc_id").cast("string"), F.concat(start, plain))
+    decoded = decode_files(classify(files, True), True)
+    return decoded.select("path", "decode_class", "source_encoding", "had_replacements", F.md5("text").alias("text_md5"))
+
+
+# Starts of binary files as (media type, hex).
+_LOCAL, _FIELDS = "504B0304", "00" * 26
+STARTS = (
+    ("image/png", "89504E470D0A1A0A"),
+    ("image/jpeg", "FFD8FFE0"),
+    ("image/gif", "474946383961"),
+    ("image/webp", "524946460000000057454250"),
+    ("image/tiff", "49492A00"),
+    ("image/vnd.microsoft.icon", "00000100"),
+    ("application/pdf", "255044462D"),
+    ("application/gzip", "1F8B08"),
+    ("application/x-bzip2", "425A6839"),
+    ("application/x-xz", "FD377A585A00"),
+    ("application/zstd", "28B52FFD"),
+    ("application/x-7z-compressed", "377ABCAF271C"),
+    ("application/vnd.rar", "526172211A0700"),
+    ("application/x-tar", "20" * 257 + "7573746172"),
+    ("application/x-executable", "7F454C46"),
+    ("application/x-mach-binary", "FEEDFACF"),
+    ("application/java", "CAFEBABE"),
+    ("application/wasm", "0061736D"),
+    ("application/vnd.sqlite3", "53514C697465"),
+    ("audio/mpeg", "494433"),
+    ("audio/ogg", "4F676753"),
+    ("audio/x-flac", "664C6143"),
+    ("audio/x-wav", "524946460000000057415645"),
+    ("video/mp4", "000000186674797069736F6D"),
+    ("application/font-woff2", "774F463200010000"),
+    ("application/rtf", "7B5C727466"),
+    ("application/zip", _LOCAL + _FIELDS + "612E747874"),
+    ("application/java-archive", _LOCAL + _FIELDS + "4D4554412D494E462F"),
+    (
+        "application/vnd.openxmlformats-officedocument.wordprocessingml.document",
+        _LOCAL + _FIELDS + "5B436F6E74656E745F54797065735D2E786D6C" + _LOCAL + _FIELDS + "776F72642F",
+    ),
+    (
+        "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet",
+        _LOCAL + _FIELDS + "5B436F6E74656E745F54797065735D2E786D6C" + "AA" * 600 + _LOCAL + _FIELDS + "786C2F",
+    ),
+    (
+        "application/vnd.openxmlformats-officedocument.presentationml.presentation",
+        _LOCAL + _FIELDS + "5B436F6E74656E745F54797065735D2E786D6C" + _LOCAL + _FIELDS + "7070742F",
+    ),
+    (
+        "application/vnd.oasis.opendocument.text",
+        _LOCAL + _FIELDS + "6D696D65747970656170706C69636174696F6E2F766E642E6F617369732E6F70656E646F63756D656E742E74657874" + _LOCAL,
+    ),
+)
+
+
+def binary_starts(spark, sf):
+    """Every document behind the start of some kind of binary file; the type must be told by it."""
+    docs = C.table(spark, sf, "documents", "doc_id")
+    starts = F.array(*[F.lit(bytes.fromhex(start)) for _, start in STARTS])
+    start = F.element_at(starts, (F.col("doc_id") % len(STARTS) + 1).cast("int"))
+    files = from_table(docs, F.col("source"), F.col("doc_id").cast("string"), F.concat(start, F.encode("text", "UTF-8")))
+    heads = files.withColumn("head", B.head(F.col("content"))).withColumn("mime", B.magic_mime("head"))
+    return heads.select("path", B.refined_mime("mime", "content").alias("mime"))
+
+
 def malformed_bom_on(spark, sf):
     return _texts(decode_files(classify(_bad_bom(spark, sf), True), True))
 
@@ -153,6 +243,8 @@ QUERIES = {
     "utf8_decode": decode_on,
     "utf16_decode": utf16_decode,
     "implausible_text": implausible_text,
+    "legacy_charsets": legacy_charsets,
+    "binary_starts": binary_starts,
     "malformed_bom_on": malformed_bom_on,
     "malformed_bom_off": malformed_bom_off,
     "conversion_report": conversions,
@@ -177,6 +269,11 @@ def _texts_sql(mode: str) -> str:
   md5(text_{mode}) AS text_md5, octet_length(encode(text_{mode})) AS text_bytes FROM byte_files"""
 
 
+def _pick(values: list[str]) -> str:
+    """The value at doc_id modulo their number."""
+    return f"list_extract([{', '.join(quoted(v) for v in values)}], CAST(doc_id % {len(values)} + 1 AS BIGINT))"
+
+
 def _bad_bom_sql(utf8: bool) -> str:
     return f"""
 SELECT source AS bundle_id, CAST(doc_id AS VARCHAR) AS path,
@@ -234,6 +331,12 @@ FROM documents""",
     "implausible_text": """
 SELECT source AS bundle_id, CAST(doc_id AS VARCHAR) AS path, 2 + 4 * length(text) AS size
 FROM documents WHERE doc_id % 3 = 0""",
+    "legacy_charsets": f"""
+SELECT CAST(doc_id AS VARCHAR) AS path, 'transcoded' AS decode_class,
+  {_pick([label for label, _, _ in SENTENCES])} AS source_encoding, false AS had_replacements,
+  md5({_pick([sentence for _, _, sentence in SENTENCES])} || regexp_replace(text, '[^\\x00-\\x7f]', '', 'g')) AS text_md5
+FROM documents""",
+    "binary_starts": f"SELECT CAST(doc_id AS VARCHAR) AS path, {_pick([mime for mime, _ in STARTS])} AS mime FROM documents",
     "malformed_bom_on": _bad_bom_sql(True),
     "malformed_bom_off": _bad_bom_sql(False),
     "conversion_report": _BYTES

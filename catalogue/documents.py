@@ -56,6 +56,11 @@ def directory_rollup(spark, sf):
     return tree.directory_rollup(entries(C.docs(spark, sf)), "size", "lines")
 
 
+def folder_ranks(spark, sf):
+    """The five folders of each bundle with the most bytes below them."""
+    return tree.largest_folders(directory_rollup(spark, sf), "size", 5)
+
+
 def depth_profile(spark, sf):
     return tree.depth_profile(tree.tree_nodes(_paths(C.pages(spark, sf))))
 
@@ -241,6 +246,7 @@ QUERIES = {
     "children_listing": children_listing,
     "folder_sizes": folder_sizes,
     "directory_rollup": directory_rollup,
+    "folder_ranks": folder_ranks,
     "depth_profile": depth_profile,
     "structure_rows": structure_rows,
     "bundle_documents": bundle_documents,
@@ -347,6 +353,15 @@ chat_files AS (
     octet_length(encode(text)) AS size, text FROM conversations)
 """
 
+_ROLLUP = (
+    with_(C.DOCS, Q.folders("docs"))
+    + f"""SELECT f.bundle_id, f.node_path, count(*) AS n_files, CAST(sum(size) AS BIGINT) AS size,
+  CAST(sum({Q.lines('text')}) AS BIGINT) AS lines
+FROM (SELECT * FROM folders UNION ALL SELECT DISTINCT bundle_id, '' FROM docs) f
+JOIN docs d ON f.bundle_id = d.bundle_id AND (f.node_path = '' OR starts_with(d.path, f.node_path || '/'))
+GROUP BY f.bundle_id, f.node_path"""
+)
+
 SQL = {
     "tree_nodes": _tree_sql(C.DOCS, "docs"),
     "page_tree": _tree_sql(C.PAGES, "pages_corpus"),
@@ -355,12 +370,10 @@ SQL = {
     "folder_sizes": with_("nodes AS (" + _tree_sql(C.DOCS, "docs") + ")")
     + """SELECT bundle_id, parent_path, count(*) FILTER (kind = 'file') AS n_files,
   count(*) FILTER (kind = 'folder') AS n_folders FROM nodes GROUP BY ALL""",
-    "directory_rollup": with_(C.DOCS, Q.folders("docs"))
-    + f"""SELECT f.bundle_id, f.node_path, count(*) AS n_files, CAST(sum(size) AS BIGINT) AS size,
-  CAST(sum({Q.lines('text')}) AS BIGINT) AS lines
-FROM (SELECT * FROM folders UNION ALL SELECT DISTINCT bundle_id, '' FROM docs) f
-JOIN docs d ON f.bundle_id = d.bundle_id AND (f.node_path = '' OR starts_with(d.path, f.node_path || '/'))
-GROUP BY f.bundle_id, f.node_path""",
+    "directory_rollup": _ROLLUP,
+    "folder_ranks": f"""SELECT * FROM (
+  SELECT *, rank() OVER (PARTITION BY bundle_id ORDER BY size DESC) AS size_rank
+  FROM ({_ROLLUP}) WHERE node_path <> '') WHERE size_rank <= 5""",
     "depth_profile": with_("nodes AS (" + _tree_sql(C.PAGES, "pages_corpus") + ")")
     + """SELECT bundle_id, depth, CAST(sum(files) AS BIGINT) AS n_files, CAST(sum(folders) AS BIGINT) AS n_folders,
   max(files + folders) AS max_children

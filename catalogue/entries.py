@@ -175,7 +175,9 @@ def _bytes_entry(mode: str, text: str) -> str:
 
 def _stats(by: str, source: str, name: str) -> str:
     return f"""SELECT {by} AS {name}, count(*) AS n_files, CAST(sum(size) AS BIGINT) AS n_bytes,
-  CAST(sum(lines) AS BIGINT) AS n_lines, max(lines) AS max_lines, max(size) AS max_bytes, avg(lines) AS avg_lines
+  CAST(sum(lines) AS BIGINT) AS n_lines, max(lines) AS max_lines, max(size) AS max_bytes, avg(lines) AS avg_lines,
+  quantile_disc(lines, 0.5) AS median_lines, quantile_disc(lines, 0.9) AS p90_lines,
+  quantile_disc(size, 0.5) AS median_bytes, quantile_disc(size, 0.9) AS p90_bytes
 FROM (SELECT *, {Q.lines('text')} AS lines FROM {source}) GROUP BY 1"""
 
 

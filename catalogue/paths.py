@@ -62,6 +62,14 @@ RULES = {
 
 def rule_files(files):
     """Rule files of every bundle, two bundles with rules of their own, and a global one."""
+    shared = files.sparkSession.range(1).select(
+        F.lit(ignore.ALL_BUNDLES).alias("bundle_id"), F.lit("").alias("rule_dir"),
+        F.lit("global").alias("source"), F.lit("doc_*7.txt\n").alias("text"),
+    )
+    return bundle_rule_files(files).unionByName(shared)
+
+
+def bundle_rule_files(files):
     rows = F.array(
         *[
             F.struct(F.lit(d).alias("rule_dir"), F.lit(s).alias("source"), F.lit(t).alias("text"))
@@ -76,11 +84,7 @@ def rule_files(files):
         F.when(F.col("bundle_id") == "src3", "ignore").otherwise("exclude").alias("source"),
         F.when(F.col("bundle_id") == "src3", "!*.lock\r\n").otherwise("!doc_*7.txt").alias("text"),
     )
-    shared = files.sparkSession.range(1).select(
-        F.lit(ignore.ALL_BUNDLES).alias("bundle_id"), F.lit("").alias("rule_dir"),
-        F.lit("global").alias("source"), F.lit("doc_*7.txt\n").alias("text"),
-    )
-    return common.unionByName(own).unionByName(shared)
+    return common.unionByName(own)
 
 
 def ignore_rule_filter(spark, sf):
@@ -88,6 +92,12 @@ def ignore_rule_filter(spark, sf):
     return ignore.apply_ignore_rules(files, ignore.parse_ignore_rules(rule_files(files)))
 
 
+def bundle_ignore_filter(spark, sf):
+    """The same without rules that hold for all bundles."""
+    files = C.doc_paths(spark, sf).select("bundle_id", "path")
+    return ignore.apply_ignore_rules(files, ignore.parse_ignore_rules(bundle_rule_files(files)))
+
+
 _IGNORED = r"""
 (regexp_matches(path, '\.lock$') AND NOT regexp_matches(path, '/doc_1[^/]*\.lock$') AND bundle_id <> 'src3')
 OR starts_with(path, 'en/1/')
@@ -96,8 +106,8 @@ OR (contains(path, '/src/') AND NOT starts_with(path, 'fr/2/src/'))
 OR regexp_matches(path, '^fr/(.*/)?w[^/]*\.yml$')
 OR (starts_with(path, 'en/') AND regexp_matches(path, '/requirements-[^/]*[13579]\.txt$')
     AND NOT regexp_matches(path, '/requirements-[^/]*1\.txt$'))
-OR (regexp_matches(path, '/doc_[^/]*7\.txt$') AND bundle_id <> 'src5')
 """
+_GLOBAL = r" OR (regexp_matches(path, '/doc_[^/]*7\.txt$') AND bundle_id <> 'src5')"
 
 
 def _unsafe(spark, sf):
@@ -151,6 +161,7 @@ QUERIES = {
     "exclusion_audit": exclusion_audit,
     "normalized_paths": normalized_paths,
     "ignore_rule_filter": ignore_rule_filter,
+    "bundle_ignore_filter": bundle_ignore_filter,
     "path_violations": path_violations,
     "quarantined_bundles": quarantined,
     "repo_refs": repo_refs,
@@ -174,7 +185,8 @@ AND NOT contains(lower(path), 'fr/') AND NOT contains(lower(path), '.github/w')"
     ),
     "normalized_paths": with_(C.DOCS)
     + r"SELECT bundle_id, path, '.\' || replace(path, '/', '\\') AS raw FROM docs",
-    "ignore_rule_filter": with_(C.DOCS) + f"SELECT bundle_id, path FROM docs WHERE NOT ({_IGNORED})",
+    "ignore_rule_filter": with_(C.DOCS) + f"SELECT bundle_id, path FROM docs WHERE NOT ({_IGNORED}{_GLOBAL})",
+    "bundle_ignore_filter": with_(C.DOCS) + f"SELECT bundle_id, path FROM docs WHERE NOT ({_IGNORED})",
     "path_violations": with_(C.DOCS, _UNSAFE)
     + """
 , bad AS (

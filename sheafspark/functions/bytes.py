@@ -13,6 +13,20 @@ CONTROL_DENSITY = 0.30
 # Byte-order marks.
 BOMS = (("UTF-8", "EFBBBF"), ("UTF-16LE", "FFFE"), ("UTF-16BE", "FEFF"))
 
+# Four-letter brands of MP4 files.
+MP4_BRANDS = (
+    b"avc1", b"dash", b"iso2", b"iso3", b"iso4", b"iso5", b"iso6", b"isom", b"mmp4", b"mp41", b"mp42", b"mp4v", b"mp71",
+    b"MSNV", b"NDAS", b"NDSC", b"NDSH", b"NDSM", b"NDSP", b"NDSS", b"NDXC", b"NDXH", b"NDXM", b"NDXP", b"NDXS", b"F4V ", b"F4P ",
+)
+
+# Media types of zip files by the first letters of the name of any member.
+ZIP_MEMBERS = (
+    ("application/vnd.openxmlformats-officedocument.wordprocessingml.document", "word/"),
+    ("application/vnd.openxmlformats-officedocument.spreadsheetml.sheet", "xl/"),
+    ("application/vnd.openxmlformats-officedocument.presentationml.presentation", "ppt/"),
+    ("application/java-archive", "META-INF/"),
+)
+
 # Binary signatures as (media type, ((offset, hex), ...)), tried in order.
 SIGNATURES = (
     ("application/wasm", ((0, "0061736D"),)),
@@ -44,7 +58,7 @@ SIGNATURES = (
     ("video/x-m4v", ((4, "667479704D345620"),)),
     ("audio/m4a", ((4, "667479704D344120"),)),
     ("video/quicktime", ((4, "6674797071742020"),)),
-    ("video/mp4", ((4, "66747970"),)),
+    *(("video/mp4", ((4, (b"ftyp" + brand).hex().upper()),)) for brand in MP4_BRANDS),
     ("video/x-matroska", ((0, "1A45DFA3"),)),
     ("video/x-msvideo", ((0, "52494646"), (8, "415649"))),
     ("video/x-ms-wmv", ((0, "3026B2758E66CF11A6D9"),)),
@@ -159,6 +173,22 @@ def magic_mime(column: str) -> Column:
     return F.expr("CASE " + " ".join(cases) + " END")
 
 
+def zip_mime(column: str) -> Column:
+    """Media type that the members of a zip file tell, as far as its probed start lists them, or null.
+
+    ``column`` names the binary payload. Open documents name their type in a stored first member.
+    """
+    start = f"decode(substring({column}, 1, {PROBE_BYTES}), 'ISO-8859-1')"
+    stated = rf"regexp_extract({start}, '(?s)\\A.{{30}}mimetype(application/vnd\\.oasis\\.opendocument\\.[a-z]+)', 1)"
+    members = " ".join(rf"WHEN {start} RLIKE '(?s)PK\\x03\\x04.{{26}}{name}' THEN '{mime}'" for mime, name in ZIP_MEMBERS)
+    return F.expr(f"coalesce(nullif({stated}, ''), CASE {members} END)")
+
+
+def refined_mime(mime: str, column: str) -> Column:
+    """``mime`` with zip files told apart by their members; only their starts are searched."""
+    return F.when(F.col(mime) == "application/zip", F.coalesce(zip_mime(column), F.col(mime))).otherwise(F.col(mime))
+
+
 def _share(text: Column, char_class: str) -> Column:
     kept = F.regexp_replace(text, char_class, "")
     return (F.char_length(text) - F.char_length(kept)) / F.char_length(text)

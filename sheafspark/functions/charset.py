@@ -8,6 +8,8 @@ need no transcoding carry null into the UDF and cost nothing there.
 from __future__ import annotations
 
 import re
+import unicodedata
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -45,10 +47,35 @@ _TOKENS = {label: re.compile(pattern, re.DOTALL) for label, _, pattern in _MULTI
 # by its kana, so a smaller share (the rest being kanji) is proof enough.
 _NEEDED = {"Shift_JIS": 0.6, "EUC-JP": 0.3, "GBK": 0.6, "Big5": 0.6}
 
-_HIGH = re.compile(rb"[\x80-\xff]")
-_CYRILLIC = re.compile(rb"[\xc0-\xff\xa8\xb8]")
-_CYRILLIC_SMALL = re.compile(rb"[\xe0-\xff\xb8]")
-_CYRILLIC_WORD = re.compile(rb"[\xc0-\xff\xa8\xb8]{2,}")
+# Single-byte charsets of other scripts as (label, codec, script, everyday letters). The
+# everyday letters make up some three quarters of running text in their script, and
+# far less of text that was written in another charset.
+_SCRIPTS = (
+    ("windows-1251", "cp1251", "CYRILLIC", "оеаинтсрвлкм"),
+    ("KOI8-U", "koi8_u", "CYRILLIC", "оеаинтсрвлкм"),
+    ("windows-1253", "cp1253", "GREEK", "αοιετνσςηυρπκάίό"),
+    ("windows-1255", "cp1255", "HEBREW", "יוהלאתרמבשנ"),
+    ("windows-1256", "cp1256", "ARABIC", "ايلمونرتبهةدع"),
+    ("windows-874", "cp874", "THAI", "านรกอเง่ยลวมดทตีั้สะไแคป็"),
+)
+# Share of everyday letters among the high bytes, and of high bytes in runs. The Thai
+# letters fill most of the codes, so more is asked of them.
+_EVERYDAY, _EVERYDAY_THAI, _IN_RUNS = 0.5, 0.7, 0.7
+_LETTERS = 0.9
+# Less than this in runs: accented letters between plain ones, not two-byte codes.
+_TWO_BYTE_RUNS = 0.3
+# More than this in runs: not the accented letters of a language in Latin letters.
+_ACCENT_RUNS = 0.5
+# Two-byte text can hide behind Thai and Korean codes when it is short.
+_LEAST_THAI, _LEAST_KOREAN = 16, 8
+
+_ASCII = bytes(range(0x80))
+_HIGH_RUN = re.compile(rb"[\x80-\xff]{2,}")
+# Characters of Korean text: Hangul, other two-byte codes, and bytes that do not pair.
+_KOREAN = re.compile(rb"([\xb0-\xc8][\xa1-\xfe])|([\x81-\xfe][\x41-\xfe])|([\x80-\xff])")
+
+# Central European letters that are symbols in Western text, inside a word.
+_INSIDE_WORD = re.compile(rb"[A-Za-z][\xa3\xa5\xaf\xb3\xb9\xbc\xbe\xbf][A-Za-z\x80-\xff]")
 
 
 def _single_byte_table(codec: str) -> dict[int, str]:
@@ -62,7 +89,22 @@ def _single_byte_table(codec: str) -> dict[int, str]:
     return table
 
 
-_TABLES = {"windows-1251": _single_byte_table("cp1251"), "windows-1252": _single_byte_table("cp1252")}
+_TABLES = {label: _single_byte_table(codec) for label, codec, _, _ in _SCRIPTS}
+_TABLES |= {"windows-1250": _single_byte_table("cp1250"), "windows-1252": _single_byte_table("cp1252")}
+
+
+def _bytes_where(label: str, test: Callable[[str], bool]) -> bytes:
+    return bytes(byte for byte, char in _TABLES[label].items() if test(char))
+
+
+# Per label: the bytes of its everyday letters and of its whole script.
+_SCRIPT_BYTES = {
+    label: (
+        _bytes_where(label, lambda c: c in everyday),
+        _bytes_where(label, lambda c: unicodedata.name(c, "").startswith(script)),
+    )
+    for label, _, script, everyday in _SCRIPTS
+}
 
 
 def _strict(content: bytes, codec: str) -> str | None:
@@ -80,20 +122,60 @@ def _everyday_share(label: str, content: bytes) -> float:
     return everyday / max(everyday + rare, 1)
 
 
-def _looks_cyrillic(content: bytes) -> bool:
-    high = len(_HIGH.findall(content))
-    if high < 4:
-        return False
-    letters = len(_CYRILLIC.findall(content))
-    small = len(_CYRILLIC_SMALL.findall(content))
-    in_words = sum(len(word) for word in _CYRILLIC_WORD.findall(content))
-    return letters >= 0.9 * high and small >= 0.6 * letters and in_words >= 0.7 * letters
+def _other_script(high: bytes, in_runs: int) -> str | None:
+    """Label of the script whose everyday letters fit the high bytes best, if any does."""
+    if len(high) < 4 or in_runs < _IN_RUNS * len(high):
+        return None
+    found, best = None, _EVERYDAY
+    for label, (everyday, letters) in _SCRIPT_BYTES.items():
+        share = 1 - len(high.translate(None, everyday)) / len(high)
+        inside = 1 - len(high.translate(None, letters)) / len(high)
+        needed = max(best, _EVERYDAY_THAI) if label == "windows-874" else best
+        if share > needed and inside >= _LETTERS:
+            found, best = label, share
+    return found
+
+
+def _looks_korean(content: bytes) -> bool:
+    """Nearly all Hangul: Chinese text takes two fifths of its characters from other rows."""
+    hangul = others = 0
+    for token in _KOREAN.finditer(content):
+        if token.group(3) is not None:
+            return False
+        hangul += token.group(1) is not None
+        others += token.group(2) is not None and token.group(2)[0] not in (0xA1, 0xA2, 0xA3)
+    return hangul >= _LEAST_KOREAN and hangul >= 0.95 * (hangul + others)
+
+
+def _looks_central_european(content: bytes, high: bytes) -> bool:
+    """Polish by letters that are symbols elsewhere; Czech, South Slavic and Hungarian by letters that meet nowhere else."""
+    seen = set(high)
+    czech = {0xF8, 0xEC} <= seen
+    slavic = {0x9E, 0x9A, 0xE8} <= seen
+    hungarian = 0xF5 in seen and 0xE1 in seen and seen & {0xF6, 0xFC} and not seen & {0xE3, 0xE4}
+    return bool(czech or slavic or hungarian) or _INSIDE_WORD.search(content) is not None
+
+
+def _single_byte_text(content: bytes, label: str) -> str:
+    return content.decode("latin-1").translate(_TABLES[label])
 
 
 def detect_legacy(content: bytes) -> tuple[str, str]:
     """(label, text) for content that is not valid UTF-8; some label always fits."""
+    high = content.translate(None, _ASCII)
+    in_runs = sum(len(run) for run in _HIGH_RUN.findall(content))
+    script = _other_script(high, in_runs)
+    if script == "windows-874":
+        text = _strict(content, "cp874") if len(high) >= _LEAST_THAI else None
+        if text is not None:
+            return script, text
+        script = None
+    if _looks_korean(content):
+        text = _strict(content, "cp949")
+        if text is not None:
+            return "EUC-KR", text
     best = None
-    for label, codec, _ in _MULTIBYTE:
+    for label, codec, _ in _MULTIBYTE if in_runs >= _TWO_BYTE_RUNS * len(high) else ():
         share = _everyday_share(label, content)
         if share < _NEEDED[label] or (best and share <= best[0]):
             continue
@@ -104,8 +186,9 @@ def detect_legacy(content: bytes) -> tuple[str, str]:
                 break
     if best:
         return best[1], best[2]
-    label = "windows-1251" if _looks_cyrillic(content) else "windows-1252"
-    return label, content.decode("latin-1").translate(_TABLES[label])
+    accented = in_runs <= _ACCENT_RUNS * len(high)
+    label = script or ("windows-1250" if accented and _looks_central_european(content, high) else "windows-1252")
+    return label, _single_byte_text(content, label)
 
 
 def detect_iso2022jp(content: bytes) -> str | None:

@@ -38,6 +38,7 @@ def classify(files: DataFrame, utf8: bool = False) -> DataFrame:
     candidate = f"coalesce(bom IS NULL AND binary_reason IS NULL AND ({jis_escapes}), false)"
     marked = files.withColumns({"bom": B.bom(content), "_head": B.head(content)})
     marked = marked.withColumns({"_magic": B.magic_mime("_head"), "suspect": B.is_suspect(content)})
+    marked = marked.withColumn("_magic", B.refined_mime("_magic", "content"))
     marked = marked.withColumn("_density", B.control_density(B.payload(content), F.col("suspect")))
     reasoned = attach(marked, binary_reason=F.expr(reason))
     return reasoned.withColumns(

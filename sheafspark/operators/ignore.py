@@ -1,4 +1,4 @@
-"""Ignore files (gitignore syntax) as a join between rules and tree nodes."""
+"""Ignore files (gitignore syntax) as one rule set per folder."""
 
 from __future__ import annotations
 
@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from sheafspark.functions import paths as P
 from sheafspark.functions import text as L
-from sheafspark.operators import tree
 
 # Which source of rules wins over which, highest last.
 SOURCE_RANK = {"global": 1, "exclude": 2, "gitignore": 3, "ignore": 4}
@@ -15,6 +14,9 @@ SOURCE_RANK = {"global": 1, "exclude": 2, "gitignore": 3, "ignore": 4}
 # Rules with this bundle hold for every bundle.
 ALL_BUNDLES = "*"
 
+# Ends what a rule set is matched against.
+_END = "\x01"
+
 # The pieces of a glob: any-depth forms first, then escape, class, stars, one character.
 _TOKENS = (
     r"(?s)\A\*\*/(?:\*\*/)*|/\*\*(?:/\*\*)*/|/\*\*\z|\\.|\[[!^]?\]?(?:\\.|[^\]\\])*\]|\*+|."
@@ -38,9 +40,9 @@ def _token_regex(token: Column) -> Column:
 
 
 def glob_regex(glob: Column) -> Column:
-    """Java regex of a gitignore glob without its ``!`` and outer slashes."""
+    """Java regex (to be used with ``(?s)``) of a gitignore glob without its ``!`` and outer slashes."""
     tokens = F.regexp_extract_all(glob, F.lit(f"({_TOKENS})"), 1)
-    return F.concat(F.lit(r"(?s)\A"), F.array_join(F.transform(tokens, _token_regex), ""), F.lit(r"\z"))
+    return F.array_join(F.transform(tokens, _token_regex), "")
 
 
 def parse_ignore_rules(rule_files: DataFrame) -> DataFrame:
@@ -82,61 +84,89 @@ def parse_ignore_rules(rule_files: DataFrame) -> DataFrame:
     )
 
 
-def ignored_nodes(files: DataFrame, rules: DataFrame) -> DataFrame:
-    """(bundle_id, node_path) of files and folders whose last matching rule ignores them.
+def _subject(path: Column, is_dir: bool) -> Column:
+    """What the alternatives of a rule set are matched against: name, NUL, path, end mark."""
+    end = F.lit("/" if is_dir else "")
+    return F.concat(P.base_name(path), end, F.lit("\0"), path, end, F.lit(_END))
+
 
-    The join is on (bundle, rule folder); Spark broadcasts the rules where
-    their measured size allows and otherwise sorts, splitting a hot bundle.
-    The last match is the maximum of one packed number, combined map-side.
+def _alternative() -> Column:
+    """A rule as one alternative over ``_subject``; it takes the end mark along if the rule ignores.
+
+    A rule without an inner slash starts with the name, so most names fail it at their first character.
+    """
+    at_root = F.col("rule_dir") == ""
+    folder = F.concat(F.regexp_replace("rule_dir", r"([^\p{L}\p{N}])", r"\\$1"), F.lit("/"))
+    folder = F.when(at_root, F.lit("")).otherwise(F.concat(folder, F.lit(rf"(?!{_END})")))
+    tail = F.when(F.col("dir_only"), F.lit("/")).otherwise(F.lit("/?"))
+    # A star takes an empty rest, but not the rest after the slash that ends a folder.
+    glob = F.concat(F.lit("(?:"), F.col("regex"), F.lit(")(?<!/)"), tail)
+    by_name = F.concat(glob, F.lit(r"\x00"), folder, F.lit(".*"))
+    by_path = F.concat(F.lit(r"[^\x00]*+\x00"), folder, glob)
+    verdict = F.when(F.col("negated"), F.lit(rf"(?={_END}\z)")).otherwise(F.lit(rf"{_END}\z"))
+    return F.concat(F.when(F.col("anchored"), by_path).otherwise(by_name), verdict)
+
+
+def _is_ignored(path: Column, is_dir: bool, rule_set: Column) -> Column:
+    """Whether the first alternative that fits, the last rule that matches, ignores the path.
+
+    ``regexp_extract`` keeps the pattern of the row before, so rows in order of
+    their rule set compile it once.
+    """
+    return F.endswith(F.call_function("regexp_extract", _subject(path, is_dir), rule_set, F.lit(0)), F.lit(_END))
+
+
+def folder_rules(files: DataFrame, rules: DataFrame) -> DataFrame:
+    """(bundle_id, folder, rule_set, lost) of each folder with files that any rule can reach ('' is the root).
+
+    ``rule_set`` is one regex of all rules that hold in the folder, strongest
+    first; ``lost`` says that the folder or one above it is ignored. The rules
+    of one folder are folded to one row before they are joined, those for all
+    bundles are one value, and a folder has at most as many rule folders as it is deep.
     """
-    files = files.select("bundle_id", "path")
-    node = F.col("node_path")
-    nodes = files.select("bundle_id", F.col("path").alias("node_path"), F.lit(False).alias("is_dir")).unionByName(
-        tree.folders(files).withColumn("is_dir", F.lit(True))
-    )
-    own = F.transform(
-        P.ancestors(node), lambda d: F.struct(F.col("bundle_id").alias("rule_bundle"), d.alias("rule_dir"))
-    )
-    shared = F.array(F.struct(F.lit(ALL_BUNDLES).alias("rule_bundle"), F.lit("").alias("rule_dir")))
-    keyed = nodes.select("bundle_id", "node_path", "is_dir", F.inline(F.concat(own, shared)))
     order = (
         F.col("source_rank").cast("bigint") * F.lit(1 << 50)
         + F.col("depth").cast("bigint") * F.lit(1 << 33)
-        + F.col("line_no").cast("bigint") * F.lit(2)
-        + (~F.col("negated")).cast("bigint")
-    )
-    ranked = rules.select(
-        F.col("bundle_id").alias("rule_bundle"), "rule_dir", "regex", "anchored", "dir_only", order.alias("rule_order")
+        + F.col("line_no").cast("bigint")
     )
-    below = F.when(F.col("rule_dir") == "", node).otherwise(
-        F.substring(node, F.length("rule_dir") + 2, F.length(node))
-    )
-    subject = F.when(F.col("anchored"), below).otherwise(P.base_name(node))
-    return (
-        keyed.join(ranked, ["rule_bundle", "rule_dir"])
-        .where((~F.col("dir_only") | F.col("is_dir")) & F.rlike(subject, F.col("regex")))
-        .groupBy("bundle_id", "node_path")
-        .agg(F.max("rule_order").alias("last"))
-        .where(F.col("last") % 2 == 1)
-        .select("bundle_id", "node_path")
+    ranked = rules.select("bundle_id", "rule_dir", F.struct(order.alias("order"), _alternative().alias("regex")).alias("rule"))
+    folded = ranked.groupBy("bundle_id", "rule_dir").agg(F.collect_list("rule").alias("folded"))
+    shared = folded.where(F.col("bundle_id") == ALL_BUNDLES).agg(F.flatten(F.collect_list("folded"))).scalar()
+
+    folder = F.col("folder")
+    places = files.select("bundle_id", P.parent_path(F.col("path")).alias("folder")).distinct()
+    chain = F.when(folder == "", F.array(F.lit(""))).otherwise(F.array_append(P.ancestors(folder), folder))
+    reached = places.select("bundle_id", "folder", F.explode(chain).alias("rule_dir"))
+    held = (
+        reached.join(folded, ["bundle_id", "rule_dir"], "left")
+        .groupBy("bundle_id", "folder")
+        .agg(F.flatten(F.collect_list("folded")).alias("own"))
+        .withColumn("rules", F.sort_array(F.concat("own", shared), asc=False))
+        .where(F.size("rules") > 0)
     )
+    alternatives = F.array_join(F.transform("rules", lambda rule: rule["regex"]), "|")
+    held = held.select("bundle_id", "folder", F.concat(F.lit(r"(?s)\A(?:"), alternatives, F.lit(")")).alias("rule_set"))
+    above = F.when(folder == "", F.array().cast("array<string>")).otherwise(F.array_append(P.folders_above(folder), folder))
+    lost = F.exists(above, lambda node: _is_ignored(node, True, F.col("rule_set")))
+    return held.withColumn("lost", lost)
 
 
 def apply_ignore_rules(files: DataFrame, rules: DataFrame) -> DataFrame:
     """Drop files that are ignored or lie under an ignored folder.
 
-    Whether a folder is lost is worked out on the folders, far fewer than the
-    files; each file is then looked up once by its folder and once by itself.
-    Only paths take part until the last join.
+    Each file is looked up once, by its folder. The join is a sorted one, so
+    the files of a folder, and of folders with the same rules, follow each other
+    and a rule set is compiled once for them; a hot folder is split by AQE. Where the files
+    carry ``content``, only their paths take part and the content is filtered
+    by the paths that go; on a listing nothing but the listing is moved.
     """
-    ignored = ignored_nodes(files, rules)
-    paths = files.select("bundle_id", "path", P.parent_path(F.col("path")).alias("folder"))
-    chains = tree.folders(files).select(
-        "bundle_id",
-        F.col("node_path").alias("folder"),
-        F.explode(F.array_append(P.folders_above(F.col("node_path")), F.col("node_path"))).alias("node_path"),
+    judged = folder_rules(files, rules).select(F.col("bundle_id").alias("_bundle"), "folder", "rule_set", "lost")
+    goes = (
+        (F.col("bundle_id") == F.col("_bundle"))
+        & (P.parent_path(F.col("path")) == F.col("folder"))
+        & (F.col("lost") | _is_ignored(F.col("path"), False, F.col("rule_set")))
     )
-    lost = chains.join(ignored, ["bundle_id", "node_path"], "left_semi").select("bundle_id", "folder")
-    in_lost = paths.join(lost, ["bundle_id", "folder"], "left_semi").select("bundle_id", "path")
-    themselves = ignored.withColumnRenamed("node_path", "path")
-    return files.join(in_lost.unionByName(themselves), ["bundle_id", "path"], "left_anti")
+    if "content" not in files.columns:
+        return files.join(judged.hint("merge"), goes, "left_anti")
+    ignored = files.select("bundle_id", "path").join(judged.hint("merge"), goes, "left_semi")
+    return files.join(ignored, ["bundle_id", "path"], "left_anti")

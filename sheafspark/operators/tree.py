@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sheafspark.functions import paths as P
@@ -73,6 +73,17 @@ def directory_rollup(entries: DataFrame, *measures: str) -> DataFrame:
     )
 
 
+def largest_folders(rollup: DataFrame, measure: str, n: int = 10) -> DataFrame:
+    """The ``n`` folders of each bundle with the largest measure, ranked; ties share a rank and all stay.
+
+    ``rollup`` comes from ``directory_rollup``. Spark limits a filtered rank before the
+    shuffle as well, so a task sends few rows per bundle however many folders there are.
+    """
+    size = Window.partitionBy("bundle_id").orderBy(F.col(measure).desc())
+    ranked = rollup.where("node_path <> ''").withColumn("size_rank", F.rank().over(size))
+    return ranked.where(F.col("size_rank") <= n)
+
+
 def depth_profile(tree: DataFrame) -> DataFrame:
     """Files, folders and the widest folder per bundle and depth."""
     wide = tree.groupBy("bundle_id", "depth", "parent_path").agg(

@@ -2,6 +2,7 @@ import hashlib
 
 import pytest
 
+from catalogue.content import SENTENCES
 from sheafspark.functions.charset import detect_iso2022jp, detect_legacy
 from sheafspark.operators.classify import classify
 from pyspark.sql import Observation
@@ -118,13 +119,13 @@ def test_jis_candidates(make_files):
 
 
 def test_short_and_marked_input(make_files):
-    rows = run(make_files, [b"", BOM, b"\x93Hi\x94", b"\x93Quoted prose\x94 with an \x96 dash.", BOM + b"malformed \xff text"], True)
-    assert [r.text for r in rows] == ["", "﻿", "“Hi”", "“Quoted prose” with an – dash.", "﻿malformed � text"]
+    rows = run(make_files, [b"", BOM, b"\x93Hi\x94", b"a \x91quick\x92 note \x97 nothing else", BOM + b"malformed \xff text"], True)
+    assert [r.text for r in rows] == ["", "﻿", "“Hi”", "a ‘quick’ note — nothing else", "﻿malformed � text"]
     assert [r.source_encoding for r in rows] == [None, None, "windows-1252", "windows-1252", None]
     assert rows[4].utf8_had_replacements and rows[4].decode_class == "lossy"
 
 
-@pytest.mark.parametrize("text", ["ASCII text", "日本語の文章です。", "这是一段中文。", "Это русский текст.", "هذا نص عربي."])
+@pytest.mark.parametrize("text", ["plain letters", "雨の日の記録", "雨天的记录", "Записи о дожде", "سجل المطر"])
 def test_valid_utf8_is_untouched(make_files, text):
     (row,) = run(make_files, [text.encode()], True)
     assert (row.text, row.source_encoding, row.decode_class) == (text, None, "valid")
@@ -141,6 +142,29 @@ def test_single_byte_labels():
     assert detect_legacy("naïve café".encode("cp1252")) == ("windows-1252", "naïve café")
 
 
+@pytest.mark.parametrize("label, codec, sentence", SENTENCES, ids=[s[0] for s in SENTENCES])
+def test_every_legacy_charset(label, codec, sentence):
+    if codec == "iso2022_jp":
+        assert detect_iso2022jp(sentence.encode(codec)) == sentence
+    else:
+        assert detect_legacy(sentence.encode(codec)) == (label, sentence)
+
+
+@pytest.mark.parametrize(
+    "text, codec, label",
+    [
+        ("Starý deník uchovává zápisky o počasí, každý řádek je důležitý a věrný.", "cp1250", "windows-1250"),
+        ("A régi napló őrzi az időjárás följegyzéseit, minden sor számít, tűz és víz.", "cp1250", "windows-1250"),
+        ("Così è più là, però già lunedì, università, virtù", "cp1252", "windows-1252"),
+        ("As opções são três: não há razões; avó, pôr, coração", "cp1252", "windows-1252"),
+        ("Å være på øya, blåbær og rødgrød", "cp1252", "windows-1252"),
+        ("Käse über Straße, 5 m³", "cp1252", "windows-1252"),
+    ],
+)
+def test_accented_letters(text, codec, label):
+    assert detect_legacy(text.encode(codec)) == (label, text)
+
+
 def test_metrics_and_report(make_files):
     valid, utf16, lossy = "é".encode(), b"\xff\xfeH\0i\0", BOM + b"\xff"
     files = make_files({"v": valid, "u": utf16, "l": lossy, "i": b"\x81 \x8d \x8f ", "b": PNG})

@@ -103,6 +103,9 @@ def test_tree_tables(spark, make_files):
     assert {(r.kind, r.name) for r in tree.children(nodes).where("parent_path = 'src'").collect()} == {
         ("file", "file2.rs"), ("folder", "nested"),
     }
+    ranked = tree.largest_folders(tree.directory_rollup(files, "size"), "size", 1).collect()
+    top = max(size for node, (_, size) in sizes.items() if node)
+    assert {(r.node_path, r.size_rank) for r in ranked} == {(n, 1) for n, (_, size) in sizes.items() if n and size == top}
     assert [tuple(r) for r in tree.depth_profile(nodes).orderBy("depth").select("n_files", "n_folders", "max_children").collect()] == [
         (1, 1, 2), (1, 1, 2), (1, 1, 2), (1, 0, 1),
     ]
