@@ -130,6 +130,11 @@ IGNORE_CASES = [
     ({("", "gitignore"): "*.x\n", ("", "ignore"): "!*.x\n"}, [], ["b.x"]),
     ({("sub", "gitignore"): "!a.x\n", ("", "ignore"): "a.x\n"}, ["sub/a.x"], []),
     ({("", "gitignore"): "*.x\r\na.b\r\n"}, ["q.x", "a.b"], ["aXb"]),
+    ({("sub", "gitignore"): "*\n"}, ["sub/a", "sub/d/b"], ["suba", "d/sub.x"]),
+    ({("sub", "gitignore"): "/*\n!/d\n"}, ["sub/a", "sub/e/b"], ["sub/d/b", "a"]),
+    ({("", "gitignore"): "b?\n*/\n!keep/\n"}, ["bx", "d/a", "keep/b1"], ["b", "keep/b", "a"]),
+    ({("a.b", "gitignore"): "x.y\n", ("", "exclude"): "x?y\n!xzy\n"}, ["a.b/x.y", "q/x-y", "x.y"], ["a.b/xzy", "axb/xzy"]),
+    ({}, [], ["a", "d/b"]),
     ({("", "gitignore"): "doc/*.txt\n"}, ["doc/n.txt"], ["doc/s/n.txt", "x/doc/n.txt"]),
 ]
 
