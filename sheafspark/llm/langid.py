@@ -32,6 +32,8 @@ SAMPLE_DOCS = 2_000
 ROUNDS = 3
 #: Bytes of a word that are scored together, and of the longest piece used.
 PART, PIECE = 45, 16
+#: Bytes of a word after which the forward sums get a new unit.
+STRETCH = 16
 MAX_LANGUAGES = 1_000
 _BLOCK = 8_192
 #: Words whose evidence counts in full in the score between 0 and 1.
@@ -94,26 +96,43 @@ def pieces(path: str) -> Pieces:
     return Pieces(path)
 
 
-def forward(edges, sizes: np.ndarray, probability: np.ndarray) -> np.ndarray:
-    """Sum over the segmentations of each prefix: array (words, bytes + 1, languages)."""
+def forward(edges, sizes: np.ndarray, probability: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums over the segmentations of each prefix, (words, bytes + 1, languages), and the unit of each stretch.
+
+    The unit of a stretch of ``STRETCH`` prefixes is the last sum of the stretch before, in that one's own unit. So no sum
+    underflows, however rare the pieces are. Stretches that a word does not reach have unit 1.
+    """
     alpha = np.zeros((len(sizes), int(sizes[0]) + 1, probability.shape[1]))
     alpha[:, 0] = 1
+    unit = np.ones((len(sizes), int(sizes[0]) // STRETCH + 1, probability.shape[1]))
+    reached = 0
     for end, length, word, piece in edges:
-        alpha[word, end] += alpha[word, end - length] * probability[piece]
-    return alpha
+        while reached < end // STRETCH:
+            reached += 1
+            there = int(np.searchsorted(-sizes, -reached * STRETCH, side="right"))
+            unit[:there, reached] = alpha[:there, reached * STRETCH - 1]
+        alpha[word, end] += _in_unit(alpha[word, end - length], unit, word, end - length, end) * probability[piece]
+    return alpha, unit
+
+
+def _in_unit(values: np.ndarray, unit: np.ndarray, word: np.ndarray, start: int, end: int) -> np.ndarray:
+    """Values in the unit of the stretch of ``start``, in that of the stretch of ``end``."""
+    for stretch in range(start // STRETCH + 1, end // STRETCH + 1):
+        values = values / unit[word, stretch]
+    return values
 
 
 def expected_counts(edges, sizes: np.ndarray, weight: np.ndarray, probability: np.ndarray) -> np.ndarray:
     """Expected uses of each piece in ``weight`` copies of each word, over all segmentations (one language)."""
-    alpha = forward(edges, sizes, probability[:, None])[:, :, 0]
+    alpha, unit = (x[:, :, 0] for x in forward(edges, sizes, probability[:, None]))
+    # Sums over the segmentations of what follows, as shares of the word's sum and against the same units.
     beta = np.zeros_like(alpha)
-    beta[np.arange(len(sizes)), sizes] = 1
-    total = alpha[np.arange(len(sizes)), sizes]
-    share = weight / total
+    every = np.arange(len(sizes))
+    beta[every, sizes] = 1 / alpha[every, sizes]
     counts = np.zeros(len(probability))
     for end, length, word, piece in reversed(edges):
-        onward = probability[piece] * beta[word, end]
-        counts += np.bincount(piece, share[word] * alpha[word, end - length] * onward, len(counts))
+        onward = _in_unit(probability[piece] * beta[word, end], unit, word, end - length, end)
+        counts += np.bincount(piece, weight[word] * alpha[word, end - length] * onward, len(counts))
         beta[word, end - length] += onward
     return counts
 
@@ -169,8 +188,8 @@ def score_words(text: Text, start: np.ndarray, end: np.ndarray, model: Pieces, p
     scores = np.zeros((len(start), probability.shape[1]))
     size = max(128, 4 * _BLOCK // probability.shape[1])  # bounded memory for many languages
     for part, flat, begin, sizes in blocks(text, start, end, size):
-        alpha = forward(model.lattice(flat, begin, sizes), sizes, probability)
-        scores[part] = np.log(alpha[np.arange(len(part)), sizes])
+        alpha, unit = forward(model.lattice(flat, begin, sizes), sizes, probability)
+        scores[part] = np.log(alpha[np.arange(len(part)), sizes]) + np.log(unit).sum(axis=1)
     return scores
 
 
@@ -294,8 +313,12 @@ def predict(df: DataFrame, languages: list[str], probability: np.ndarray, vocabu
 
 
 def _sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
-    sums = np.concatenate([[0.0], np.cumsum(values)])
-    return sums[first[1:]] - sums[first[:-1]]
+    """Sum of each row's values, from its own values alone."""
+    sums = np.zeros(len(first) - 1)
+    filled = np.flatnonzero(first[1:] > first[:-1])
+    if len(filled):
+        sums[filled] = np.add.reduceat(values, first[filled])
+    return sums
 
 
 def languages_of(docs: DataFrame, vocabulary: str) -> DataFrame:

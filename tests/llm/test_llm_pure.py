@@ -186,6 +186,21 @@ def test_forward_sums_all_segmentations():
         assert np.allclose(scores[k], [np.log(total(0, lang)) for lang in (0, 1)])
 
 
+def test_rare_pieces_do_not_underflow():
+    model = langid.pieces(str(public_tokenizers.path("piece_bpe_32k.model")))
+    run = "\U0001d41a" * 11 + "a"
+    text, words = langid.words_of(pa.array([run, "the cat", None, "the dog"]))
+    rare = 0.05 / 1.2e6
+    probability = np.full((model.count, 2), rare)
+    scores = langid.score_words(text, words.start, words.end, model, probability)
+    assert np.isfinite(scores).all() and (scores[0] < 44 * np.log(rare)).all()
+    sums = langid._sums(scores[:, 0], words.first)
+    assert np.allclose(sums, [scores[0, 0], scores[1:3, 0].sum(), 0, scores[3:5, 0].sum()])
+    flat, begin, sizes = langid.marked(text, words.start[:1], words.end[:1])
+    counts = langid.expected_counts(model.lattice(flat, begin, sizes), sizes, np.array([3.0]), probability[:, 0])
+    assert np.isfinite(counts).all() and 3 * 45 <= counts.sum() <= 3 * 48
+
+
 def test_measurements_of_rules():
     texts = ["a b " * 10, None, "", "x\n\nx\n x\nx", "é# $ |\n", " ".join("abcdefghi") + " " + " ".join("abcdefgh")]
     got = rules.measure_rows(pa.array(texts, pa.string()))

@@ -276,6 +276,18 @@ def test_language(spark, docs, nothing):
     assert langid.languages_of(docs.withColumn("lang", F.lit(None).cast("string")), PIECES).where("lang_pred <> 'und'").count() == 0
 
 
+def test_language_beside_unseen_pieces(spark):
+    model = langid.pieces(PIECES)
+    probability = np.full((model.count, 2), 0.05 / 1.2e6)
+    frame = spark.createDataFrame([(0, "\U0001d41a" * 12), (1, EN), (2, FR)], "doc_id long, text string").coalesce(1)
+    flat, begin, sizes = (np.frombuffer("▁the▁le".encode(), np.uint8), np.array([0, 6]), np.array([6, 5]))
+    edges = {(int(w), end, length): int(p) for end, length, ws, ps in model.lattice(flat, begin, sizes) for w, p in zip(ws, ps)}
+    probability[edges[0, 6, 6], 0] = probability[edges[1, 5, 5], 1] = 0.1
+    found = langid.predict(frame, ["en", "fr"], probability, PIECES, ("lang_pred", "score")).collect()
+    rows = {r.doc_id: r for r in found}
+    assert (rows[1].lang_pred, rows[2].lang_pred) == ("en", "fr") and all(0 < r.score <= 1 for r in found)
+
+
 def test_lengths(docs, nothing):
     tool = Tokenizer.from_file(WORDS)
     sizes = [len(tool.encode(t or "", add_special_tokens=False).ids) for _, t, *_ in ODD]
