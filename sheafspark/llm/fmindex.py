@@ -244,7 +244,8 @@ def phrase_blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> Itera
 class _Shard:
     """Collects documents until the shard is large enough."""
 
-    def __init__(self, name: str):
+    def __init__(self, name: str, most_words: int):
+        self.most_words = most_words
         self.name, self.docs, self.keys, self.counts = name, [], [], []
         self.symbols, self.run_start, self.run_doc, self.run_word = [], [], [], []
         self.size, self.n_docs = 0, 0
@@ -284,7 +285,7 @@ class _Shard:
 
     @property
     def full(self) -> bool:
-        return self.size >= SHARD_WORDS or self.n_docs >= SHARD_DOCS
+        return self.size >= self.most_words or self.n_docs >= SHARD_DOCS
 
     def close(self) -> pa.RecordBatch:
         symbols = np.concatenate([*self.symbols, np.zeros(0, np.int64)]).astype(np.int64)
@@ -317,21 +318,21 @@ class _Shard:
         return pa.RecordBatch.from_arrays([pa.array([v], types.get(k, pa.binary())) for k, v in row.items()], list(row))
 
 
-def build_index(docs: DataFrame, phrases: Phrases) -> DataFrame:
+def build_index(docs: DataFrame, phrases: Phrases, shard_words: int = SHARD_WORDS) -> DataFrame:
     """One row per shard: the index of its documents (doc_id, text) for words of ``phrases``."""
     shared = docs.sparkSession.sparkContext.broadcast((phrases.vocabulary, int(phrases.lengths.min(initial=WINDOW))))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, shortest = shared.value
         part, count = TaskContext.get().partitionId(), 0
-        shard = _Shard(f"{part}-{count}")
+        shard = _Shard(f"{part}-{count}", shard_words)
         for batch in batches:
             for rows in slices(batch, "text"):
                 shard.add(rows, vocabulary, shortest)
                 if shard.full:
                     yield shard.close()
                     count += 1
-                    shard = _Shard(f"{part}-{count}")
+                    shard = _Shard(f"{part}-{count}", shard_words)
         if shard.n_docs:
             yield shard.close()
 
@@ -411,7 +412,9 @@ def _search_row(row: dict, phrases: Phrases) -> pa.RecordBatch:
     )
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
+def contamination(
+    docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS
+) -> DataFrame:
     """Per document row: doc_id, text_key (xxhash64 of the text), n_words, spans, items, n_hit.
 
     The index of each block of items is written to the shared folder first. Spans of several blocks
@@ -419,24 +422,23 @@ def contamination(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOC
     """
     found, blocks = None, 0
     for phrases in phrase_blocks(benchmark, block_words):
-        hits = search(stage(build_index(docs, phrases)), phrases)
+        hits = search(stage(build_index(docs, phrases, shard_words)), phrases)
         found = hits if found is None else found.unionByName(hits)
         blocks += 1
     if found is None:
-        found = search(stage(build_index(docs, Phrases.of([]))), Phrases.of([]))
-    if blocks > 1:
-        found = _join_blocks(found)
+        found = search(stage(build_index(docs, Phrases.of([]), shard_words)), Phrases.of([]))
+    found = _join_blocks(found, blocks) if blocks > 1 else found.drop("shard", "row")
     length = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["begin"])
     return found.withColumn("n_hit", length)
 
 
-def _join_blocks(hits: DataFrame) -> DataFrame:
+def _join_blocks(hits: DataFrame, blocks: int) -> DataFrame:
     """Spans and items of the same document row, found in several blocks of items.
 
-    Rows are told apart by shard and place, which are the same for every block as
-    long as the table's splits are.
+    Shards close elsewhere in each block, so a row has another place in each. Rows of one id and text have the same hits in
+    a block, and come out of every block once each: they are merged by id and text, and given back as often as they are.
     """
-    spans = F.array_sort(F.flatten(F.collect_list("spans")))
+    spans = F.array_sort(F.flatten(F.collect_set("spans")))
     none = F.expr("cast(array() as array<struct<begin:bigint,end:bigint>>)")
 
     def put(done, span):
@@ -447,10 +449,12 @@ def _join_blocks(hits: DataFrame) -> DataFrame:
             F.concat(done, F.array(span))
         )
 
-    whole = hits.groupBy("shard", "row", "doc_id", "text_key", "n_words").agg(
-        spans.alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items")
+    whole = hits.groupBy("doc_id", "text_key", "n_words").agg(
+        spans.alias("spans"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"), F.count("*").alias("n")
     )
-    return whole.withColumn("spans", F.aggregate("spans", none, put))
+    merged = whole.withColumn("spans", F.aggregate("spans", none, put))
+    each = F.explode(F.sequence(F.lit(1).cast("long"), F.expr(f"n div {blocks}")))
+    return merged.withColumn("n", each).drop("n")
 
 
 def report(found: DataFrame) -> DataFrame:

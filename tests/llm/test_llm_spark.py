@@ -111,6 +111,18 @@ def test_decontamination(docs, nothing, items):
     assert fmindex.report(fmindex.contamination(docs, items.limit(0))).where("contaminated").count() == 0
 
 
+def test_blocks_of_items_and_small_shards(spark, docs, items):
+    whole = Counter(map(tuple, fmindex.report(fmindex.contamination(docs, items)).collect()))
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "1")
+    try:
+        parts = Counter(map(tuple, fmindex.report(fmindex.contamination(docs, items, 3, 1)).collect()))
+    finally:
+        spark.conf.set(name, before)
+    assert parts == whole and sum(parts.values()) == len(ODD)
+
+
 def test_mix(spark, docs, nothing):
     many = [(i, " ".join(["w"] * (i % 37 + 1)), None, f"s{i % 4}" if i % 3 else "hot") for i in range(3000)]
     table = spark.createDataFrame(rows_of(many + [(None, "a b", None, None), (1, None, None, "s1")]), SCHEMA)
