@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections import deque
+from collections import defaultdict, deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -47,7 +47,13 @@ _INLINE = {
     "u", "var", "wbr", "img", "br",
 }
 _OUTSIDE = {"nav", "footer", "aside", "form", "menu", "dialog", "button", "fieldset", "head"}
+# Of these, and of elements with hints, how much of the text they hold decides.
+_WRAPPERS = {"form", "fieldset"}
 _CONTENT = {"article", "main"}
+_HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+_PROSE = {"p", "pre", "blockquote"}
+# Costs of being outside: at most, in an article, and in a section of an article that only its id hints at.
+_FULL, _IN_ARTICLE, _NAMED = 20.0, 12.0, 4.0
 _CLOSED_BY_SAME = {"p", "li", "dt", "dd", "tr", "td", "th", "option"}
 # Words of class, id and role attributes of elements that are not the article.
 _HINTS = {
@@ -68,28 +74,83 @@ class Block:
     tag: str
     words: int
     link_share: float
-    outside: bool
-    inside: bool
+    marks: tuple[int, ...]
+    articles: tuple[int, ...]
+    outside: float = 0.0
 
+    @property
+    def inside(self) -> bool:
+        return bool(self.articles)
 
-def _is_outside(tag: str, attrs: str, inside: bool) -> bool:
-    """Whether an element begins something that is not the article."""
-    if tag in _OUTSIDE or (tag == "header" and not inside):
-        return True
-    if tag in ("html", "body", "main") or not attrs:
-        return False
+    @property
+    def prose(self) -> float:
+        return self.words * (1 - self.link_share) if self.tag in _PROSE or self.words >= 10 else 0.0
+
+
+@dataclass
+class Mark:
+    """An element that may not be of the article: its most cost, whether that is fixed, marks and articles around it."""
+
+    cost: float
+    fixed: bool
+    around: tuple[int, ...]
+    articles: tuple[int, ...]
+
+
+def _outside_cost(tag: str, attrs: str, inside: bool) -> float:
+    """What an element costs at most that may begin something that is not the article; 0 if it does not."""
+    if tag in _OUTSIDE:
+        return _IN_ARTICLE if inside and tag in _WRAPPERS else _FULL
+    if tag == "header" and not inside:
+        return _FULL
+    if tag in ("html", "body", "main") or tag in _HEADINGS or not attrs:
+        return 0.0
+    cost = 0.0
     for found in _NAMES.finditer(attrs):
         value = (found[1] or found[2] or found[3] or "").lower()
         if not _HINTS.isdisjoint(_SPLIT.split(value)):
-            return True
-    return False
+            named = tag == "section" and found[0][:2].lower() == "id"
+            cost = max(cost, _FULL if not inside else _NAMED if named else _IN_ARTICLE)
+    return cost
+
+
+def weigh_marks(blocks: list[Block], marks: dict[int, Mark]) -> None:
+    """Sets what each block's marked elements cost it.
+
+    The cost of a form or of an element with a hint falls with its share of the prose, of the article around it or else of the page; it
+    stays whole if articles elsewhere hold prose. An article that opens below such an element
+    and holds the page's prose is not touched by it.
+    """
+    of_mark, of_article, core = defaultdict(float), defaultdict(float), defaultdict(float)
+    for b in blocks:
+        for k in b.marks:
+            of_mark[k] += b.prose
+        for k in b.articles:
+            of_article[k] += b.prose
+        if b.articles:
+            core[b.marks] += b.prose
+    page = sum(b.prose for b in blocks)
+    cost, open_to = {}, set()
+    for k, m in marks.items():
+        held = of_mark[k]
+        whole = of_article[m.articles[-1]] if m.articles else page
+        elsewhere = 0.0 if m.articles else sum(core.get(m.around[:j], 0.0) for j in range(len(m.around) + 1))
+        if m.fixed or not whole or 10 * elsewhere > held:
+            cost[k] = m.cost
+            continue
+        cost[k] = m.cost * (1 - held / whole)
+        if not m.articles and 2 * held >= whole:
+            open_to.add(k)
+    for b in blocks:
+        b.outside = max((cost[k] for k in b.marks if not (k in open_to and b.articles and b.articles[-1] > k)), default=0.0)
 
 
 def blocks_of(page: str) -> list[Block]:
     """The text blocks of a page in page order."""
     found: list[Block] = []
-    # Open elements: (tag, number, outside, inside); a block ends where a block element begins or ends.
-    stack: list[tuple[str, int, bool, bool]] = [("", 0, False, False)]
+    marks: dict[int, Mark] = {}
+    # Open elements: (tag, number, marks, articles); a block ends where a block element begins or ends.
+    stack: list[tuple[str, int, tuple[int, ...], tuple[int, ...]]] = [("", 0, (), ())]
     parts: list[str] = []
     linked = number = links = 0
 
@@ -153,26 +214,28 @@ def blocks_of(page: str) -> list[Block]:
                     break
                 if name not in _INLINE:
                     break
-        _, _, outside, inside = stack[-1]
+        _, _, marked, articles = stack[-1]
         attrs = token["attrs"] or token["attrs2"] or ""
         number += 1
-        outside = outside or _is_outside(tag, attrs, inside)
-        stack.append((tag, number, outside, inside or tag in _CONTENT))
+        if cost := _outside_cost(tag, attrs, bool(articles)):
+            fixed = tag not in _WRAPPERS and (tag in _OUTSIDE or tag == "header")
+            marks[number] = Mark(cost, fixed, marked, articles)
+            marked = (*marked, number)
+        stack.append((tag, number, marked, (*articles, number) if tag in _CONTENT else articles))
         links += tag == "a"
     flush()
+    weigh_marks(found, marks)
     return found
 
 
 def preference(block: Block) -> float:
     """The classifier: positive for content, negative for boilerplate."""
-    if block.outside:
-        return -20.0
     score = -1.5 + min(block.words, 40) / 10
     score += 4.0 if block.inside else 0.0
     score += {"p": 1.0, "pre": 1.0, "blockquote": 1.0, "li": -0.5}.get(block.tag, 0.0)
-    score += 1.0 if block.tag in ("h1", "h2", "h3", "h4", "h5", "h6") else 0.0
+    score += 1.0 if block.tag in _HEADINGS else 0.0
     score += 0.5 if block.text[-1] in ".!?…" else 0.0
-    return score - 4.0 * block.link_share
+    return score - 4.0 * block.link_share - block.outside
 
 
 def smoothness(blocks: list[Block]) -> list[tuple[int, int, float]]:

@@ -147,6 +147,22 @@ def test_main_text_of_pages():
         mincut.main_text(odd)
 
 
+PROSE = "<p>This paragraph tells the reader something, and it is long enough to be taken for prose.</p>"
+
+
+def test_wrapped_main_text():
+    text = mincut.main_text(PROSE)
+    assert text
+    both = "\n\n".join([text, text])
+    assert mincut.main_text(f"<body><form action=/x><div>{PROSE * 2}</div><nav><a href=/>Home</a></nav></form></body>") == both
+    side = '<div class="sidebar"><p>Other things to look at here, which are also told in rather many words.</p></div>'
+    assert mincut.main_text(f'<div class="layout has-sidebar"><article>{PROSE * 2}</article>{side}</div>') == both
+    more = f'<article>{PROSE}<h2 id="related-work">Related work</h2>{PROSE}<section id="search"><h3>Search</h3>{PROSE}</section></article>'
+    assert mincut.main_text(more).split("\n\n") == [text, "Related work", text, "Search", text]
+    talk = f'<section id="comments"><article>{PROSE * 3}</article></section>'
+    assert mincut.main_text(f'<div class="has-sidebar"><article>{PROSE}</article>{talk}</div>') == text
+
+
 def test_arc_versions_and_conversion():
     for version in (1, 2):
         about = f"{version} 0 me\n{' '.join(arc.ARC_FIELDS[version])}\n".encode()
