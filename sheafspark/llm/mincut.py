@@ -38,15 +38,29 @@ _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'
 _SPACE = re.compile(r"\s+")
 _SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[0-9])")
 
-# Elements whose content is not text of the page.
-_RAW = {"script", "style", "title", "textarea", "template", "noscript", "iframe", "svg", "math", "object", "select"}
+# Elements whose content is raw text up to their close tag, or to the end of the page, and no text of it.
+_RAW = {"script", "style", "title", "textarea", "iframe"}
+# Elements with ordinary content that is no text of the page; without a close tag of their own they hold nothing.
+_HIDDEN = {"svg", "object", "noscript", "select", "template", "annotation", "annotation-xml"}
+# Formulas are text inside a line.
+_MATH = {
+    "math", "semantics", "maction", "menclose", "merror", "mfenced", "mfrac", "mi", "mmultiscripts", "mn", "mo", "mover", "mpadded",
+    "mphantom", "mprescripts", "mroot", "mrow", "ms", "mspace", "msqrt", "mstyle", "msub", "msubsup", "msup", "mtable", "mtd",
+    "mtext", "mtr", "munder", "munderover",
+}
+_OPTIONS = {"option", "optgroup"}
+# Elements that end an open svg or select.
+_BREAKS = {
+    "address", "article", "aside", "blockquote", "body", "center", "dd", "div", "dl", "dt", "figure", "footer", "h1", "h2", "h3", "h4",
+    "h5", "h6", "header", "li", "main", "nav", "ol", "p", "pre", "section", "table", "ul",
+}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _INLINE = {
     "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins",
     "kbd", "label", "mark", "q", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt",
-    "u", "var", "wbr", "img", "br",
+    "u", "var", "wbr", "img", "br", *_MATH,
 }
-_OUTSIDE = {"nav", "footer", "aside", "form", "menu", "dialog", "button", "fieldset", "head"}
+_OUTSIDE = {"nav", "footer", "aside", "form", "menu", "dialog", "button", "fieldset", "head", *_OPTIONS}
 # Of these, and of elements with hints, how much of the text they hold decides.
 _WRAPPERS = {"form", "fieldset"}
 _CONTENT = {"article", "main"}
@@ -145,10 +159,63 @@ def weigh_marks(blocks: list[Block], marks: dict[int, Mark]) -> None:
         b.outside = max((cost[k] for k in b.marks if not (k in open_to and b.articles and b.articles[-1] > k)), default=0.0)
 
 
+def _raw_end(page: str, tag: str, at: int) -> int:
+    end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
+    return end.end() if end else len(page)
+
+
+def _closes_itself(attrs: str) -> bool:
+    return attrs.rstrip().endswith("/")
+
+
+def hidden_ends(page: str, tag: str, at: int, around: set[str]) -> dict[int, int | None]:
+    """Where hidden elements end: {end of the open tag: end of the close tag, or None without one}.
+
+    Reads on from the element whose open tag ends at ``at`` until it is closed, or cannot be any more because an element
+    around it is closed or a block begins that it cannot hold. The answers are for all of its tag on the way.
+    """
+    ends: dict[int, int | None] = {}
+    stack = [(tag, at)]
+
+    def drop(depth: int) -> None:
+        ends.update({start: None for name, start in stack[depth:] if name == tag})
+        del stack[depth:]
+
+    size = len(page)
+    while stack and at < size:
+        token = _TOKEN.match(page, at)
+        at = token.end()
+        name = (token["tag"] or token["tag2"] or "").lower()
+        if not name:
+            continue
+        if token["close"] or token["close2"]:
+            depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), None)
+            if depth is not None:
+                start = stack[depth][1]
+                drop(depth + 1)
+                stack.pop()
+                if name == tag:
+                    ends[start] = at
+            elif name in around and name not in _INLINE:
+                drop(0)
+            continue
+        if name in _VOID or _closes_itself(token["attrs"] or token["attrs2"] or ""):
+            continue
+        if name in _RAW:
+            at = _raw_end(page, name, at)
+        elif name in _BREAKS and tag in ("svg", "select") and not any(e[0] == "foreignobject" for e in stack):
+            drop(0)
+        else:
+            stack.append((name, at))
+    drop(0)
+    return ends
+
+
 def blocks_of(page: str) -> list[Block]:
     """The text blocks of a page in page order."""
     found: list[Block] = []
     marks: dict[int, Mark] = {}
+    hidden: dict[int, int | None] = {}
     # Open elements: (tag, number, marks, articles); a block ends where a block element begins or ends.
     stack: list[tuple[str, int, tuple[int, ...], tuple[int, ...]]] = [("", 0, (), ())]
     parts: list[str] = []
@@ -194,8 +261,16 @@ def blocks_of(page: str) -> list[Block]:
                 leave(depth)
             continue
         if tag in _RAW:
-            end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
-            at = end.end() if end else size
+            at = _raw_end(page, tag, at)
+            continue
+        attrs = token["attrs"] or token["attrs2"] or ""
+        if tag in _HIDDEN:
+            if not _closes_itself(attrs):
+                if at not in hidden:
+                    hidden.update(hidden_ends(page, tag, at, {e[0] for e in stack}))
+                at = hidden[at] or at
+            continue
+        if tag in _MATH and _closes_itself(attrs):
             continue
         if tag not in _INLINE:
             flush()
@@ -209,13 +284,15 @@ def blocks_of(page: str) -> list[Block]:
             # An open paragraph ends at any block; list items and cells end at the next of their kind.
             for k in range(len(stack) - 1, 0, -1):
                 name = stack[k][0]
+                if name in _OPTIONS and tag not in _OPTIONS:
+                    leave(k)
+                    continue
                 if name == "p" or (name == tag and tag in _CLOSED_BY_SAME):
                     leave(k)
                     break
                 if name not in _INLINE:
                     break
         _, _, marked, articles = stack[-1]
-        attrs = token["attrs"] or token["attrs2"] or ""
         number += 1
         if cost := _outside_cost(tag, attrs, bool(articles)):
             fixed = tag not in _WRAPPERS and (tag in _OUTSIDE or tag == "header")

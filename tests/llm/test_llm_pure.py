@@ -163,6 +163,23 @@ def test_wrapped_main_text():
     assert mincut.main_text(f'<div class="has-sidebar"><article>{PROSE}</article>{talk}</div>') == text
 
 
+def test_elements_without_close_tags():
+    text = mincut.main_text(PROSE)
+    for odd in ('<svg viewBox="0 0 1 1"/>', "<svg>", "<svg><path d=x>", "<math/>", "<object data=x>", "<select>", "<select><option>one", "<noscript>", "<template>"):
+        for later in ("", "<svg></svg>", "<select><option>x</select>", "<object></object>"):
+            page = f"<article><div>{odd}</div>{PROSE}</article><footer>{later}</footer>"
+            assert mincut.main_text(page) == text, (odd, later)
+    for odd in ("<svg>", "<select>", "<select><option>one", "<object data=x>", "<math/>"):
+        assert mincut.main_text(f"<article>{odd}{PROSE}</article>") == text
+    hidden = "<svg><title>no</title><g><text>no</text></g></svg>", "<object><object>no</object>no</object>", "<select><option>no<option>no</select>"
+    for inner in hidden:
+        assert mincut.main_text(f"<article>{PROSE.replace('the reader', 'the ' + inner + 'reader')}</article>") == text
+    formula = "<math><semantics><mrow><mi>x</mi><mo>=</mo><mn>1</mn></mrow><annotation>x=1</annotation></semantics></math>"
+    assert mincut.main_text(f"<article>{PROSE.replace('something', formula)}</article>") == text.replace("something", "x=1")
+    for odd in ("<svg><svg>", "</svg>", "<svg", "<select><select></select>", "<object>" * 300, "<object>" * 300 + "</object>"):
+        mincut.main_text(odd)
+
+
 def test_arc_versions_and_conversion():
     for version in (1, 2):
         about = f"{version} 0 me\n{' '.join(arc.ARC_FIELDS[version])}\n".encode()
