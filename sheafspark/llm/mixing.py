@@ -117,22 +117,64 @@ def block_plan(blocked: DataFrame) -> DataFrame:
     return rows.select("source", "block", "n_blocks", "place", "words", whole.cast("long").alias("whole"), cut.cast("long").alias("cut"))
 
 
-def cut_copies(rows: DataFrame) -> DataFrame:
-    """Whether each document of the cut blocks is taken once more (column ``extra``, 0 or 1).
+def cut_picks(blocked: DataFrame, plan: DataFrame) -> DataFrame:
+    """(source, block, number): the documents of cut blocks that are taken once more, by their place in the order of their hash.
 
-    Documents are taken in the order of their hash while they fit, then the one
-    whose size is nearest to what is left, if it brings the sum nearer.
+    Documents are gone through in that order, and each is taken that fits what is left; so what is left in the end is less
+    than any document left out. Then the smallest of those is taken too and taken ones that fit what is too much, the largest
+    first, are given back, if that brings the sum nearer. So the gap is about the smallest document, not half of the largest. Documents
+    without words are taken up to the first that did not fit although it is no larger than the whole cut. A list holds the sizes of one block.
     """
-    parts = ["source", "block"]
-    line = Window.partitionBy(*parts).orderBy("order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("reach", F.sum("size").over(line))
-    rows = rows.withColumn("fits", (F.col("reach") <= F.col("cut")).cast("long"))
-    whole = Window.partitionBy(*parts)
-    rows = rows.withColumn("left", F.col("cut") - F.coalesce(F.sum(F.col("size") * F.col("fits")).over(whole), F.lit(0)))
-    gap = F.abs(F.col("size") - F.col("left"))
-    nearest = F.row_number().over(Window.partitionBy(*parts).orderBy("fits", gap, "order", "doc_id", "size"))
-    best = (nearest == 1) & (F.col("fits") == 0) & (gap < F.col("left"))
-    return rows.withColumn("extra", F.col("fits") + best.cast("long")).drop("reach", "fits", "left")
+    cuts = plan.where("cut > 0").select(F.col("source").alias("_source"), F.col("block").alias("_block"), "cut")
+    same = F.col("source").eqNullSafe(F.col("_source")) & (F.col("block") == F.col("_block"))
+    rows = blocked.join(F.broadcast(cuts) if _is_small(cuts) else cuts, same)
+    listed = rows.groupBy("source", "block", "cut").agg(F.sort_array(F.collect_list(F.struct("order", "doc_id", "size"))).alias("docs"))
+    begin = F.struct(
+        F.col("cut").alias("left"), F.lit(0).cast("long").alias("at"), F.lit(True).alias("open"),
+        F.expr("cast(array() as array<bigint>)").alias("picked"),
+    )
+
+    def step(a: Column, d: Column) -> Column:
+        fits = F.when(d["size"] == 0, a["open"]).otherwise(d["size"] <= a["left"])
+        return F.struct(
+            F.when(fits, a["left"] - d["size"]).otherwise(a["left"]).alias("left"),
+            (a["at"] + 1).alias("at"),
+            (a["open"] & (fits | (d["size"] > F.col("cut")))).alias("open"),
+            F.when(fits, F.concat(a["picked"], F.array(a["at"] + 1))).otherwise(a["picked"]).alias("picked"),
+        )
+
+    filled = listed.withColumn("filled", F.explode(F.array(F.aggregate("docs", begin, step))))
+    left, picked = F.col("filled.left"), F.col("filled.picked")
+    numbered = F.transform("docs", lambda d, k: F.struct(d["size"].alias("size"), (k + 1).cast("long").alias("number")))
+    worded = F.filter(numbered, lambda d: d["size"] > 0)
+    nearer = filled.select(
+        "source", "block", left.alias("left"), picked.alias("picked"),
+        F.explode(F.array(F.array_min(F.filter(worded, lambda d: ~F.array_contains(picked, d["number"]))))).alias("more"),
+        F.sort_array(F.filter(worded, lambda d: F.array_contains(picked, d["number"])), asc=False).alias("given"),
+    )
+    none = F.expr("cast(array() as array<bigint>)")
+    over = F.struct((F.col("more.size") - F.col("left")).alias("over"), none.alias("back"))
+
+    def give_back(a: Column, d: Column) -> Column:
+        fits = d["size"] <= a["over"]
+        return F.struct(
+            F.when(fits, a["over"] - d["size"]).otherwise(a["over"]).alias("over"),
+            F.when(fits, F.concat(a["back"], F.array(d["number"]))).otherwise(a["back"]).alias("back"),
+        )
+
+    filled = nearer.withColumn("turned", F.explode(F.array(F.aggregate("given", over, give_back))))
+    other = F.concat(F.array_except("picked", "turned.back"), F.array(F.col("more.number")))
+    every = F.when(F.col("turned.over") < F.col("left"), other).otherwise(F.col("picked"))
+    return filled.select("source", "block", F.explode(every).alias("number"))
+
+
+def cut_copies(rows: DataFrame, picks: DataFrame) -> DataFrame:
+    """Whether each document of the cut blocks is taken once more (column ``extra``, 0 or 1)."""
+    number = F.row_number().over(Window.partitionBy("source", "block").orderBy("order", "doc_id", "size")).cast("long")
+    taken = picks.select(F.col("source").alias("_of"), F.col("block").alias("_in"), F.col("number").alias("_number"))
+    same = F.col("source").eqNullSafe(F.col("_of")) & (F.col("block") == F.col("_in")) & (F.col("_place") == F.col("_number"))
+    found = rows.withColumn("_place", number).join(F.broadcast(taken) if _is_small(taken) else taken, same, "left")
+    return found.withColumn("extra", F.col("_number").isNotNull().cast("long")).drop("_place", "_of", "_in", "_number")
 
 
 def _log_factorial(n: Column) -> Column:
@@ -264,7 +306,8 @@ def mix(docs: DataFrame, *more: str, shard_words: int = SHARD_WORDS) -> DataFram
     narrow = stage(sizes(docs))
     sources = stage(targets(narrow))
     total = sources.agg(F.sum("target")).first()[0] or 0.0
-    plan = stage(block_plan(blocks_of(narrow, sources)))
+    blocked = blocks_of(narrow, sources)
+    plan = stage(block_plan(blocked))
     shards = draws(plan, max(1, math.ceil(total / shard_words)))
     by_block = shards.groupBy(F.col("source").alias("_source"), F.col("block").alias("_block")).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("turn", "shard"))), lambda x: x["shard"]).alias("shards")
@@ -280,7 +323,8 @@ def mix(docs: DataFrame, *more: str, shard_words: int = SHARD_WORDS) -> DataFram
         F.col("source").eqNullSafe(F.col("_source")) & (F.col("block") == F.col("_block")),
     )
     uncut = rows.where("cut = 0").withColumn("extra", F.lit(0).cast("long"))
-    every = uncut.unionByName(cut_copies(rows.where("cut > 0")))
+    picks = stage(cut_picks(blocked, plan))
+    every = uncut.unionByName(cut_copies(rows.where("cut > 0"), picks))
     copies = F.col("whole") + F.col("extra")
     return every.select(
         "doc_id", "source", "size", "source_size", "target", (copies * F.col("size")).alias("taken"),

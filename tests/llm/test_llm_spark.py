@@ -160,6 +160,18 @@ def test_mix(spark, docs, nothing):
     assert mixing.mix(nothing).count() == 0
 
 
+def test_mix_of_few_skewed_documents(spark):
+    rows, sizes = [], (3000, 900, 500, *range(1, 30))
+    for k in range(12):
+        rows += [(100 * k + i, " ".join(["w"] * n), None, f"s{k:02}") for i, n in enumerate(sizes)]
+    found = mixing.mix(spark.createDataFrame(rows_of(rows), SCHEMA)).collect()
+    taken, target = defaultdict(int), {}
+    for r in found:
+        taken[r.source] += r.taken
+        target[r.source] = r.target
+    assert len(found) == len(rows) and all(abs(taken[s] - target[s]) <= 30 for s in target)
+
+
 def test_splitting_tree_keeps_quotas(spark):
     quotas = {"a": 500, "b": 300, None: 200, "c": 1, "d": 0}
     frame = spark.createDataFrame(list(quotas.items()), "source string, quota long")
