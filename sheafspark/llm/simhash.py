@@ -223,6 +223,8 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """The rows of ``docs`` that remain when one document of each group of near-duplicates stays.
 
+    Groups are those of ``near_duplicates``: fingerprints of 3-word shingles within 2 bits, linked through others. No pair within
+    that radius is lost; it is not a bound on the similarity of texts, and copies with a few changed words can lie further apart.
     It is the one with the smallest id, a row without id only in a group that has none; among equal ids the text with the
     smallest hash; of repeated rows one. All columns are kept as they are. What is decided about a row is found again
     by its id and a hash of its text, so no copy of the texts is written.
