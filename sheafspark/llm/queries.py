@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sheafspark.llm import arc, fmindex, langid, lengths, mincut, mixing, quality, records, rules, simhash
+from sheafspark.llm import arc, fmindex, langid, lengths, mincut, mixing, quality, records, rules, simhash, urlrules
 
 END_ID = 1
 
@@ -64,6 +64,10 @@ def op10_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lengths.length_histogram(lengths.token_counts(table(spark, sf_dir, "documents"), words_file()))
 
 
+def op11_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlrules.judge_urls(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -77,6 +81,7 @@ QUERIES = {
         op8_rule_ledger,
         op9_marginal_language_id,
         op10_length_histogram,
+        op11_url_rules,
     )
 }
 
@@ -135,4 +140,38 @@ SQL = {
                      + CASE WHEN 100 * n_letter_words < 60 * n_words THEN 32 ELSE 0 END AS BIGINT) AS failed FROM m)
         SELECT *, failed & 3 <> 0 AS base_failed, failed = 0 AS kept FROM f
     """,
+    "op11_url_rules": r"""
+        WITH p AS (SELECT page_id, url, row_number() OVER () AS rn,
+                          CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+        h AS (SELECT *, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                     regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM p),
+        r AS (SELECT *, CASE
+                WHEN (host = 'example.net' OR suffix(host, '.example.net')) AND prefix(path, '/en/') THEN 'example.net/en/'
+                WHEN (host = 'example.com' OR suffix(host, '.example.com')) AND prefix(path, '/de/') THEN 'example.com/de/'
+                WHEN (host = 'org' OR suffix(host, '.org')) AND prefix(path, '/fr/') THEN 'org/fr/'
+                WHEN (host = 'net' OR suffix(host, '.net')) AND prefix(path, '/') THEN 'net/' END AS rule FROM h),
+        g AS (SELECT *, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' END AS given,
+                     list_reverse(string_split(host, '.')) AS labels,
+                     regexp_extract(rest, '^[^?#]*\?([^#]*)', 1) AS query FROM r),
+        t AS (SELECT *, CASE WHEN instr(url, '://') = 0 THEN [] ELSE list_sort(list_distinct(
+                  ['p:' || translate(split_part(url, '://', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')]
+                  || list_transform(list_filter(range(1, len(labels) + 1), lambda i: labels[i] <> ''), lambda i: 'h' || i || ':' || labels[i])
+                  || list_transform(list_filter(string_split(path, '/'), lambda x: x <> ''), lambda x: 's:' || regexp_replace(x, '[0-9]+', '#', 'g'))
+                  || list_transform(list_filter(list_transform(string_split(query, '&'), lambda x: split_part(x, '=', 1)), lambda x: x <> ''),
+                                    lambda x: 'q:' || regexp_replace(x, '[0-9]+', '#', 'g'))
+                  || CASE WHEN contains(rest, '#') THEN ['f:'] ELSE [] END)) END AS tokens FROM g),
+        s AS (SELECT given, rule, list_filter(tokens, lambda x, i: (m >> (i - 1)) & 1 = 1) AS items
+              FROM (SELECT given, rule, tokens, unnest(range(1, 1 << len(tokens))) AS m FROM t WHERE given IS NOT NULL)),
+        c AS (SELECT items, given, count(*) AS nv, min(rule) < max(rule) AS several FROM s GROUP BY ALL),
+        w AS (SELECT *, nv / sum(nv) OVER (PARTITION BY items) AS conf FROM c),
+        k AS (SELECT * FROM w WHERE conf >= 0.75 AND several AND nv >= ceil((SELECT count(*) FROM t WHERE given IS NOT NULL) / 128)),
+        u AS (SELECT * FROM k WHERE NOT EXISTS (
+                SELECT 1 FROM k AS l WHERE l.given = k.given AND len(l.items) = len(k.items) - 1 AND len(l.items) > 0
+                AND list_has_all(k.items, l.items) AND l.conf >= k.conf)),
+        f AS (SELECT rn, min({'d': -conf, 'f': -nv, 's': -len(items), 'pattern': array_to_string(items, ' '), 'verdict': u.given}) AS best
+              FROM t JOIN u ON t.given IS NULL AND list_has_all(t.tokens, u.items) GROUP BY rn)
+        SELECT page_id, coalesce(host, '') AS host, coalesce(path, '') AS path, rule,
+               coalesce(given, best.verdict, 'allow') AS verdict, best.pattern AS pattern
+        FROM t LEFT JOIN f ON t.rn = f.rn
+    """,
 }
