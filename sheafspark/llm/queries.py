@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sheafspark.llm import arc, fmindex, langid, lengths, mincut, mixing, quality, records, rules, simhash, urlrules
+from sheafspark.llm import arc, convrepair, fmindex, langid, lengths, mincut, mixing, quality, records, rules, simhash, urlrules
 
 END_ID = 1
 
@@ -68,6 +68,77 @@ def op11_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlrules.judge_urls(table(spark, sf_dir, "pages"))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return convrepair.repair_conversations(convrepair.damage(table(spark, sf_dir, "conversations")))
+
+
+def _repair_sql() -> str:
+    """The cheapest edits row by row: per conversation and state the least (cost, audit, repaired lines)."""
+
+    def after(state: str, cost: str, edit: str, line: str = "''") -> str:
+        return f"{{'c': {state}.c + {cost}, 'a': {state}.a || '{edit}', 't': {state}.t || {line}}}"
+
+    def least(*entries: str) -> str:
+        return f"list_min([{', '.join(entries)}])"
+
+    user, assistant = "'user:' || chr(10)", "'assistant:' || chr(10)"
+    both = "'user:' || chr(10) || 'assistant:' || chr(10)"
+    w2 = least("s2", after("s0", "5", "I", user), after("s1", "5", "I", user), after("s3", "5", "I", user))
+    w3 = least("s3", after("s2", "5", "I", assistant), after("s0", "10", "II", both), after("s1", "10", "II", both))
+
+    def kept(state: str, initial: str, role: str) -> list[str]:
+        keep = f"CASE WHEN go OR initial <> '{initial}' THEN 1000000000 ELSE 5 * cut END"
+        found = [after(state, keep, "K", "role || ':' || text || chr(10)")]
+        if role:
+            anew = "CASE WHEN go THEN 1000000000 ELSE 1 + 5 * cut END"
+            found.append(after(state, anew, "R", f"'{role}:' || text || chr(10)"))
+        return found
+
+    n0 = after("s0", "2", "D")
+    n1 = least(after("s1", "2", "D"), *kept("s0", "s", ""))
+    n2 = least(after("w2", "2", "D"), *kept("s0", "u", "user"), *kept("s1", "u", "user"), *kept("w3", "u", "user"))
+    n3 = least(after("w3", "2", "D"), *kept("w2", "a", "assistant"))
+    none = "{'c': 1000000000, 'a': '', 't': ''}"
+    return rf"""
+        WITH RECURSIVE k AS (
+            SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                   xor(list_reduce(
+                       list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''),
+                                      lambda x: CAST(ascii(x) AS BIGINT)),
+                       lambda acc, b: list_reduce(CAST(range(8) AS BIGINT[]),
+                           lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, xor(acc, b)),
+                       4294967295), 4294967295) % 20 AS kind FROM conversations),
+        d AS (
+            SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+                   CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+                   unnest(range(CASE kind WHEN 3 THEN 2 ELSE 1 END)) AS again
+            FROM k WHERE kind <> 0),
+        o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), again) AS i,
+                     rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body FROM d),
+        e AS (SELECT *, body = '' AS blank, substr(role, 1, 1) AS initial,
+                     row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS seen,
+                     lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY i) || substr(role, 1, 1) AS step FROM o),
+        f AS (SELECT *, blank OR seen AS go, CASE WHEN NOT blank AND NOT seen AND right(body, 1) NOT IN ('.', '!', '?') THEN 1 ELSE 0 END AS cut FROM e),
+        m AS (SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+                     count(*) FILTER (blank) AS blank, count(*) FILTER (seen AND NOT blank) AS duplicate, sum(cut) AS truncated,
+                     count(*) FILTER (step NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv_id),
+        r AS (
+            SELECT conv_id, 0 AS i, {{'c': 0, 'a': '', 't': ''}} AS s0, {none} AS s1, {none} AS s2, {none} AS s3
+            FROM (SELECT DISTINCT conv_id FROM conversations)
+            UNION ALL
+            SELECT conv_id, i, {n0}, {n1}, {n2}, {n3}
+            FROM (SELECT f.conv_id, f.i, role, text, initial, go, cut, s0, s1, s3, {w2} AS w2, {w3} AS w3
+                  FROM r JOIN f ON r.conv_id IS NOT DISTINCT FROM f.conv_id AND f.i = r.i + 1)),
+        z AS (SELECT r.conv_id AS conv_id, m.* EXCLUDE (conv_id), {least("s0", w3)} AS best
+              FROM r LEFT JOIN m ON r.conv_id IS NOT DISTINCT FROM m.conv_id WHERE r.i = coalesce(m.n, 0))
+        SELECT conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank,
+               CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate, CAST(coalesce(truncated, 0) AS BIGINT) AS truncated,
+               CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, CAST(best.c AS BIGINT) AS cost, best.a AS audit,
+               sha256(CASE WHEN best.t = '' THEN '' ELSE substr(best.t, 1, length(best.t) - 1) END) AS repaired_sha256
+        FROM z
+    """
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -82,6 +153,7 @@ QUERIES = {
         op9_marginal_language_id,
         op10_length_histogram,
         op11_url_rules,
+        op12_conversation_repair,
     )
 }
 
@@ -174,4 +246,5 @@ SQL = {
                coalesce(given, best.verdict, 'allow') AS verdict, best.pattern AS pattern
         FROM t LEFT JOIN f ON t.rn = f.rn
     """,
+    "op12_conversation_repair": _repair_sql(),
 }
