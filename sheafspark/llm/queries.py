@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sheafspark.llm import arc, convrepair, fmindex, langid, lengths, mincut, mixing, quality, records, rules, simhash, urlrules
+from sheafspark.llm import arc, convrepair, fmindex, langid, lengths, mincut, mixing, quality, records, rules, simhash, urlrules, veccodes
 
 END_ID = 1
 
@@ -72,6 +72,45 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return convrepair.repair_conversations(convrepair.damage(table(spark, sf_dir, "conversations")))
 
 
+def op13_dictionary_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return veccodes.compress(table(spark, sf_dir, "embeddings"))
+
+
+def _codes_sql(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """All distances to all entries, round by round."""
+    near = """
+        n{i} AS MATERIALIZED (
+            SELECT vec_id, part, min({{'d': d, 'entry': entry}}) AS best FROM (
+                SELECT vec_id, v.part AS part, entry, sum((v.x - b.x) * (v.x - b.x)) AS d
+                FROM v JOIN b{i} AS b ON v.part = b.part AND v.pos = b.pos GROUP BY vec_id, v.part, entry)
+            GROUP BY vec_id, part)"""
+    renew = """
+        b{j} AS MATERIALIZED (
+            SELECT b.part AS part, b.entry AS entry, b.pos AS pos, coalesce(m.x, b.x) AS x FROM b{i} AS b LEFT JOIN (
+                SELECT v.part AS part, n.best.entry AS entry, pos, CAST(floor(sum(v.x) / count(*)) AS BIGINT) AS x
+                FROM v JOIN n{i} AS n ON v.vec_id = n.vec_id AND v.part = n.part GROUP BY v.part, n.best.entry, pos) AS m
+            ON b.part = m.part AND b.entry = m.entry AND b.pos = m.pos)"""
+    steps = []
+    for i in range(rounds):
+        steps += [near.format(i=i), renew.format(i=i, j=i + 1)]
+    steps.append(near.format(i=rounds))
+    return f"""
+        WITH k AS (SELECT vec_id, label, embedding FROM embeddings
+                   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        v AS MATERIALIZED (
+            SELECT vec_id, (i - 1) // w AS part, (i - 1) % w AS pos, CAST(floor(CAST(embedding[i] AS DOUBLE) * 4096) AS BIGINT) AS x
+            FROM (SELECT vec_id, embedding, len(embedding) // {parts} AS w, unnest(range(1, len(embedding) + 1)) AS i FROM k)),
+        f AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM (SELECT vec_id FROM k ORDER BY vec_id LIMIT {entries})),
+        b0 AS MATERIALIZED (SELECT part, entry, pos, x FROM v JOIN f ON v.vec_id = f.vec_id),
+        {",".join(steps)},
+        c AS (SELECT vec_id, string_agg(lower(printf('%02x', best.entry)), '' ORDER BY part) AS code, CAST(sum(best.d) AS BIGINT) AS error
+              FROM n{rounds} GROUP BY vec_id)
+        SELECT c.vec_id AS vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+               (SELECT sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY part, entry, pos)) FROM b{rounds}) AS codebooks_sha256
+        FROM c JOIN k ON c.vec_id = k.vec_id
+    """
+
+
 def _repair_sql() -> str:
     """The cheapest edits row by row: per conversation and state the least (cost, audit, repaired lines)."""
 
@@ -154,6 +193,7 @@ QUERIES = {
         op10_length_histogram,
         op11_url_rules,
         op12_conversation_repair,
+        op13_dictionary_codes,
     )
 }
 
@@ -247,4 +287,5 @@ SQL = {
         FROM t LEFT JOIN f ON t.rn = f.rn
     """,
     "op12_conversation_repair": _repair_sql(),
+    "op13_dictionary_codes": _codes_sql(),
 }

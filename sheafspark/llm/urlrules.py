@@ -135,7 +135,9 @@ def mine_rules(
     """
     spark = labelled.sparkSession
     counted = labelled.where("verdict IS NOT NULL").groupBy("url", "verdict", "source").agg(F.count("*").alias("n_rows"))
-    known = stage(attach(counted, tokens=url_tokens(F.col("url"))).where(F.size("tokens") > 0))
+    # Few bytes but much work per url: spread over all tasks, which an adaptive plan would not do by size.
+    spread = attach(counted.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))), tokens=url_tokens(F.col("url")))
+    known = stage(spread.where(F.size("tokens") > 0))
     runs = F.expr(f"transform(sequence(0, (size(tokens) - 1) div {run}), i -> slice(tokens, i * {run} + 1, {run}))")
     # One row per labelled url again: repeated urls count as often as they occur.
     rows = known.withColumn("again", F.explode(F.expr("array_repeat(0, CAST(n_rows AS INT))")))
@@ -163,7 +165,7 @@ def mine_rules(
     )
     candidates = stage(rarest)
     counts = _fitting(known.select("tokens", "verdict", "source", "n_rows"), candidates).groupBy("items", "rarest", "verdict")
-    counts = counts.agg(F.sum("n_rows").alias("n_verdict"), (F.min("source") < F.max("source")).alias("several"))
+    counts = stage(counts.agg(F.sum("n_rows").alias("n_verdict"), (F.min("source") < F.max("source")).alias("several")))
     whole = counts.groupBy("items").agg(F.sum("n_verdict").alias("n"))
     confidence = F.col("n_verdict") / F.col("n")
     rules = counts.join(whole, "items").withColumn("confidence", confidence)
