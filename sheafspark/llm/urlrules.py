@@ -147,7 +147,8 @@ def mine_rules(
     empty = "items array<string>, rarest string, verdict string, n long, n_verdict long, confidence double"
     if not total.urls:
         return spark.createDataFrame([], empty)
-    least = math.ceil(min_support * total.urls)
+    # A verdict of two sources has two urls at least; single urls would be all their combinations.
+    least = max(2, math.ceil(min_support * total.urls))
     # Half a row below the least count, so that rounding cannot move it.
     model = FPGrowth(itemsCol="items", minSupport=(least - 0.5) / total.runs, minConfidence=min_confidence).fit(groups)
     single = model.freqItemsets.where("size(items) = 1").select(F.col("items")[0].alias("item"), "freq")
