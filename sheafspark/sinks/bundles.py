@@ -30,6 +30,7 @@ def write_bundles(
     gzip_level: int | None = None,
     staged: bool = False,
     partitions: int | None = None,
+    mode: str = "error",
 ) -> None:
     """Write document rows below ``target``, plain or as gzip.
 
@@ -49,7 +50,7 @@ def write_bundles(
     rows = (rows if staged else stage(rows)).withColumn("bundle_id", named)
     ranges = rows.repartitionByRange(partitions, *ORDER) if partitions else rows.repartitionByRange(*ORDER)
     ordered = ranges.sortWithinPartitions(*ORDER)
-    writer = ordered.select("bundle_id", F.col("line").alias("value")).write.partitionBy("bundle_id")
+    writer = ordered.select("bundle_id", F.col("line").alias("value")).write.mode(mode).partitionBy("bundle_id")
     if gzip_level is not None:
         writer = writer.option("compression", "gzip").option("zlib.compress.level", ZLIB_LEVELS[gzip_level])
     writer.text(target)

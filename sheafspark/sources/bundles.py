@@ -46,8 +46,8 @@ def document_order(spark: SparkSession, target: str) -> DataFrame:
     return written_files(spark, target).withColumn("ordinal", F.row_number().over(order))
 
 
-def written_files(spark: SparkSession, target: str) -> DataFrame:
-    """(bundle_id, file, length) of the written files; contents are not read."""
+def written_files(spark: SparkSession, target: str | list[str]) -> DataFrame:
+    """(bundle_id, file, length) of the written files below one or several folders; contents are not read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(target)
     return files.select(bundle_of(F.col("path")).alias("bundle_id"), F.col("path").alias("file"), "length")
 
@@ -78,7 +78,7 @@ def parse_entries(lines: Iterator[str]) -> Iterator[tuple]:
             inner = []
 
 
-def read_bundles(spark: SparkSession, target: str) -> DataFrame:
+def read_bundles(spark: SparkSession, target: str | list[str]) -> DataFrame:
     """(bundle_id, path, size, lines, text, comment) of the entries of written documents.
 
     One of text and comment is null. Tasks take whole files, packed by size.

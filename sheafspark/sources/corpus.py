@@ -25,6 +25,9 @@ from sheafspark.session import stage
 
 # A reader task hands over a batch when it holds this many bytes.
 BATCH_BYTES = 32 * 1024 * 1024
+# What a cell of a table can hold, with room for what the operators add to it.
+CELL_BYTES = 1_900_000_000
+TOO_LARGE = "File is too large for one row"
 # What a reading task gets on average, at most.
 TASK_BYTES, TASK_FILES = 128 * 1024 * 1024, 20_000
 
@@ -54,32 +57,35 @@ def open_uri(uri: str):
     return files, f"{base.rstrip('/')}/{path}"
 
 
-def _children(files, path: str) -> Iterator[tuple[str, str, int | None, str | None]]:
-    """(name, path, size, error) in a folder, size None for folders; no symbolic links."""
+def children(files, path: str) -> Iterator[tuple[str, str, int | None, int | None, str | None]]:
+    """(name, path, size, milliseconds of the last change, error) in a folder, size None for folders; no symbolic links."""
     from pyarrow import fs
 
     if files.type_name != "local":
         for info in files.get_file_info(fs.FileSelector(path)):
-            yield info.base_name, info.path, info.size if info.type == fs.FileType.File else None, None
+            changed = info.mtime_ns // 1_000_000 if info.mtime_ns else None
+            yield info.base_name, info.path, info.size if info.type == fs.FileType.File else None, changed, None
         return
-    with os.scandir(path) as found:
-        for entry in found:
+    with os.scandir(path) as inside:
+        for entry in inside:
             if entry.is_symlink():
                 continue
             try:
                 if entry.is_dir(follow_symlinks=False):
-                    yield entry.name, entry.path, None, None
+                    yield entry.name, entry.path, None, None, None
                 elif entry.is_file(follow_symlinks=False):
-                    yield entry.name, entry.path, entry.stat(follow_symlinks=False).st_size, None
+                    found = entry.stat(follow_symlinks=False)
+                    # The change of the inode: a file moved in keeps its own older date of modification.
+                    yield entry.name, entry.path, found.st_size, found.st_ctime_ns // 1_000_000, None
             except OSError as failure:
-                yield entry.name, entry.path, 0, _said(failure)
+                yield entry.name, entry.path, 0, None, said(failure)
 
 
-def _said(failure: OSError) -> str:
+def said(failure: OSError) -> str:
     return os.strerror(failure.errno) if failure.errno else str(failure)
 
 
-def _prefix(uri: str) -> str:
+def prefix(uri: str) -> str:
     """What turns a path of the URI's file system back into a URI, authority included."""
     if not re.match(r"[a-z][a-z0-9+.-]+://", uri) or uri.startswith("file:"):
         return ""
@@ -95,7 +101,7 @@ def _list_level(folders: DataFrame, uri: str, by_child: bool, strict: bool) -> D
 
     def list_folders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, top = open_uri(uri)
-        before = _prefix(uri)
+        before = prefix(uri)
         names = ["bundle_id", "path", "size", "uri", "is_folder", "list_error"]
         types = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.bool_(), pa.string()]
 
@@ -107,7 +113,7 @@ def _list_level(folders: DataFrame, uri: str, by_child: bool, strict: bool) -> D
             for bundle, folder in zip(incoming["bundle_id"].to_pylist(), incoming["path"].to_pylist()):
                 place = f"{top.rstrip('/')}/{folder}" if folder else top
                 try:
-                    for name, path, size, error in _children(files, place):
+                    for name, path, size, _, error in children(files, place):
                         inner = f"{folder}/{name}" if folder else name
                         # With bundles by child, the first level gives the bundles their names.
                         named = name if by_child and not folder else bundle
@@ -118,7 +124,7 @@ def _list_level(folders: DataFrame, uri: str, by_child: bool, strict: bool) -> D
                             yield batch(rows)
                             rows = []
                 except OSError as failure:
-                    rows.append((bundle, folder, 0, before + place, False, _said(failure)))
+                    rows.append((bundle, folder, 0, before + place, False, said(failure)))
         if rows:
             yield batch(rows)
 
@@ -137,7 +143,7 @@ def list_corpus(
     cannot be asked for stops the listing (``on_stat_error='fail'``) or is a row with its error ('keep').
     """
     files, root = open_uri(path)
-    for _ in _children(files, root):  # a missing top folder is a mistake of the caller
+    for _ in children(files, root):  # a missing top folder is a mistake of the caller
         break
     by_child = bundles == "children"
     level = spark.createDataFrame([(os.path.basename(root.rstrip("/")), "")], "bundle_id string, path string")
@@ -183,15 +189,15 @@ class CorpusReader(DataSourceReader):
 
     def partitions(self) -> Sequence[InputPartition]:
         files, top = open_uri(self.uri)
-        inner = [path for _, path, size, _ in _children(files, top) if size is None]
+        inner = [path for _, path, size, *_ in children(files, top) if size is None]
         return [InputPartition(None), *map(InputPartition, inner)]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         files, top = open_uri(self.uri)
-        before, base = _prefix(self.uri), top.rstrip("/")
+        before, base = prefix(self.uri), top.rstrip("/")
         pending = [partition.value or top]
         while pending:
-            for _, path, size, _ in _children(files, pending.pop()):
+            for _, path, size, *_ in children(files, pending.pop()):
                 if size is not None:
                     yield os.path.basename(base), path[len(base) + 1 :], size, before + path
                 elif partition.value:
@@ -219,15 +225,8 @@ def read_bytes(stream, utf8: bool, probe_only: bool) -> bytes:
     return start + stream.read()
 
 
-def read_contents(listing: DataFrame, utf8: bool = False, probe_only: bool = False) -> DataFrame:
-    """The ``files`` table of a listing; an unreadable file keeps a row with its error.
-
-    The listing is read twice, first for its sum of bytes, which gives the
-    number of tasks: thin rows say nothing about the files behind them. With
-    ``probe_only`` only the start of a file is read where that decides that it
-    is binary; such rows are marked in a column ``truncated``, and ``classify``
-    refuses them if it comes to another result.
-    """
+def content_reader(utf8: bool = False, probe_only: bool = False):
+    """(function for ``mapInArrow``, schema) that turns listing rows (with ``list_error``) into rows of ``files``."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["bundle_id", "path", "size", "content", "read_error"] + ["truncated"] * probe_only
@@ -241,6 +240,8 @@ def read_contents(listing: DataFrame, utf8: bool = False, probe_only: bool = Fal
         for incoming in batches:
             for row in incoming.to_pylist():
                 content, error, cut = None, row["list_error"], False
+                if error is None and (row["size"] or 0) >= CELL_BYTES:
+                    error = TOO_LARGE
                 try:
                     if error is None:
                         files, path = open_uri(row["uri"])
@@ -248,7 +249,7 @@ def read_contents(listing: DataFrame, utf8: bool = False, probe_only: bool = Fal
                             content = read_bytes(stream, utf8, probe_only)
                             cut = probe_only and len(content) == PROBE_BYTES and bool(stream.read(1))
                 except OSError as failure:
-                    error = _said(failure)
+                    error = said(failure)
                 rows.append((row["bundle_id"], row["path"], row["size"], content, error) + (cut,) * probe_only)
                 held += len(content or b"")
                 if held >= BATCH_BYTES:
@@ -257,13 +258,29 @@ def read_contents(listing: DataFrame, utf8: bool = False, probe_only: bool = Fal
         if rows:
             yield batch()
 
+    return read, FILES + ", truncated boolean" if probe_only else FILES
+
+
+def reading_tasks(listing: DataFrame) -> int:
+    """Tasks for reading the files of a listing: thin rows say nothing about the bytes behind them, so they are summed."""
+    total = listing.agg(F.count("*").alias("n"), F.sum("size").alias("bytes")).first()
+    cores = listing.sparkSession.sparkContext.defaultParallelism
+    return max(min(cores, total["n"]), -(-(total["bytes"] or 0) // TASK_BYTES), -(-total["n"] // TASK_FILES), 1)
+
+
+def read_contents(listing: DataFrame, utf8: bool = False, probe_only: bool = False) -> DataFrame:
+    """The ``files`` table of a listing; an unreadable file keeps a row with its error.
+
+    The listing is read twice, first for the number of tasks. With
+    ``probe_only`` only the start of a file is read where that decides that it
+    is binary; such rows are marked in a column ``truncated``, and ``classify``
+    refuses them if it comes to another result. A file that no cell can hold is a row with an
+    error as well; ``sources.chunks`` measures files of any size.
+    """
     failed = F.col("list_error") if "list_error" in listing.columns else F.lit(None).cast("string")
     thin = listing.select("bundle_id", "path", "size", "uri", failed.alias("list_error"))
-    total = thin.agg(F.count("*").alias("n"), F.sum("size").alias("bytes")).first()
-    cores = thin.sparkSession.sparkContext.defaultParallelism
-    tasks = max(min(cores, total["n"]), -(-(total["bytes"] or 0) // TASK_BYTES), -(-total["n"] // TASK_FILES), 1)
-    schema = FILES + ", truncated boolean" if probe_only else FILES
-    return thin.repartition(tasks, "bundle_id", "path").mapInArrow(read, schema)
+    read, schema = content_reader(utf8, probe_only)
+    return thin.repartition(reading_tasks(thin), "bundle_id", "path").mapInArrow(read, schema)
 
 
 def rule_files(listing: DataFrame) -> DataFrame:
