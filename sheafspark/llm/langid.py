@@ -7,14 +7,18 @@ sum over all its segmentations, by the forward algorithm; many words go through
 is the sum over all its words.
 
 Words are runs of a-z and non-ASCII characters of the lower-cased text, with the vocabulary's word mark in
-front; a run of more than ``PART`` bytes is scored in parts. Texts that are null or have no
+front. A long run (a sentence of a script without spaces) is cut where no piece of the vocabulary reaches over the cut, which
+leaves its sum a product of the parts' sums; what cannot be cut is summed with a window as wide as the longest piece, so there is no limit
+to its length. Texts that are null or have no
 letter are ``und`` with score 0, and so is everything if there is nothing to learn from.
+The model has a row per piece seen in the sample and a column per language, however many there are.
 Equal scores go to the language that sorts first. Repeated rows get equal rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -24,18 +28,21 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sheafspark.llm.buffers import LETTERS, Text, Words, _Powers, find_words, hash_words, prefix_sums, slices, text_of
+from sheafspark.llm.buffers import LETTERS, SLICE_BYTES, Text, Words, _Powers, find_words, hash_words, prefix_sums, slices, text_of
 from sheafspark.llm.storage import free_name, schema_with, stage
 
 #: Documents learnt from, per language.
 SAMPLE_DOCS = 2_000
 ROUNDS = 3
-#: Bytes of a word that are scored together, and of the longest piece used.
-PART, PIECE = 45, 16
+#: Bytes from which a run is looked through for cuts, and from which a part is summed alone. Neither changes a sum.
+LONG, ALONE = 45, 512
 #: Bytes of a word after which the forward sums get a new unit.
 STRETCH = 16
-MAX_LANGUAGES = 1_000
 _BLOCK = 8_192
+#: Sums held at once while words go through the forward algorithm.
+_SUMS = 1 << 21
+#: Languages that are scored together.
+_COLUMNS = 256
 #: Words whose evidence counts in full in the score between 0 and 1.
 EVIDENCE = 32
 UNKNOWN = "und"
@@ -57,7 +64,8 @@ class Pieces:
                 continue
             else:
                 piece = model.id_to_piece(i).encode()
-            if len(piece) <= PIECE:
+            # A word has its mark in front and nowhere else.
+            if _MARK not in piece[1:]:
                 found.setdefault(piece, len(found))
         self.count = len(found)
         flat = np.frombuffer(b"".join(found), np.uint8)
@@ -66,6 +74,7 @@ class Pieces:
         hashes = self.raw_hash(prefix_sums(flat), starts, ends)
         self.order = np.argsort(hashes)
         self.keys = hashes[self.order]
+        self.longest = max(map(len, found))
         self.filter = np.zeros(1 << 20, bool)
         self.filter[self.keys >> np.uint64(44)] = True
 
@@ -80,16 +89,36 @@ class Pieces:
         for end in range(1, int(sizes[0]) + 1 if len(sizes) else 1):
             active = int(np.searchsorted(-sizes, -end, side="right"))
             to = start[:active] + end
-            for length in range(1, min(end, PIECE) + 1):
-                hashes = self.raw_hash(sums, to - length, to)
-                near = np.flatnonzero(self.filter[hashes >> np.uint64(44)])
-                place = np.searchsorted(self.keys, hashes[near])
-                place[place == len(self.keys)] = 0
-                hit = self.keys[place] == hashes[near]
-                if hit.any():
-                    edges.append((end, length, near[hit], self.order[place[hit]]))
+            for length in range(1, min(end, self.longest) + 1):
+                word, piece = self.known(self.raw_hash(sums, to - length, to))
+                if len(word):
+                    edges.append((end, length, word, piece))
         return edges
 
+    def known(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places of the hashes that are pieces, those pieces)."""
+        near = np.flatnonzero(self.filter[hashes >> np.uint64(44)])
+        place = np.searchsorted(self.keys, hashes[near])
+        place[place == len(self.keys)] = 0
+        hit = self.keys[place] == hashes[near]
+        return near[hit], self.order[place[hit]]
+
+    def occurrences(self, flat: np.ndarray, last: np.ndarray, least: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(length, starts, pieces) of the pieces of ``least`` bytes or more in runs of bytes; ``last`` is the end of each byte's run."""
+        sums, place = prefix_sums(flat), np.arange(len(flat))
+        for length in range(least, self.longest + 1):
+            fits = place[place + length <= last]
+            which, piece = self.known(self.raw_hash(sums, fits, fits + length))
+            yield length, fits[which], piece
+
+    def cuts(self, flat: np.ndarray, begin: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Whether no piece reaches over the place before each byte."""
+        over = np.zeros(len(flat) + 1, np.int64)
+        for length, start, _ in self.occurrences(flat, np.repeat(begin + sizes, sizes), 2):
+            np.add.at(over, start + 1, 1)
+            np.add.at(over, start + length, -1)
+        return np.cumsum(over)[:-1] == 0
+
 
 @lru_cache(maxsize=2)
 def pieces(path: str) -> Pieces:
@@ -137,59 +166,115 @@ def expected_counts(edges, sizes: np.ndarray, weight: np.ndarray, probability: n
     return counts
 
 
-def words_of(column: pa.Array) -> tuple[Text, Words]:
-    """The lower-cased text and its words, long ones in parts."""
+@dataclass
+class Parts:
+    """Words of some rows as parts that are scored one by one; ``bare`` parts go on a word and have no mark in front."""
+
+    text: Text
+    words: Words
+    bare: np.ndarray
+    n_words: np.ndarray
+
+
+def words_of(column: pa.Array, model: Pieces) -> Parts:
+    """The words of the lower-cased text; long ones cut where that changes nothing."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     text = text_of(pc.utf8_lower(column))
     words = find_words(text, LETTERS)
-    sizes = words.end - words.start
-    if (sizes > PART).any():
-        parts = -(-sizes // PART)
-        first = np.concatenate([[0], np.cumsum(parts)])
-        start = np.repeat(words.start, parts) + PART * (np.arange(first[-1]) - np.repeat(first[:-1], parts))
-        words = Words(start, np.minimum(start + PART, np.repeat(words.end, parts)), first[words.first])
-    return text, words
-
-
-def distinct_words(text: Text, words: Words) -> tuple[np.ndarray, np.ndarray]:
-    """(number of the distinct word of each word, first place of each distinct word)."""
-    codes, values = pd.factorize(hash_words(text, words))
+    long = np.flatnonzero(words.end - words.start > LONG)
+    if not len(long):
+        return Parts(text, words, np.zeros(len(words.start), bool), words.per_row)
+    flat, begin, sizes = marked(text, words.start[long], words.end[long])
+    cut = model.cuts(flat, begin, sizes)
+    # The mark stays with the first byte of its word.
+    for k in range(len(_MARK) + 1):
+        cut[begin + k] = False
+    place = np.flatnonzero(cut)
+    of = np.searchsorted(begin, place, side="right") - 1
+    more = words.start[long[of]] + place - begin[of] - len(_MARK)
+    parts = np.ones(len(words.start), np.int64)
+    np.add.at(parts, long[of], 1)
+    first = np.concatenate([[0], np.cumsum(parts)])
+    start = np.concatenate([words.start, more])
+    bare = np.concatenate([np.zeros(len(words.start), bool), np.ones(len(more), bool)])
+    order = np.argsort(start, kind="stable")
+    start, bare = start[order], bare[order]
+    end = np.append(start[1:], 0)
+    end[first[1:] - 1] = words.end
+    return Parts(text, Words(start, end, first[words.first]), bare, words.per_row)
+
+
+def distinct_words(parts: Parts) -> tuple[np.ndarray, np.ndarray]:
+    """(number of the distinct part of each part, first place of each distinct part)."""
+    keys = hash_words(parts.text, parts.words) ^ np.where(parts.bare, np.uint64(0x9E3779B97F4A7C15), np.uint64(0))
+    codes, values = pd.factorize(keys)
     first = np.zeros(len(values), np.int64)
     first[codes[::-1]] = np.arange(len(codes))[::-1]
     return codes, first
 
 
-def marked(text: Text, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(bytes, starts, sizes) of words with the word mark in front."""
-    sizes = end - start + len(_MARK)
+def marked(text: Text, start: np.ndarray, end: np.ndarray, bare: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, starts, sizes) of words with the word mark in front, but for bare ones."""
+    lead = np.full(len(start), len(_MARK)) if bare is None else np.where(bare, 0, len(_MARK))
+    body = end - start
+    sizes = body + lead
     to = np.cumsum(sizes)
     begin = to - sizes
     flat = np.empty(int(to[-1]) if len(to) else 0, np.uint8)
     for k, byte in enumerate(_MARK):
-        flat[begin + k] = byte
-    body = end - start
-    shift = np.repeat(begin + len(_MARK) - (np.cumsum(body) - body), body)
-    source = np.repeat(start - (np.cumsum(body) - body), body) + np.arange(body.sum())
-    flat[shift + np.arange(body.sum())] = text.data[source]
+        flat[begin[lead > 0] + k] = byte
+    at = np.cumsum(body) - body
+    every = np.arange(body.sum())
+    flat[np.repeat(begin + lead - at, body) + every] = text.data[np.repeat(start - at, body) + every]
     return flat, begin, sizes
 
 
-def blocks(text: Text, start: np.ndarray, end: np.ndarray, size: int = _BLOCK) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Words of similar length together: (their numbers, bytes, starts, sizes), sizes descending."""
-    order = np.argsort(start - end, kind="stable")
-    for at in range(0, len(order), size):
-        part = order[at : at + size]
-        yield part, *marked(text, start[part], end[part])
-
-
-def score_words(text: Text, start: np.ndarray, end: np.ndarray, model: Pieces, probability: np.ndarray) -> np.ndarray:
+def blocks(sizes: np.ndarray, columns: int) -> Iterator[np.ndarray]:
+    """Words of similar size together, in blocks of bounded memory; sizes descend."""
+    order = np.argsort(-sizes, kind="stable")
+    at = 0
+    while at < len(order):
+        n = max(1, min(_BLOCK, _SUMS // ((int(sizes[order[at]]) + 1) * columns)))
+        yield order[at : at + n]
+        at += n
+
+
+def score_alone(flat: np.ndarray, model: Pieces, probability: np.ndarray) -> np.ndarray:
+    """Log-probability of one run of bytes: the forward sums of the last few places only, rescaled as they go."""
+    found = [(start + length, np.full(len(start), length), piece) for length, start, piece in model.occurrences(flat, np.full(len(flat), len(flat)), 1)]
+    ends, lengths, pieces_ = (np.concatenate(c) for c in zip(*found))
+    order = np.argsort(ends, kind="stable")
+    lengths, pieces_ = lengths[order], pieces_[order]
+    first = np.searchsorted(ends[order], np.arange(1, len(flat) + 2))
+    width = model.longest + 1
+    ring = np.zeros((width, probability.shape[1]))
+    ring[0] = 1
+    scale = np.zeros(probability.shape[1])
+    for end in range(1, len(flat) + 1):
+        a, b = first[end - 1], first[end]
+        row = (ring[(end - lengths[a:b]) % width] * probability[pieces_[a:b]]).sum(axis=0)
+        ring[end % width] = row
+        if end % STRETCH == 0:
+            ring /= row
+            scale += np.log(row)
+    return np.log(ring[len(flat) % width]) + scale
+
+
+def score_words(text: Text, start: np.ndarray, end: np.ndarray, model: Pieces, probability: np.ndarray, bare: np.ndarray | None = None) -> np.ndarray:
     """Log-probability of each word in each language."""
+    bare = np.zeros(len(start), bool) if bare is None else bare
     scores = np.zeros((len(start), probability.shape[1]))
-    size = max(128, 4 * _BLOCK // probability.shape[1])  # bounded memory for many languages
-    for part, flat, begin, sizes in blocks(text, start, end, size):
-        alpha, unit = forward(model.lattice(flat, begin, sizes), sizes, probability)
-        scores[part] = np.log(alpha[np.arange(len(part)), sizes]) + np.log(unit).sum(axis=1)
+    sizes = end - start + np.where(bare, 0, len(_MARK))
+    for k in np.flatnonzero(sizes > ALONE).tolist():
+        flat, _, _ = marked(text, start[k : k + 1], end[k : k + 1], bare[k : k + 1])
+        scores[k] = score_alone(flat, model, probability)
+    short = np.flatnonzero(sizes <= ALONE)
+    for block in blocks(sizes[short], probability.shape[1]):
+        part = short[block]
+        flat, begin, size = marked(text, start[part], end[part], bare[part])
+        alpha, unit = forward(model.lattice(flat, begin, size), size, probability)
+        scores[part] = np.log(alpha[np.arange(len(part)), size]) + np.log(unit).sum(axis=1)
     return scores
 
 
@@ -198,105 +283,146 @@ def is_held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
-def sample_words(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> tuple[list[str], DataFrame]:
-    """Languages, and (lang, word, n) of a sample of their documents that are not held out.
+def sample_words(docs: DataFrame, vocabulary: str, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
+    """(lang, word, n) of a sample of the documents of each language that are not held out; words have their marks.
 
-    The sample is taken by a hash of the id, at a rate that gives each language
-    about ``sample_docs`` documents; smaller languages are taken whole.
+    The sample is taken by a 64-bit hash of the id, at a rate that gives each language
+    about ``sample_docs`` documents; smaller languages are taken whole. Rates are a table of languages, joined to the documents.
     """
     learnt = docs.where(F.crc32(F.col("doc_id").cast("string")) % 4 != 2).where("lang IS NOT NULL AND text IS NOT NULL")
-    counts = learnt.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()
-    if len(counts) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    rates = {r["lang"]: min(1.0, sample_docs / r["n"]) for r in counts}
-    rate = F.lit(0)
-    for lang, value in rates.items():
-        rate = F.when(F.col("lang") == lang, F.lit(int(value * 1_000_000))).otherwise(rate)
-    chosen = learnt.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < rate).select("lang", "text")
+    learnt = learnt.select("doc_id", "lang", "text")
+    counts = learnt.groupBy("lang").agg(F.count("*").alias("n"))
+    share = F.xxhash64("doc_id").bitwiseAND(F.lit((1 << 63) - 1)) / F.lit(2.0**63)
+    chosen = learnt.join(counts, "lang").where((F.col("n") <= sample_docs) | (share < sample_docs / F.col("n"))).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = pieces(vocabulary)
         for batch in batches:
             for rows in slices(batch, "text"):
-                text, words = words_of(rows.column("text"))
-                codes, first = distinct_words(text, words)
+                parts = words_of(rows.column("text"), model)
+                codes, first = distinct_words(parts)
                 langs = rows.column("lang").dictionary_encode()
-                lang = np.repeat(langs.indices.to_numpy(), words.per_row).astype(np.int64)
+                lang = np.repeat(langs.indices.to_numpy(), parts.words.per_row).astype(np.int64)
                 pair, n = np.unique(codes * len(langs.dictionary) + lang, return_counts=True)
                 which = first[pair // len(langs.dictionary)]
-                raw = text.data.tobytes()
+                flat, begin, sizes = marked(parts.text, parts.words.start[which], parts.words.end[which], parts.bare[which])
+                raw = flat.tobytes()
                 yield pa.RecordBatch.from_arrays(
                     [
                         langs.dictionary.take(pa.array(pair % len(langs.dictionary))).cast(pa.string()),
-                        pa.array([raw[a:b] for a, b in zip(words.start[which].tolist(), words.end[which].tolist())], pa.binary()),
+                        pa.array([raw[a : a + n] for a, n in zip(begin.tolist(), sizes.tolist())], pa.binary()),
                         pa.array(n),
                     ],
                     ["lang", "word", "n"],
                 )
 
     words = chosen.mapInArrow(count, "lang string, word binary, n long")
-    return sorted(rates), words.groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    return words.groupBy("lang", "word").agg(F.sum("n").alias("n"))
+
+
+@dataclass
+class Model:
+    """Languages, and piece probabilities: a row per piece that was seen, and a last one for all others."""
 
+    languages: list[str]
+    row: np.ndarray
+    table: np.ndarray
 
-def learn(docs: DataFrame, vocabulary: str, sample_docs: int = SAMPLE_DOCS, rounds: int = ROUNDS) -> tuple[list[str], np.ndarray]:
-    """(languages, piece probabilities): one row per piece, one column per language.
+    @classmethod
+    def even(cls, languages: list[str], pieces_: int) -> Model:
+        return cls(languages, np.zeros(pieces_, np.int64), np.full((1, len(languages)), 1 / pieces_))
+
+    @classmethod
+    def of_counts(cls, languages: list[str], pieces_: int, piece: np.ndarray, lang: np.ndarray, n: np.ndarray) -> Model:
+        """Shares of counts; a little of every piece is added, so that no word is impossible."""
+        seen, place = np.unique(piece, return_inverse=True)
+        row = np.full(pieces_, len(seen), np.int64)
+        row[seen] = np.arange(len(seen))
+        table = np.full((len(seen) + 1, len(languages)), 0.05)
+        table[place, lang] += n
+        total = table[:-1].sum(axis=0) + 0.05 * (pieces_ - len(seen))
+        return cls(languages, row, table / total)
+
+    def __getitem__(self, piece: np.ndarray) -> np.ndarray:
+        return self.table[self.row[piece]]
+
+    @property
+    def shape(self) -> tuple[int, int]:
+        return len(self.row), len(self.languages)
+
+    def column(self, lang: int) -> np.ndarray:
+        return self.table[self.row, lang]
+
+    def columns(self, begin: int, end: int) -> Model:
+        return Model(self.languages[begin:end], self.row, self.table[:, begin:end])
+
+
+def learn(docs: DataFrame, vocabulary: str, sample_docs: int = SAMPLE_DOCS, rounds: int = ROUNDS) -> Model:
+    """The model of all languages.
 
     Each round computes expected counts in tasks over the sample's words; only sums per language
     and piece come to the driver, which is the size of the model.
     """
-    languages, counted = sample_words(docs, sample_docs)
-    model = pieces(vocabulary)
-    probability = np.full((model.count, len(languages)), 1 / model.count)
-    if not languages:
-        return languages, probability
-    counted = stage(counted)
+    counted = stage(sample_words(docs, vocabulary, sample_docs))
+    languages = sorted(r["lang"] for r in counted.select("lang").distinct().collect())
+    count = pieces(vocabulary).count
+    model = Model.even(languages, count)
     number = {lang: k for k, lang in enumerate(languages)}
-    for _ in range(rounds):
-        shared = counted.sparkSession.sparkContext.broadcast(probability)
+    for _ in range(rounds if languages else 0):
+        shared = counted.sparkSession.sparkContext.broadcast(model)
 
         def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             tool, known = pieces(vocabulary), shared.value
-            sums = np.zeros(known.shape)
             for batch in batches:
                 text = text_of(batch.column("word").cast(pa.large_binary()))
-                lang = np.array([number[x] for x in batch.column("lang").to_pylist()])
+                bare = np.ones(batch.num_rows, bool)
+                lang = np.array([number[x] for x in batch.column("lang").to_pylist()], np.int64)
                 weight = batch.column("n").to_numpy().astype(float)
+                found = []
                 for k in np.unique(lang).tolist():
                     mine = np.flatnonzero(lang == k)
-                    for part, flat, begin, sizes in blocks(text, text.offsets[mine], text.offsets[mine + 1]):
-                        edges = tool.lattice(flat, begin, sizes)
-                        sums[:, k] += expected_counts(edges, sizes, weight[mine[part]], known[:, k])
-            piece, lang = np.nonzero(sums)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(lang.astype(np.int32)), pa.array(piece.astype(np.int32)), pa.array(sums[piece, lang])],
-                ["lang", "piece", "n"],
-            )
-
-        found = counted.mapInArrow(expect, "lang int, piece int, n double")
-        sums = found.groupBy("lang", "piece").agg(F.sum("n").alias("n")).toPandas()
-        counts = np.zeros_like(probability)
-        counts[sums["piece"], sums["lang"]] = sums["n"]
-        # A little of every piece, so that no word is impossible.
-        probability = (counts + 0.05) / (counts + 0.05).sum(axis=0)
+                    sizes, column, sums = np.diff(text.offsets)[mine], known.column(k), np.zeros(tool.count)
+                    for block in blocks(sizes, 1):
+                        part = mine[block]
+                        flat, begin, size = marked(text, text.offsets[part], text.offsets[part + 1], bare[part])
+                        sums += expected_counts(tool.lattice(flat, begin, size), size, weight[part], column)
+                    piece = np.flatnonzero(sums)
+                    found.append((np.full(len(piece), k), piece, sums[piece]))
+                if found:
+                    langs, piece, n = (np.concatenate(c) for c in zip(*found))
+                    yield pa.RecordBatch.from_arrays([pa.array(langs.astype(np.int32)), pa.array(piece.astype(np.int32)), pa.array(n)], ["lang", "piece", "n"])
+
+        sums = counted.mapInArrow(expect, "lang int, piece int, n double").groupBy("lang", "piece").agg(F.sum("n").alias("n")).toPandas()
+        model = Model.of_counts(languages, count, sums["piece"].to_numpy(np.int64), sums["lang"].to_numpy(np.int64), sums["n"].to_numpy(float))
         shared.unpersist()
-    return languages, probability
+    return model
 
 
-def predict(df: DataFrame, languages: list[str], probability: np.ndarray, vocabulary: str, names: tuple[str, str]) -> DataFrame:
+def predict(df: DataFrame, model: Model, vocabulary: str, names: tuple[str, str]) -> DataFrame:
     """All columns of ``df`` (which has ``text``) with the predicted language and its score."""
-    shared = df.sparkSession.sparkContext.broadcast(probability)
+    languages = model.languages
+    shared = df.sparkSession.sparkContext.broadcast(model)
     letter = free_name(df, "has_letter")
     asked = df.withColumn(letter, F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
 
     def classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool, known = pieces(vocabulary), shared.value
+        # With many languages fewer rows and words are scored together.
+        width = min(len(languages), _COLUMNS)
+        step, limit = max(1, _SUMS // len(languages)), max(1 << 16, min(1, 32 / width) * SLICE_BYTES)
         for batch in batches:
-            for rows in slices(batch, "text"):
-                text, words = words_of(rows.column("text"))
-                codes, first = distinct_words(text, words)
-                scores = score_words(text, words.start[first], words.end[first], tool, known)
-                each = np.stack([_sums(scores[codes, k], words.first) for k in range(known.shape[1])], axis=1)
+            for rows in (r.slice(at, step) for r in slices(batch, "text", int(limit)) for at in range(0, r.num_rows, step)):
+                parts = words_of(rows.column("text"), tool)
+                words = parts.words
+                codes, first = distinct_words(parts)
+                each = np.empty((rows.num_rows, len(languages)))
+                for at in range(0, len(languages), width):
+                    some = known.columns(at, at + width)
+                    scores = score_words(parts.text, words.start[first], words.end[first], tool, some, parts.bare[first])
+                    for k in range(scores.shape[1]):
+                        each[:, at + k] = _sums(scores[codes, k], words.first)
                 best = each.argmax(axis=1)
-                evidence = np.minimum(1, EVIDENCE / np.maximum(1, words.per_row))
+                evidence = np.minimum(1, EVIDENCE / np.maximum(1, parts.n_words))
                 odds = np.exp((each - each.max(axis=1, keepdims=True)) * evidence[:, None])
                 sure = 1 / odds.sum(axis=1)
                 told = rows.column(letter).to_numpy(zero_copy_only=False).astype(bool)
@@ -323,15 +449,15 @@ def _sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 def languages_of(docs: DataFrame, vocabulary: str) -> DataFrame:
     """Per document: doc_id, held_out, lang_pred, score."""
-    languages, probability = learn(docs, vocabulary)
+    model = learn(docs, vocabulary)
     rows = docs.select("doc_id", "text")
-    found = predict(rows, languages, probability, vocabulary, ("lang_pred", "score"))
+    found = predict(rows, model, vocabulary, ("lang_pred", "score"))
     return found.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
 def keep_identified(docs: DataFrame, vocabulary: str, least: float = 0.5) -> DataFrame:
     """The rows of ``docs`` whose text has a language with a score of at least ``least``, as they are."""
-    languages, probability = learn(docs, vocabulary)
+    model = learn(docs, vocabulary)
     names = free_name(docs, "lang_pred"), free_name(docs, "lang_score")
-    found = predict(docs, languages, probability, vocabulary, names)
+    found = predict(docs, model, vocabulary, names)
     return found.where((F.col(names[0]) != UNKNOWN) & (F.col(names[1]) >= least)).drop(*names)

@@ -127,7 +127,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPL
     usable = labels.where((F.crc32(F.col("doc_id").cast("string")) % 4 != 2) & F.col("quality").isin(0, 1))
     rate = min(1.0, sample_rows / max(1, usable.count()))
     key = F.xxhash64("doc_id")
-    chosen = usable.where(F.pmod(key, F.lit(1_000_000)) < int(rate * 1_000_000))
+    share = key.bitwiseAND(F.lit((1 << 63) - 1)) / F.lit(2.0**63)
+    chosen = usable.where(share < rate) if rate < 1 else usable
     chosen = chosen.select(F.col("doc_id").alias("_id"), F.col("quality").alias("label"))
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
     return texts.select(

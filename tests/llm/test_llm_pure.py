@@ -222,7 +222,8 @@ def test_forward_sums_all_segmentations():
 def test_rare_pieces_do_not_underflow():
     model = langid.pieces(str(public_tokenizers.path("piece_bpe_32k.model")))
     run = "\U0001d41a" * 11 + "a"
-    text, words = langid.words_of(pa.array([run, "the cat", None, "the dog"]))
+    parts = langid.words_of(pa.array([run, "the cat", None, "the dog"]), model)
+    text, words = parts.text, parts.words
     rare = 0.05 / 1.2e6
     probability = np.full((model.count, 2), rare)
     scores = langid.score_words(text, words.start, words.end, model, probability)
@@ -234,6 +235,58 @@ def test_rare_pieces_do_not_underflow():
     assert np.isfinite(counts).all() and 3 * 45 <= counts.sum() <= 3 * 48
 
 
+def all_segmentations(raw, known, logs):
+    """Log of the sum over all segmentations of the bytes, and whether each place has a piece reaching over it."""
+    best = [0.0] + [-np.inf] * len(raw)
+    over = np.zeros(len(raw) + 1, bool)
+    for end in range(1, len(raw) + 1):
+        for start in range(max(0, end - 60), end):
+            piece = known.get(raw[start:end])
+            if piece is not None:
+                best[end] = np.logaddexp(best[end], best[start] + logs[piece])
+                over[start + 1 : end] = True
+    return best[-1], over
+
+
+def vocabulary(model_file):
+    """Pieces by their bytes, in the order of the file."""
+    import sentencepiece
+
+    tool = sentencepiece.SentencePieceProcessor(model_file=model_file)
+    known = {}
+    for i in range(tool.get_piece_size()):
+        text = tool.id_to_piece(i)
+        raw = bytes([int(text[3:5], 16)]) if tool.is_byte(i) else text.encode()
+        if not (tool.is_control(i) or tool.is_unknown(i)) and "▁".encode() not in raw[1:]:
+            known.setdefault(raw, len(known))
+    return known
+
+
+def test_long_runs_are_summed_whole():
+    file = str(public_tokenizers.path("piece_bpe_32k.model"))
+    model, known = langid.pieces(file), vocabulary(file)
+    rng = np.random.default_rng(3)
+    probability = rng.random((model.count, 2)) / model.count
+    runs = [
+        "responsibilityresponsibilitiesinternationalisation" * 4, "日本語の文章は空白なしに続くので長い" * 6, "ภาษาไทยไม่มีการเว้นวรรคระหว่างคำ" * 5,
+        "\U0001d41a" * 60 + "the", "x" * 700, "thethethe" * 90, "é" * 120 + "日本" * 30, "short", "responsibility",
+    ]
+    parts = langid.words_of(pa.array([*runs, None, "the cat " + runs[1]]), model)
+    scores = langid.score_words(parts.text, parts.words.start, parts.words.end, model, probability, parts.bare)
+    assert parts.n_words.tolist() == [1] * len(runs) + [0, 3] and (~parts.bare).sum() == parts.n_words.sum()
+    for k, run in enumerate(runs):
+        raw = b"\xe2\x96\x81" + run.encode()
+        a, b = parts.words.first[k], parts.words.first[k + 1]
+        for lang in (0, 1):
+            want, over = all_segmentations(raw, known, np.log(probability[:, lang]))
+            assert np.isclose(scores[a:b, lang].sum(), want, rtol=1e-9), run
+        if len(raw) - 3 > langid.LONG:
+            cuts = parts.words.start[a + 1 : b] - parts.words.start[a] + 3
+            assert not over[cuts].any() and len(cuts) == (~over[4:-1]).sum()
+    codes, first = langid.distinct_words(parts)
+    assert np.allclose(scores[first[codes]], scores)
+
+
 def test_measurements_of_rules():
     texts = ["a b " * 10, None, "", "x\n\nx\n x\nx", "é# $ |\n", " ".join("abcdefghi") + " " + " ".join("abcdefgh")]
     got = rules.measure_rows(pa.array(texts, pa.string()))

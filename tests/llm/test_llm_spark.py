@@ -300,6 +300,17 @@ def test_language(spark, docs, nothing):
     assert langid.languages_of(docs.withColumn("lang", F.lit(None).cast("string")), PIECES).where("lang_pred <> 'und'").count() == 0
 
 
+def test_thousands_of_languages(spark):
+    rows = [(i, f"{EN if i % 2 else FR} {chr(97 + i % 26) * 3}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}", f"l{i:04}") for i in range(5000)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    found = langid.languages_of(table, PIECES)
+    got = {r.doc_id: r for r in found.collect()}
+    learnt = {f"l{i:04}" for i in range(5000) if zlib.crc32(str(i).encode()) % 4 != 2}
+    assert {r.lang_pred for r in got.values()} <= learnt and len(got) == 5000
+    right = [r.lang_pred == f"l{i:04}" for i, r in got.items() if not r.held_out]
+    assert sum(right) > 0.9 * len(right)
+
+
 def test_language_beside_unseen_pieces(spark):
     model = langid.pieces(PIECES)
     probability = np.full((model.count, 2), 0.05 / 1.2e6)
@@ -307,7 +318,8 @@ def test_language_beside_unseen_pieces(spark):
     flat, begin, sizes = (np.frombuffer("▁the▁le".encode(), np.uint8), np.array([0, 6]), np.array([6, 5]))
     edges = {(int(w), end, length): int(p) for end, length, ws, ps in model.lattice(flat, begin, sizes) for w, p in zip(ws, ps)}
     probability[edges[0, 6, 6], 0] = probability[edges[1, 5, 5], 1] = 0.1
-    found = langid.predict(frame, ["en", "fr"], probability, PIECES, ("lang_pred", "score")).collect()
+    even = langid.Model(["en", "fr"], np.arange(model.count), probability)
+    found = langid.predict(frame, even, PIECES, ("lang_pred", "score")).collect()
     rows = {r.doc_id: r for r in found}
     assert (rows[1].lang_pred, rows[2].lang_pred) == ("en", "fr") and all(0 < r.score <= 1 for r in found)
 
