@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sheafspark.llm.buffers import ALNUM, find_words, hash_words, slices, text_of
-from sheafspark.llm.storage import stage
+from sheafspark.llm.storage import free_name, stage
 
 WINDOW = 13
 #: Words of test items per block.
@@ -480,6 +480,7 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     Contaminated rows are few and are found again by id and a hash of the text; both may be null.
     """
     found = contamination(docs, benchmark).where(is_contaminated())
-    bad = stage(found.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct())
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_key"))
+    bad_id, key = free_name(docs, "bad_id"), free_name(docs, "text_key")
+    bad = stage(found.select(F.col("doc_id").alias(bad_id), F.col("text_key").alias(key)).distinct())
+    same = F.col("doc_id").eqNullSafe(F.col(bad_id)) & (F.xxhash64("text") == F.col(key))
     return docs.join(bad, same, "left_anti")

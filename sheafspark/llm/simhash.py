@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sheafspark.llm.buffers import SPACED, Text, find_words, slices, text_of
-from sheafspark.llm.storage import schema_with, stage
+from sheafspark.llm.storage import free_name, schema_with, stage
 
 BITS, RADIUS, SHINGLE, SEED = 64, 2, 3, 42
 #: Fingerprints of one bucket that are compared with each other directly.
@@ -191,24 +191,38 @@ def components(links: DataFrame) -> DataFrame:
     return stars.unionByName(links.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
+#: Components of more classes than this are dealt into so many tasks by their fingerprints.
+LARGE, SALTS = 1024, 64
+
+
+def _with_root_value(rooted: DataFrame, value, name: str, as_name: str) -> DataFrame:
+    """``rooted`` with an aggregate over each root.
+
+    The aggregate combines before its shuffle. To come back to the rows it is joined by root; the few large components are
+    joined by root and a salt of the fingerprint instead, so a giant one is never one task.
+    """
+    totals = stage(rooted.groupBy("root").agg(value(F.col(name)).alias("of_root"), F.count("*").alias("n_classes")))
+    large = totals.where(F.col("n_classes") > LARGE).select("root", F.col("of_root").alias("of_large"), F.lit(True).alias("is_large"))
+    large = large.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    small = totals.where(F.col("n_classes") <= LARGE).select("root", F.col("of_root").alias("of_small"), F.lit(-1).cast("long").alias("salt"))
+    salted = rooted.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS))).join(large, ["root", "salt"], "left")
+    salted = salted.withColumn("salt", F.when(F.col("is_large"), F.col("salt")).otherwise(F.lit(-1).cast("long")))
+    both = salted.join(small, ["root", "salt"], "left")
+    found = F.when(F.col("is_large"), F.col("of_large")).otherwise(F.col("of_small"))
+    return both.withColumn(as_name, found).drop("salt", "is_large", "of_large", "of_small")
+
+
 def fingerprint_groups(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(fp, root, component_id, n_named) of rows (doc_id, fp).
+    """(fp, root, component_id) of rows (doc_id, fp).
 
     root is the smallest fingerprint (as a long) of those connected with ``fp``, component_id the
-    smallest document id of their rows, n_named the number of rows with that id among them.
+    smallest document id of their rows.
     """
-    ids = prints.groupBy("fp", "doc_id").agg(F.count("*").alias("n"))
-    classes = stage(ids.groupBy("fp").agg(F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "n"))).alias("first")))
+    classes = stage(prints.groupBy("fp").agg(F.min("doc_id").alias("id")))
     roots = components(near_links(classes.select("fp"), radius))
-    rooted = stage(
-        classes.join(roots, classes["fp"] == roots["node"], "left").select(
-            "fp", F.coalesce("root", "fp").alias("root"), F.col("first.doc_id").alias("id"), F.col("first.n").alias("n")
-        )
-    )
-    names = rooted.groupBy("root").agg(F.min("id").alias("component_id"))
-    named = rooted.join(names, "root")
-    counts = named.where("id = component_id").groupBy("root").agg(F.sum("n").alias("n_named"))
-    return named.join(counts, "root", "left").select("fp", "root", "component_id", "n_named")
+    rooted = classes.join(roots, classes["fp"] == roots["node"], "left")
+    rooted = stage(rooted.select("fp", F.coalesce("root", "fp").alias("root"), "id"))
+    return _with_root_value(rooted, F.min, "id", "component_id").select("fp", "root", "component_id")
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -229,18 +243,26 @@ def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     smallest hash; of repeated rows one. All columns are kept as they are. What is decided about a row is found again
     by its id and a hash of its text, so no copy of the texts is written.
     """
+    names = {n: free_name(docs, n) for n in ("kept_id", "kept_key", "copies", "whole_row")}
     keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("key"))
     prints = stage(with_fingerprint(keyed, "fp").select("doc_id", "key", "fp"))
-    groups = fingerprint_groups(prints, radius).select("fp", "root")
-    rows = prints.groupBy("fp", "doc_id", "key").agg(F.count("*").alias("n")).join(groups, "fp")
-    rank = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "key")
-    first = rows.groupBy("root").agg(F.min(rank).alias("first"))
+    groups = fingerprint_groups(prints.select("doc_id", "fp"), radius).select("fp", "root")
+    rows = stage(prints.groupBy("fp", "doc_id", "key").agg(F.count("*").alias("n")).join(groups, "fp"))
+    ranked = rows.withColumn("rank", F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "key"))
+    firsts = _with_root_value(ranked, F.min, "rank", "first")
     kept = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("key") == F.col("first.key"))
-    marks = stage(rows.join(first, "root").select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "n", kept.alias("kept")))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_key"))
-    rest = docs.join(marks.where("NOT kept"), same, "left_anti")
-    several = marks.where("kept AND n > 1")
+    marks = stage(
+        firsts.select(F.col("doc_id").alias(names["kept_id"]), F.col("key").alias(names["kept_key"]), F.col("n").alias(names["copies"]), kept.alias("kept"))
+    )
+    same = F.col("doc_id").eqNullSafe(F.col(names["kept_id"])) & (F.xxhash64("text") == F.col(names["kept_key"]))
+    rest = docs.join(marks.where("NOT kept").drop("kept", names["copies"]), same, "left_anti")
+    several = marks.where("kept").where(F.col(names["copies"]) > 1).drop("kept", names["copies"])
     if several.isEmpty():
         return rest
-    once = rest.join(several, same, "left_semi").dropDuplicates(["doc_id", "text"])
+    # Of rows with equal id and text, but perhaps other columns that differ, the least by a hash of all columns stays; equal ones are one.
+    repeated = rest.join(several, same, "left_semi").withColumn(names["whole_row"], F.xxhash64(*docs.columns))
+    least = repeated.groupBy("doc_id", F.xxhash64("text").alias(names["kept_key"])).agg(F.min(names["whole_row"]).alias(names["whole_row"]))
+    least = least.withColumnRenamed("doc_id", names["kept_id"]).withColumnRenamed(names["whole_row"], names["copies"])
+    is_least = same & (F.col(names["whole_row"]) == F.col(names["copies"]))
+    once = repeated.join(least, is_least, "left_semi").drop(names["whole_row"]).dropDuplicates(["doc_id", "text"])
     return rest.join(several, same, "left_anti").unionByName(once)

@@ -255,6 +255,23 @@ def test_near_duplicates(docs, nothing):
     assert simhash.near_duplicates(nothing).count() == 0 and simhash.keep_one(nothing).count() == 0
 
 
+def test_clashing_names_and_repeated_rows(spark, docs, items, monkeypatch):
+    """Columns with the names that operators use themselves, and repeated rows that differ elsewhere."""
+    odd = "_id _key kept kept_id kept_key copies whole_row bad_id text_key order root salt fp of_root is_large rank first n".split()
+    named = docs.select("doc_id", "text", "lang", "source", "size", *[F.lit(k).alias(name) for k, name in enumerate(odd)])
+    for found in (simhash.keep_one(named), fmindex.remove_contaminated(named, items)):
+        assert found.columns == named.columns and 0 < found.count() < len(ODD)
+    monkeypatch.setattr(simhash, "LARGE", 0)
+    twice = [(1, EN, "en", "b"), (1, EN, "en", "a"), (1, EN, "en", "a"), (2, EN, "en", "c"), (None, EN, "fr", "x"), (None, FR, "fr", "x"), (None, FR, "fr", "y")]
+    first = None
+    for parts in (1, 3, 5):
+        kept = simhash.keep_one(spark.createDataFrame(rows_of(twice), SCHEMA).repartition(parts))
+        got = sorted((r.doc_id or 0, r.text, r.source) for r in kept.collect())
+        assert [r[:2] for r in got] == [(0, FR), (1, EN)]
+        first = first or got
+        assert got == first
+
+
 def test_large_clusters_of_fingerprints(spark):
     rng = np.random.default_rng(5)
     base = rng.integers(0, 1 << 63)
