@@ -6,6 +6,17 @@ calling it content: the capacities from the source and to the sink. Neighbouring
 blocks of the same parent are joined by smoothness edges, the stronger the nearer they are in the tree. The minimum
 cut of this graph is the cheapest labelling; blocks on the source's side are content.
 
+Elements may be marked by their tag, class, id or role as something else than the article. The cost of most such marks falls
+with the share of the page's prose that they hold, since a layout's wrapper may carry any class. Reader comments are another matter: more
+of them are no better evidence of an article, so an element marked as comments keeps its cost at any length, unless it holds the
+page's main heading. Words of a class that tell a state (``comments-open``, ``has-sidebar``) mark nothing.
+
+The weights are reasoned, not fitted: a sentence of 25 words in a paragraph must outweigh the bias of boilerplate (-1.5), a
+mark (20) anything that a block and its edges can bring together (at most about 15), and a mark by name alone (4) about one sentence.
+
+Everything is linear in the page but the flow: the tree is kept as parent pointers, marks are summed along
+them, and the flow runs over level graphs.
+
 Before the flow, blocks whose own costs outweigh all their edges are fixed and
 passed on to their neighbours as costs, which leaves the cut as it is and mostly
 leaves no graph.
@@ -18,7 +29,7 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections import defaultdict, deque
+from collections import Counter, defaultdict, deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -69,32 +80,38 @@ _PROSE = {"p", "pre", "blockquote"}
 # Costs of being outside: at most, in an article, and in a section of an article that only its id hints at.
 _FULL, _IN_ARTICLE, _NAMED = 20.0, 12.0, 4.0
 _CLOSED_BY_SAME = {"p", "li", "dt", "dd", "tr", "td", "th", "option"}
+# Words that mark reader comments, and words that make a name tell a state instead of a part of the page.
+_COMMENTS = {"comment", "comments", "commentlist", "disqus", "replies", "reply", "respond"}
+_STATES = {
+    "allow", "allowed", "closed", "count", "disabled", "disallowed", "enable", "enabled", "has", "hide", "hidden", "is", "no", "not", "off",
+    "on", "open", "show", "with", "without",
+}
 # Words of class, id and role attributes of elements that are not the article.
 _HINTS = {
     "ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "banner", "breadcrumb", "breadcrumbs",
-    "comment", "comments", "complementary", "consent", "contentinfo", "cookie", "cookies", "disqus", "footer", "login", "masthead", "menu",
+    "complementary", "consent", "contentinfo", "cookie", "cookies", "footer", "login", "masthead", "menu",
     "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "notification", "pagination", "pager", "popup", "promo",
-    "promoted", "promotion", "related", "replies", "reply", "search", "share", "sharing", "sidebar", "signup", "skip", "social", "sponsor",
+    "promoted", "promotion", "related", "search", "share", "sharing", "sidebar", "signup", "skip", "social", "sponsor",
     "sponsored", "subscribe", "toolbar", "widget", "widgets",
 }
 
 
 @dataclass
 class Block:
-    """Text of one block, the numbers of the elements around it, and what the classifier looks at."""
+    """Text of one block, the element it lies in, its innermost mark and article, and what the classifier looks at."""
 
     text: str
-    path: tuple[int, ...]
+    node: int
     tag: str
     words: int
     link_share: float
-    marks: tuple[int, ...]
-    articles: tuple[int, ...]
+    mark: int | None = None
+    article: int | None = None
     outside: float = 0.0
 
     @property
     def inside(self) -> bool:
-        return bool(self.articles)
+        return self.article is not None
 
     @property
     def prose(self) -> float:
@@ -103,60 +120,106 @@ class Block:
 
 @dataclass
 class Mark:
-    """An element that may not be of the article: its most cost, whether that is fixed, marks and articles around it."""
+    """An element that may not be of the article: its most cost, whether that is fixed, whether comments, mark and article around it."""
 
     cost: float
     fixed: bool
-    around: tuple[int, ...]
-    articles: tuple[int, ...]
+    comments: bool
+    around: int | None
+    article: int | None
 
 
-def _outside_cost(tag: str, attrs: str, inside: bool) -> float:
-    """What an element costs at most that may begin something that is not the article; 0 if it does not."""
+@dataclass
+class Page:
+    """Blocks, marks and articles by number, and the tree of block elements as parents and depths."""
+
+    blocks: list[Block]
+    marks: dict[int, Mark]
+    articles: dict[int, int | None]
+    parent: dict[int, int | None]
+    depth: dict[int, int]
+
+
+def _outside_cost(tag: str, attrs: str, inside: bool) -> tuple[float, bool]:
+    """(what an element costs at most that may begin something that is not the article, whether it is comments); 0 if it does not."""
     if tag in _OUTSIDE:
-        return _IN_ARTICLE if inside and tag in _WRAPPERS else _FULL
+        return (_IN_ARTICLE if inside and tag in _WRAPPERS else _FULL), False
     if tag == "header" and not inside:
-        return _FULL
+        return _FULL, False
     if tag in ("html", "body", "main") or tag in _HEADINGS or not attrs:
-        return 0.0
+        return 0.0, False
     cost = 0.0
     for found in _NAMES.finditer(attrs):
-        value = (found[1] or found[2] or found[3] or "").lower()
-        if not _HINTS.isdisjoint(_SPLIT.split(value)):
-            named = tag == "section" and found[0][:2].lower() == "id"
-            cost = max(cost, _FULL if not inside else _NAMED if named else _IN_ARTICLE)
-    return cost
-
-
-def weigh_marks(blocks: list[Block], marks: dict[int, Mark]) -> None:
+        for name in (found[1] or found[2] or found[3] or "").lower().split():
+            words = set(_SPLIT.split(name))
+            if words & _STATES:
+                continue
+            if words & _COMMENTS:
+                return _FULL, True
+            if words & _HINTS:
+                named = tag == "section" and found[0][:2].lower() == "id"
+                cost = max(cost, _FULL if not inside else _NAMED if named else _IN_ARTICLE)
+    return cost, False
+
+
+def _sum_up(values: dict[int, float], around: dict[int, int | None]) -> None:
+    """Adds what each element holds to the one around it; inner elements have larger numbers."""
+    for k in sorted(values, reverse=True):
+        outer = around[k]
+        if outer is not None:
+            values[outer] += values[k]
+
+
+def weigh_marks(page: Page) -> None:
     """Sets what each block's marked elements cost it.
 
-    The cost of a form or of an element with a hint falls with its share of the prose, of the article around it or else of the page; it
-    stays whole if articles elsewhere hold prose. An article that opens below such an element
-    and holds the page's prose is not touched by it.
+    The cost of a form or of an element with a hint falls with its share of the prose, of the article around it or else of the page
+    without its comments; it stays whole if articles elsewhere hold prose. An article that opens below such an element
+    and holds the page's prose is not touched by it. Comments cost all of it, however long they are, unless the
+    page's main heading is among them: then the element is no more than one with a hint.
     """
-    of_mark, of_article, core = defaultdict(float), defaultdict(float), defaultdict(float)
-    for b in blocks:
-        for k in b.marks:
-            of_mark[k] += b.prose
-        for k in b.articles:
-            of_article[k] += b.prose
-        if b.articles:
-            core[b.marks] += b.prose
-    page = sum(b.prose for b in blocks)
-    cost, open_to = {}, set()
-    for k, m in marks.items():
-        held = of_mark[k]
-        whole = of_article[m.articles[-1]] if m.articles else page
-        elsewhere = 0.0 if m.articles else sum(core.get(m.around[:j], 0.0) for j in range(len(m.around) + 1))
-        if m.fixed or not whole or 10 * elsewhere > held:
-            cost[k] = m.cost
+    marks, around = page.marks, {k: m.around for k, m in page.marks.items()}
+    headed = dict.fromkeys(marks, 0.0)
+    for b in page.blocks:
+        if b.mark is not None and b.tag == "h1":
+            headed[b.mark] += 1
+    _sum_up(headed, around)
+    # Prose of comments counts for nothing but themselves.
+    in_comments: dict[int | None, bool] = {None: False}
+    for k in sorted(marks):
+        in_comments[k] = in_comments[around[k]] or (marks[k].comments and not headed[k])
+    held = dict.fromkeys(marks, 0.0)
+    of_article = dict.fromkeys(page.articles, 0.0)
+    core: dict[int | None, float] = defaultdict(float)
+    whole_page = 0.0
+    for b in page.blocks:
+        if in_comments[b.mark]:
             continue
-        cost[k] = m.cost * (1 - held / whole)
-        if not m.articles and 2 * held >= whole:
-            open_to.add(k)
-    for b in blocks:
-        b.outside = max((cost[k] for k in b.marks if not (k in open_to and b.articles and b.articles[-1] > k)), default=0.0)
+        whole_page += b.prose
+        if b.mark is not None:
+            held[b.mark] += b.prose
+        if b.article is not None:
+            of_article[b.article] += b.prose
+            core[b.mark] += b.prose
+    _sum_up(held, around)
+    _sum_up(of_article, page.articles)
+    # Down from the outermost marks: prose of articles around, and the largest costs, with and without those that inner articles escape.
+    elsewhere: dict[int | None, float] = {None: core[None]}
+    most: dict[int | None, float] = {None: 0.0}
+    most_in_article: dict[int | None, float] = {None: 0.0}
+    for k in sorted(marks):
+        m = marks[k]
+        whole = whole_page if m.article is None else of_article[m.article]
+        others = elsewhere[m.around] if m.article is None else 0.0
+        elsewhere[k] = elsewhere[m.around] + core[k]
+        cost, escaped = m.cost, False
+        if not (m.fixed or in_comments[k] or not whole or 10 * others > held[k]):
+            cost = m.cost * (1 - held[k] / whole)
+            escaped = m.article is None and 2 * held[k] >= whole
+        most[k] = max(most[m.around], cost)
+        most_in_article[k] = max(most_in_article[m.around], 0.0 if escaped else cost)
+    for b in page.blocks:
+        b.outside = most[b.mark] if b.article is None else most_in_article[b.mark]
 
 
 def _raw_end(page: str, tag: str, at: int) -> int:
@@ -211,15 +274,20 @@ def hidden_ends(page: str, tag: str, at: int, around: set[str]) -> dict[int, int
     return ends
 
 
-def blocks_of(page: str) -> list[Block]:
-    """The text blocks of a page in page order."""
+def blocks_of(source: str) -> Page:
+    """The text blocks of a page in page order, their marks weighed, and the tree they lie in."""
     found: list[Block] = []
     marks: dict[int, Mark] = {}
+    articles: dict[int, int | None] = {}
     hidden: dict[int, int | None] = {}
-    # Open elements: (tag, number, marks, articles); a block ends where a block element begins or ends.
-    stack: list[tuple[str, int, tuple[int, ...], tuple[int, ...]]] = [("", 0, (), ())]
+    # Open elements: (tag, number, innermost mark, innermost article); a block ends where a block element begins or ends.
+    stack: list[tuple[str, int, int | None, int | None]] = [("", 0, None, None)]
+    # Places in the stack of those that are not inline, and how many of each tag are open.
+    solid, open_tags = [0], Counter()
+    parent: dict[int, int | None] = {0: None}
+    depth: dict[int, int] = {0: 1}
     parts: list[str] = []
-    linked = number = links = 0
+    linked = number = 0
 
     def flush() -> None:
         nonlocal linked
@@ -227,26 +295,27 @@ def blocks_of(page: str) -> list[Block]:
             raw = "".join(parts)
             text = _SPACE.sub(" ", raw).strip()
             if text:
-                element = next((e for e in reversed(stack) if e[0] not in _INLINE), stack[0])
-                path = tuple(e[1] for e in stack if e[0] not in _INLINE)
+                tag, node, _, _ = stack[solid[-1]]
                 share = min(1.0, linked / max(1, len(raw)))
-                found.append(Block(text, path, element[0], text.count(" ") + 1, share, stack[-1][2], stack[-1][3]))
+                found.append(Block(text, node, tag, text.count(" ") + 1, share, stack[-1][2], stack[-1][3]))
             parts.clear()
         linked = 0
 
     def leave(at: int) -> None:
-        nonlocal links
-        links -= sum(e[0] == "a" for e in stack[at:])
+        for element in stack[at:]:
+            open_tags[element[0]] -= 1
         del stack[at:]
+        while solid[-1] >= at:
+            solid.pop()
 
-    at, size = 0, len(page)
+    at, size = 0, len(source)
     while at < size:
-        token = _TOKEN.match(page, at)
+        token = _TOKEN.match(source, at)
         at = token.end()
         if (text := token["text"]) is not None:
             decoded = entities.unescape(text) if "&" in text else text
             parts.append(decoded)
-            if links:
+            if open_tags["a"]:
                 linked += len(decoded)
             continue
         tag = token["tag"] or token["tag2"]
@@ -256,18 +325,17 @@ def blocks_of(page: str) -> list[Block]:
         if token["close"] or token["close2"]:
             if tag not in _INLINE:
                 flush()
-            depth = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == tag), 0)
-            if depth:
-                leave(depth)
+            if open_tags[tag]:
+                leave(next(k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == tag))
             continue
         if tag in _RAW:
-            at = _raw_end(page, tag, at)
+            at = _raw_end(source, tag, at)
             continue
         attrs = token["attrs"] or token["attrs2"] or ""
         if tag in _HIDDEN:
             if not _closes_itself(attrs):
                 if at not in hidden:
-                    hidden.update(hidden_ends(page, tag, at, {e[0] for e in stack}))
+                    hidden.update(hidden_ends(source, tag, at, {"", *(name for name, n in open_tags.items() if n)}))
                 at = hidden[at] or at
             continue
         if tag in _MATH and _closes_itself(attrs):
@@ -282,27 +350,34 @@ def blocks_of(page: str) -> list[Block]:
             continue
         if tag not in _INLINE:
             # An open paragraph ends at any block; list items and cells end at the next of their kind.
-            for k in range(len(stack) - 1, 0, -1):
-                name = stack[k][0]
+            while len(solid) > 1:
+                name = stack[solid[-1]][0]
                 if name in _OPTIONS and tag not in _OPTIONS:
-                    leave(k)
+                    leave(solid[-1])
                     continue
                 if name == "p" or (name == tag and tag in _CLOSED_BY_SAME):
-                    leave(k)
-                    break
-                if name not in _INLINE:
-                    break
-        _, _, marked, articles = stack[-1]
+                    leave(solid[-1])
+                break
+        _, _, mark, article = stack[-1]
         number += 1
-        if cost := _outside_cost(tag, attrs, bool(articles)):
+        cost, comments = _outside_cost(tag, attrs, article is not None)
+        if cost:
             fixed = tag not in _WRAPPERS and (tag in _OUTSIDE or tag == "header")
-            marks[number] = Mark(cost, fixed, marked, articles)
-            marked = (*marked, number)
-        stack.append((tag, number, marked, (*articles, number) if tag in _CONTENT else articles))
-        links += tag == "a"
+            marks[number] = Mark(cost, fixed, comments, mark, article)
+            mark = number
+        if tag in _CONTENT:
+            articles[number] = article
+            article = number
+        if tag not in _INLINE:
+            outer = stack[solid[-1]][1]
+            parent[number], depth[number] = outer, depth[outer] + 1
+            solid.append(len(stack))
+        stack.append((tag, number, mark, article))
+        open_tags[tag] += 1
     flush()
-    weigh_marks(found, marks)
-    return found
+    page = Page(found, marks, articles, parent, depth)
+    weigh_marks(page)
+    return page
 
 
 def preference(block: Block) -> float:
@@ -315,24 +390,25 @@ def preference(block: Block) -> float:
     return score - 4.0 * block.link_share - block.outside
 
 
-def smoothness(blocks: list[Block]) -> list[tuple[int, int, float]]:
-    """Edges between neighbours, by how much of their paths they share, and between blocks of one parent."""
-    edges = []
-    last: dict[tuple[int, ...], int] = {}
-    for k, block in enumerate(blocks):
+def smoothness(page: Page) -> list[tuple[int, int, float]]:
+    """Edges between neighbours, the stronger the nearer they are in the tree, and between blocks of one parent."""
+    edges, parent, depth = [], page.parent, page.depth
+    last: dict[int | None, int] = {}
+    for k, block in enumerate(page.blocks):
         if k:
-            before = blocks[k - 1].path
-            shared = 0
-            for a, b in zip(before, block.path):
-                if a != b:
-                    break
-                shared += 1
-            apart = max(len(before), len(block.path)) - shared
-            edges.append((k - 1, k, 2.0 / (1 + apart)))
-        parent = block.path[:-1]
-        if parent in last and last[parent] != k - 1:
-            edges.append((last[parent], k, 0.5))
-        last[parent] = k
+            # Up from both to what they share; over a page these steps add up to the size of its tree.
+            a, b = page.blocks[k - 1].node, block.node
+            deeper = max(depth[a], depth[b])
+            while a != b:
+                if depth[a] >= depth[b]:
+                    a = parent[a]
+                else:
+                    b = parent[b]
+            edges.append((k - 1, k, 2.0 / (1 + deeper - depth[a])))
+        outer = parent[block.node]
+        if outer in last and last[outer] != k - 1:
+            edges.append((last[outer], k, 0.5))
+        last[outer] = k
     return edges
 
 
@@ -366,40 +442,75 @@ def min_cut(preferences: list[float], edges: list[tuple[int, int, float]]) -> li
 
 
 def _reached_by_flow(nodes: list[int], lean: list[float], near: list[dict[int, float]]) -> set[int]:
-    """Nodes on the source's side after a maximum flow by shortest augmenting paths."""
-    source, sink = -1, -2
-    room: dict[int, dict[int, float]] = {k: dict(near[k]) for k in nodes}
-    room[source], room[sink] = {}, {}
+    """Nodes on the source's side after a maximum flow, by blocking flows over level graphs, without recursion."""
+    place = {k: i for i, k in enumerate(nodes)}
+    source, sink = len(nodes), len(nodes) + 1
+    heads: list[list[int]] = [[] for _ in range(len(nodes) + 2)]
+    to: list[int] = []
+    room: list[float] = []
+
+    def join(a: int, b: int, there: float, back: float) -> None:
+        heads[a].append(len(to))
+        heads[b].append(len(to) + 1)
+        to.extend((b, a))
+        room.extend((there, back))
+
     for k in nodes:
-        room[source][k], room[k][source] = max(lean[k], 0.0), 0.0
-        room[k][sink], room[sink][k] = max(-lean[k], 0.0), 0.0
+        if lean[k] > 0:
+            join(source, place[k], lean[k], 0.0)
+        elif lean[k] < 0:
+            join(place[k], sink, -lean[k], 0.0)
+        for other, w in near[k].items():
+            if other > k:
+                join(place[k], place[other], w, w)
     while True:
-        came = {source: source}
+        level = [-1] * len(heads)
+        level[source] = 0
         queue = deque([source])
-        while queue and sink not in came:
+        while queue:
             a = queue.popleft()
-            for b, left in room[a].items():
-                if left > 1e-12 and b not in came:
-                    came[b] = a
-                    queue.append(b)
-        if sink not in came:
-            return set(came) - {source}
-        path, b = [], sink
-        while b != source:
-            path.append((came[b], b))
-            b = came[b]
-        flow = min(room[a][b] for a, b in path)
-        for a, b in path:
-            room[a][b] -= flow
-            room[b][a] += flow
+            for e in heads[a]:
+                if room[e] > 1e-12 and level[to[e]] < 0:
+                    level[to[e]] = level[a] + 1
+                    queue.append(to[e])
+        if level[sink] < 0:
+            return {k for k in nodes if level[place[k]] >= 0}
+        tried = [0] * len(heads)
+        path: list[int] = []
+        a = source
+        while True:
+            if a == sink:
+                flow = min(room[e] for e in path)
+                for e in path:
+                    room[e] -= flow
+                    room[e ^ 1] += flow
+                # Go on from before the first edge that is full now.
+                cut = next(i for i, e in enumerate(path) if room[e] <= 1e-12)
+                a = to[path[cut] ^ 1]
+                del path[cut:]
+                continue
+            while tried[a] < len(heads[a]):
+                e = heads[a][tried[a]]
+                if room[e] > 1e-12 and level[to[e]] == level[a] + 1:
+                    break
+                tried[a] += 1
+            if tried[a] < len(heads[a]):
+                path.append(e)
+                a = to[e]
+            elif a == source:
+                break
+            else:
+                e = path.pop()
+                a = to[e ^ 1]
+                tried[a] += 1
 
 
 def main_text(page: str) -> str:
-    blocks = blocks_of(page)
-    if not blocks:
+    tree = blocks_of(page)
+    if not tree.blocks:
         return ""
-    labels = min_cut([preference(b) for b in blocks], smoothness(blocks))
-    return "\n\n".join(b.text for b, keep in zip(blocks, labels) if keep)
+    labels = min_cut([preference(b) for b in tree.blocks], smoothness(tree))
+    return "\n\n".join(b.text for b, keep in zip(tree.blocks, labels) if keep)
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -293,3 +293,54 @@ def test_measurements_of_rules():
     assert got["n_words"].tolist() == [20, 0, 0, 4, 3, 17] and got["word_chars"].tolist() == [20, 0, 0, 4, 4, 17]
     assert got["n_repeat_words"].tolist() == [20, 0, 0, 0, 0, 16]
     assert got["n_dup_lines"].tolist() == [0, 0, 0, 2, 0, 0] and got["n_symbols"].tolist() == [0, 0, 0, 0, 3, 0]
+
+
+SENTENCE = "This is a sentence of the article with some ten or twelve words in it."
+OPINION = "I think that this reader comment is really very long and says something else."
+
+
+def _article(n=10):
+    return "".join(f"<p>{SENTENCE} {i}</p>" for i in range(n))
+
+
+def _talk(n, name="comment"):
+    return "".join(f'<div class="{name}"><p>{OPINION} {i}</p></div>' for i in range(n))
+
+
+@pytest.mark.parametrize("n", [10, 20, 50, 200])
+def test_comments_go_and_the_article_stays(n):
+    article = "\n\n".join(f"{SENTENCE} {i}" for i in range(10))
+    listed = "".join(f'<li><article class="comment-body"><p>{OPINION}</p></article></li>' for _ in range(n))
+    pages = [
+        f'<div class="post comments-open">{_article()}</div><div id="comments">{_talk(n)}</div>',
+        f'<div class="post-comments-enabled">{_article()}</div><div id="comments">{_talk(n, "x")}</div>',
+        f'<article>{_article()}<section class="comments">{_talk(n, "x")}</section></article>',
+        f'<article>{_article()}</article><div id="comments">{_talk(n, "x")}</div>',
+        f'<article>{_article()}</article><ol class="comment-list">{listed}</ol>',
+        f'<div class="layout no-comments has-sidebar">{_article()}<div class="reply">{_talk(n, "x")}</div></div>',
+    ]
+    for page in pages:
+        assert mincut.main_text(page) == article, page[:60]
+    wrapped = f'<div class="comments"><h1>Title of it</h1>{_article()}</div>'
+    assert mincut.main_text(wrapped).endswith(article)
+
+
+def test_very_long_and_very_deep_pages_take_time_in_proportion():
+    import time
+
+    def seconds(page):
+        start = time.perf_counter()
+        mincut.main_text(page)
+        return time.perf_counter() - start
+
+    def pages(n):
+        yield "".join(f"<p>{SENTENCE if i % 2 else 'w'}</p>" for i in range(n))
+        yield "".join(f"<p>short {i}</p><div><a href=x>link {i}</a></div>" for i in range(n // 2))
+        yield "".join(f"<div>w{i} " for i in range(n))
+        yield "".join(f'<div class="ad">w{i} some words here ' for i in range(n))
+        yield "<b>" * n + "<p>x" * n
+        yield "<div>" * n + "</span></p></table>" * n
+
+    for small, large in zip(pages(5_000), pages(20_000)):
+        seconds(small)
+        assert seconds(large) < 4 * 4 * max(seconds(small), 0.05)
