@@ -8,9 +8,10 @@ multivariate hypergeometric distribution, so every shard is a fair sample of the
 mix while all quotas stay exact. Shards take disjoint ranges of the permuted
 blocks and shuffle their documents locally.
 
-Everything is DataFrame functions. Windows run over blocks of a source (at most
-``MAX_BLOCKS``), over the documents of one block, over sources (one row each) and over shards; no window holds a
-source's documents.
+Everything is DataFrame functions. Blocks hold about ``BLOCK_DOCS`` documents at every size of a source; running sums over the
+blocks of a source go by chunks of ``CHUNK`` blocks and then inside a chunk. Other windows run over the documents of one block, over sources (one
+row each) and over shards; no window holds a source's documents. With many sources the tree first divides groups of
+sources and then, given what each shard has of a group, the sources inside every group; so no row holds all sources.
 
 Null texts have no words; documents without words weigh nothing and are taken when their
 block is. Null sources form one source, the last. Documents with null ids and repeated
@@ -29,14 +30,14 @@ from sheafspark.llm.storage import stage
 
 WEIGHTS = (5, 2, 1)
 SHARE, MOST = 1.5, 2
-#: Documents of a block, and blocks of a source, at most about.
-BLOCK_DOCS, MAX_BLOCKS = 256, 4096
+#: Documents of a block, about; blocks of a chunk; sources in a row of the tree, about.
+BLOCK_DOCS, CHUNK, GROUP = 256, 4096, 256
 #: Words of an output shard.
 SHARD_WORDS = 10_000_000
 SEED = 17
 #: The tree's nodes are spread over tasks below this depth.
 SPREAD_DEPTH = 6
-# A prime above MAX_BLOCKS: multiplying by it permutes the blocks of any source.
+# A prime above any number of blocks: multiplying by it permutes the blocks of a source.
 _PRIME = 2_147_483_647
 
 
@@ -52,7 +53,7 @@ def sizes(docs: DataFrame, *more: str) -> DataFrame:
         "doc_id",
         F.col("source").cast("string").alias("source"),
         word_count(F.col("text")).alias("size"),
-        F.xxhash64(F.lit(SEED), F.col("doc_id"), F.length("text")).alias("order"),
+        F.xxhash64(F.lit(SEED), F.col("doc_id"), F.col("text")).alias("order"),
         *[F.col(c) for c in more],
     )
 
@@ -86,7 +87,7 @@ def targets(sized: DataFrame, share: float = SHARE, most: float = MOST) -> DataF
 
 def blocks_of(sized: DataFrame, sources: DataFrame) -> DataFrame:
     """Documents with the number of their block, and the source's row."""
-    n = F.least(F.lit(MAX_BLOCKS), F.ceil(F.col("n_docs") / BLOCK_DOCS)).cast("long")
+    n = F.ceil(F.col("n_docs") / BLOCK_DOCS).cast("long")
     named = sources.select(F.col("source").alias("_source"), "source_size", "target", n.alias("n_blocks"))
     joined = sized.join(F.broadcast(named) if _is_small(named) else named, F.col("source").eqNullSafe(F.col("_source")))
     return joined.drop("_source").withColumn("block", F.pmod(F.col("order"), F.col("n_blocks")))
@@ -106,15 +107,37 @@ def block_plan(blocked: DataFrame) -> DataFrame:
     totals = blocked.groupBy("source", "block", "n_blocks", "source_size", "target").agg(F.sum("size").alias("words"))
     offset = F.pmod(F.xxhash64(F.lit(SEED), "source"), F.col("n_blocks"))
     place = F.pmod(F.col("block") * (F.lit(_PRIME) % F.col("n_blocks")) + offset, F.col("n_blocks"))
-    rows = totals.withColumn("place", place)
-    line = Window.partitionBy("source").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("before", F.coalesce(F.sum("words").over(line), F.lit(0)))
+    rows = _running(totals.withColumn("place", place))
     wanted = F.round(F.col("target")).cast("long")
     turns = F.when(F.col("source_size") > 0, F.floor(wanted / F.col("source_size"))).otherwise(0).cast("long")
     rest = wanted - turns * F.col("source_size") - F.col("before")
     whole = turns + F.when((rest >= F.col("words")) & (rest > 0), 1).otherwise(0)
     cut = F.when((rest > 0) & (rest < F.col("words")), rest).otherwise(0)
-    return rows.select("source", "block", "n_blocks", "place", "words", whole.cast("long").alias("whole"), cut.cast("long").alias("cut"))
+    return rows.select(
+        "source", "block", "n_blocks", "place", "words", whole.cast("long").alias("whole"), cut.cast("long").alias("cut"), "rank", "n_present"
+    )
+
+
+def _running(rows: DataFrame) -> DataFrame:
+    """Adds, along the places of each source: words before a block, its rank (from 0), and the number of the source's blocks."""
+    chunked = stage(rows.withColumn("chunk", F.expr(f"place div {CHUNK}")))
+    chunks = chunked.groupBy("source", "chunk").agg(F.sum("words").alias("words"), F.count("*").alias("n"))
+    earlier = Window.partitionBy("source").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    chunks = chunks.select(
+        F.col("source").alias("_source"), F.col("chunk").alias("_chunk"),
+        F.coalesce(F.sum("words").over(earlier), F.lit(0)).alias("_words"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_n"),
+        F.sum("n").over(Window.partitionBy("source")).alias("n_present"),
+    )
+    inside = Window.partitionBy("source", "chunk").orderBy("place")
+    here = chunked.withColumns(
+        {
+            "before": F.coalesce(F.sum("words").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
+            "rank": F.row_number().over(inside) - 1,
+        }
+    )
+    both = here.join(chunks, F.col("source").eqNullSafe(F.col("_source")) & (F.col("chunk") == F.col("_chunk")))
+    both = both.withColumns({"before": F.col("before") + F.col("_words"), "rank": F.col("rank") + F.col("_n")})
+    return both.drop("chunk", "_source", "_chunk", "_words", "_n")
 
 
 def cut_picks(blocked: DataFrame, plan: DataFrame) -> DataFrame:
@@ -238,40 +261,77 @@ def _drawing(seed: int, depth: int):
     return draw
 
 
-def splitting_tree(quotas: DataFrame, n_shards: int, seed: int = SEED) -> DataFrame:
-    """(shard, source, quota): ``quotas`` (source, quota) divided among shards.
+def _sum_quotas(quotas: Column) -> Column:
+    return F.aggregate(quotas, F.lit(0).cast("long"), lambda a, q: a + q["quota"])
 
-    A node's row holds its quotas as an array. Its left child gets the blocks of half of its shards, the
+
+def _divide(nodes: DataFrame, n_shards: int, seed: int, wanted) -> DataFrame:
+    """(shard, quotas, more...) of the leaves below nodes (shard, shards, quotas, more...).
+
+    A node's row holds its quotas as an array. Its left child gets ``wanted`` blocks, the
     number of each source drawn one source after the other, each from what the earlier ones left: the multivariate
-    hypergeometric distribution. The right child gets the rest, so the sums stay exact.
+    hypergeometric distribution. The right child gets the rest, so the sums stay exact. What is zero goes at each level.
     """
-    pair = F.struct(F.col("source"), F.col("quota").cast("long").alias("quota"))
-    root = quotas.where("quota > 0").agg(F.array_sort(F.collect_list(pair)).alias("quotas"))
-    nodes = root.select(F.lit(0).cast("long").alias("shard"), F.lit(n_shards).cast("long").alias("shards"), "quotas")
+    more = [c for c in nodes.columns if c not in ("shard", "shards", "quotas")]
     for depth in range(max(0, (n_shards - 1).bit_length())):
-        total = F.aggregate("quotas", F.lit(0).cast("long"), lambda a, q: a + q["quota"])
         half = F.ceil(F.col("shards") / 2).cast("long")
-        wanted = F.round(total * half / F.col("shards")).cast("long")
-
         begin = F.struct(
-            total.alias("total"), wanted.alias("wanted"), F.expr("cast(array() as array<bigint>)").alias("left")
+            _sum_quotas(F.col("quotas")).alias("total"), wanted(half).alias("wanted"), F.expr("cast(array() as array<bigint>)").alias("left")
         )
         left = F.aggregate("quotas", begin, _drawing(seed, depth), lambda s: s["left"])
         drawn = nodes.select(
-            "shard", "shards", "quotas", half.alias("half"),
+            "shard", "shards", "quotas", half.alias("half"), *more,
             F.explode(F.array(F.when(F.col("shards") > 1, left).otherwise(F.transform("quotas", lambda q: q["quota"])))).alias("left"),
         )
         quota_left = F.zip_with("quotas", "left", lambda q, k: F.struct(q["source"].alias("source"), k.alias("quota")))
         quota_right = F.zip_with("quotas", "left", lambda q, k: F.struct(q["source"].alias("source"), (q["quota"] - k).alias("quota")))
         one = F.when(F.col("shards") > 1, F.col("half")).otherwise(F.col("shards"))
+
+        def some(quotas: Column) -> Column:
+            return F.filter(quotas, lambda q: q["quota"] > 0)
+
         children = F.array(
-            F.struct(F.col("shard").alias("shard"), one.alias("shards"), quota_left.alias("quotas")),
-            F.struct((F.col("shard") + one).alias("shard"), (F.col("shards") - one).alias("shards"), quota_right.alias("quotas")),
+            F.struct(F.col("shard").alias("shard"), one.alias("shards"), some(quota_left).alias("quotas")),
+            F.struct((F.col("shard") + one).alias("shard"), (F.col("shards") - one).alias("shards"), some(quota_right).alias("quotas")),
         )
-        nodes = drawn.select(F.inline(children)).where("shards > 0")
+        nodes = drawn.select(*more, F.inline(children)).where("shards > 0 AND size(quotas) > 0")
         if depth == SPREAD_DEPTH:
             nodes = nodes.repartition("shard")
-    return nodes.select("shard", F.inline("quotas")).where("quota > 0")
+    return nodes.select("shard", "quotas", *more)
+
+
+def splitting_tree(quotas: DataFrame, n_shards: int, seed: int = SEED, group: int = GROUP) -> DataFrame:
+    """(shard, source, quota): ``quotas`` (source, quota) divided among shards.
+
+    Up to ``group`` sources are one row of the tree. More are dealt into groups by hash: a first tree divides the groups' sums, and
+    then each group has a tree of its own whose nodes take what the first one gave their shards, which is the same distribution.
+    """
+    pair = F.struct(F.col("source"), F.col("quota").cast("long").alias("quota"))
+    some = quotas.where("quota > 0")
+    shard, shards = F.lit(0).cast("long").alias("shard"), F.lit(n_shards).cast("long").alias("shards")
+    n_groups = -(-some.count() // group)
+
+    def fair(half: Column) -> Column:
+        return F.round(_sum_quotas(F.col("quotas")) * half / F.col("shards")).cast("long")
+
+    if n_groups <= 1:
+        root = some.agg(F.array_sort(F.collect_list(pair)).alias("quotas")).select(shard, shards, "quotas")
+        return _divide(root.where("size(quotas) > 0"), n_shards, seed, fair).select("shard", F.inline("quotas"))
+    # The tree over groups is itself one over sums, so its rows are bounded in the same way.
+    grouped = some.withColumn("group", F.pmod(F.xxhash64(F.lit(seed), "source"), F.lit(n_groups)))
+    sums = grouped.groupBy(F.col("group").cast("string").alias("source")).agg(F.sum("quota").cast("long").alias("quota"))
+    given = stage(splitting_tree(stage(sums), n_shards, seed + 1, group))
+    shares = given.groupBy(F.col("source").cast("long").alias("group")).agg(
+        F.collect_list(F.struct("shard", "quota")).alias("given")
+    )
+    roots = grouped.groupBy("group").agg(F.array_sort(F.collect_list(pair)).alias("quotas")).join(shares, "group")
+    roots = roots.select(shard, shards, "quotas", "group", "given").repartition("group")
+
+    def as_given(half: Column) -> Column:
+        inside = F.filter("given", lambda g: (g["shard"] >= F.col("shard")) & (g["shard"] < F.col("shard") + half))
+        return _sum_quotas(inside)
+
+    return _divide(roots, n_shards, seed, as_given).select("shard", F.inline("quotas"))
 
 
 def draws(plan: DataFrame, n_shards: int) -> DataFrame:
@@ -282,7 +342,8 @@ def draws(plan: DataFrame, n_shards: int) -> DataFrame:
     """
     turns = F.col("whole") + (F.col("cut") > 0).cast("long")
     taken = plan.withColumn("turn", F.explode(F.sequence(F.lit(1), F.lit(int(MOST) + 1)))).where(F.col("turn") <= turns)
-    number = F.row_number().over(Window.partitionBy("source").orderBy("turn", "place")) - 1
+    # All blocks take part in whole turns, and the first ones along the line in the last.
+    number = (F.col("turn") - 1) * F.col("n_present") + F.col("rank")
     numbered = stage(taken.select("source", "block", "turn", number.alias("number")))
     quotas = numbered.groupBy("source").agg(F.count("*").alias("quota"))
     shares = splitting_tree(quotas, n_shards)

@@ -187,6 +187,44 @@ def test_splitting_tree_keeps_quotas(spark):
     assert abs(mean - 10) < 0.05 and abs(var - 30 * (1 / 3) * (2 / 3) * (30 / 59)) < 0.1
 
 
+def test_splitting_tree_of_many_sources(spark):
+    quotas = {f"s{i:03}": i % 5 for i in range(300)} | {None: 40, "big": 900}
+    frame = spark.createDataFrame(list(quotas.items()), "source string, quota long")
+    rows = mixing.splitting_tree(frame, 13, group=20).collect()
+    by_source, by_shard = Counter(), Counter()
+    for r in rows:
+        assert r.quota > 0
+        by_source[r.source] += r.quota
+        by_shard[r.shard] += r.quota
+    assert by_source == Counter({k: v for k, v in quotas.items() if v})
+    fair = sum(quotas.values()) / 13
+    assert len(by_shard) == 13 and all(abs(n - fair) <= 4 for n in by_shard.values())
+    big = [r.quota for r in rows if r.source == "big"]
+    assert len(big) == 13 and all(40 < n < 100 for n in big)
+
+
+def test_blocks_stay_small_and_running_sums_agree(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "CHUNK", 3)
+    monkeypatch.setattr(mixing, "BLOCK_DOCS", 4)
+    frame = spark.range(900).selectExpr("id AS doc_id", "concat('s', id % 3 * id % 2) AS source", "repeat('w ', CAST(id % 7 AS int)) AS text")
+    narrow = mixing.sizes(frame)
+    sources = mixing.targets(narrow)
+    plan = mixing.block_plan(mixing.blocks_of(narrow, sources)).collect()
+    by_source = defaultdict(list)
+    for r in sorted(plan, key=lambda r: r.place):
+        by_source[r.source].append(r)
+    for rows in by_source.values():
+        assert [r.rank for r in rows] == list(range(len(rows))) and {r.n_present for r in rows} == {len(rows)}
+        assert len({r.place for r in rows}) == len(rows)
+        assert [r.whole for r in rows] == sorted((r.whole for r in rows), reverse=True) and sum(r.cut > 0 for r in rows) <= 1
+    for t in sources.collect():
+        got = sum(r.whole * r.words + r.cut for r in by_source[t.source])
+        assert abs(got - t.target) <= 1
+    found = mixing.mix(frame, shard_words=100).collect()
+    shards = Counter(s for r in found for s in r.shards)
+    assert sum(shards.values()) == sum(r.copies for r in found) and len(shards) > 3
+
+
 def test_records(docs, nothing):
     tool = Tokenizer.from_file(WORDS)
     found = records.encode_and_read_back(docs, WORDS, 1).orderBy("start").collect()
