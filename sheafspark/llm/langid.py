@@ -41,8 +41,8 @@ STRETCH = 16
 _BLOCK = 8_192
 #: Sums held at once while words go through the forward algorithm.
 _SUMS = 1 << 21
-#: Languages that are scored together.
-_COLUMNS = 256
+#: Languages that are scored together, and up to which their rates are sent to all tasks.
+_COLUMNS, BROADCAST_LANGUAGES = 256, 100_000
 #: Words whose evidence counts in full in the score between 0 and 1.
 EVIDENCE = 32
 UNKNOWN = "und"
@@ -291,7 +291,10 @@ def sample_words(docs: DataFrame, vocabulary: str, sample_docs: int = SAMPLE_DOC
     """
     learnt = docs.where(F.crc32(F.col("doc_id").cast("string")) % 4 != 2).where("lang IS NOT NULL AND text IS NOT NULL")
     learnt = learnt.select("doc_id", "lang", "text")
-    counts = learnt.groupBy("lang").agg(F.count("*").alias("n"))
+    counts = stage(learnt.groupBy("lang").agg(F.count("*").alias("n")))
+    # Languages are few; only a dirty column has so many values that texts have to move to them.
+    if counts.count() <= BROADCAST_LANGUAGES:
+        counts = F.broadcast(counts)
     share = F.xxhash64("doc_id").bitwiseAND(F.lit((1 << 63) - 1)) / F.lit(2.0**63)
     chosen = learnt.join(counts, "lang").where((F.col("n") <= sample_docs) | (share < sample_docs / F.col("n"))).select("lang", "text")
 
