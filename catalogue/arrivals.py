@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from catalogue import corpora as C
 from catalogue import sql as Q
+from catalogue.entries import entries
 from catalogue.sql import with_
 from sheafspark.operators import diff
+from sheafspark.operators.classify import classify
 from sheafspark.session import shared_dir
 from sheafspark.sources.chunks import measure_files
-from sheafspark.sources.corpus import list_corpus, open_uri
+from sheafspark.sources.corpus import list_corpus, open_uri, read_contents, read_corpus
 from sheafspark.streaming.corpus import watch_corpus
 from sheafspark.streaming.documents import MARKER, read_finished, write_finished
 
@@ -83,6 +85,26 @@ def chunked_scan(spark, sf):
     return found.select("bundle_id", "path", "size", F.when(text, F.col("lines")).alias("lines"), "binary_reason", "binary_detail")
 
 
+def probe_scan(spark, sf):
+    """The byte corpus as files, binaries read no further than their start: what was read, and what it was taken for."""
+    folder = shared_dir(spark)
+    plant(C.byte_files(spark, sf).withColumn("path", F.concat_ws("/", "bundle_id", "path")), folder)
+    read = read_corpus(spark, folder, "children", replace=[], ignore_files=False, probe_only=True)
+    return classify(read).select(
+        "bundle_id", "path", "size", F.octet_length("content").cast("bigint").alias("read_bytes"), "truncated", "binary_reason", "binary_detail"
+    )
+
+
+def scan_errors(spark, sf):
+    """Files that are gone when they are to be read, beside those that are there."""
+    folder = shared_dir(spark)
+    plant(C.docs(spark, sf).withColumn("path", F.concat_ws("/", "bundle_id", "path")), folder)
+    gone = F.substring(F.md5("path"), 1, 1).isin("0", "1", "2")
+    listing = list_corpus(spark, folder, "children").withColumn("uri", F.when(gone, F.concat("uri", F.lit(".gone"))).otherwise(F.col("uri")))
+    made = entries(read_contents(listing))
+    return made.select("bundle_id", "path", "disposition", "size", "lines", "diagnostic")
+
+
 # ---- snapshots
 
 _BEFORE = "doc_id % 19 <> 0"
@@ -113,6 +135,8 @@ QUERIES = {
     "streamed_files": streamed_files,
     "streamed_documents": streamed_documents,
     "chunked_scan": chunked_scan,
+    "probe_scan": probe_scan,
+    "scan_errors": scan_errors,
     "snapshot_diff": snapshot_diff,
     "snapshot_summary": snapshot_summary,
 }
@@ -167,6 +191,14 @@ FROM docs WHERE NOT {C.DEFAULT_EXCLUDED}""",
     + f"""SELECT bundle_id, path, CAST(size AS BIGINT) AS size, reason_on AS binary_reason, detail_on AS binary_detail,
   CASE WHEN reason_on IS NULL AND k NOT IN (2, 3) THEN CAST({Q.lines("CASE WHEN k = 12 THEN src ELSE plain END")} AS BIGINT) END AS lines
 FROM byte_files""",
+    "probe_scan": with_(C.BYTES)
+    + """SELECT bundle_id, path, CAST(size AS BIGINT) AS size, CAST(CASE WHEN k IN (2, 3, 4, 5) THEN least(size, 8192) ELSE size END AS BIGINT) AS read_bytes,
+  k IN (2, 3, 4, 5) AND size > 8192 AS truncated, reason_off AS binary_reason, detail_off AS binary_detail FROM byte_files""",
+    "scan_errors": with_(C.DOCS)
+    + f"""SELECT bundle_id, path, CASE WHEN gone THEN 'read_error' ELSE 'text' END AS disposition,
+  CAST(CASE WHEN gone THEN 0 ELSE size END AS BIGINT) AS size, CASE WHEN gone THEN 0 ELSE {Q.lines('text')} END AS lines,
+  CASE WHEN gone THEN 'Failed to read file: No such file or directory' END AS diagnostic
+FROM (SELECT *, substr(md5(path), 1, 1) IN ('0', '1', '2') AS gone FROM docs)""",
     "snapshot_diff": _DIFF,
     "snapshot_summary": f"""SELECT bundle_id, count(*) FILTER (status = 'added') AS added, count(*) FILTER (status = 'removed') AS removed,
   count(*) FILTER (status = 'changed') AS changed, count(*) FILTER (status = 'moved') AS moved FROM ({_DIFF}) GROUP BY bundle_id""",

@@ -106,6 +106,21 @@ def gzip_roundtrip(spark, sf):
     return _roundtrip(spark, sf, 9)
 
 
+def gzip_level1(spark, sf):
+    return _roundtrip(spark, sf, 1)
+
+
+def gzip_level6(spark, sf):
+    return _roundtrip(spark, sf, 6)
+
+
+def written_summary(spark, sf):
+    """Metrics written as a table and read back."""
+    target = shared_dir(spark)
+    sink.write_summary(metrics.bundle_metrics(document.document_sizes(_byte_rows(spark, sf))), target)
+    return spark.read.parquet(target)
+
+
 def structure_roundtrip(spark, sf):
     """Write docs, rebuild the paths from the nesting of the structure section."""
     target = shared_dir(spark)
@@ -253,6 +268,9 @@ QUERIES = {
     "document_rows": document_rows,
     "bundle_roundtrip": bundle_roundtrip,
     "gzip_roundtrip": gzip_roundtrip,
+    "gzip_level1": gzip_level1,
+    "gzip_level6": gzip_level6,
+    "written_summary": written_summary,
     "structure_roundtrip": structure_roundtrip,
     "comment_roundtrip": comment_roundtrip,
     "bundle_metrics": bundle_metrics,
@@ -300,10 +318,48 @@ UNION ALL SELECT bundle_id, {node_key},
 UNION ALL SELECT bundle_id, ({node_key}) || '2', {indent('node_path')} || '</folder>' FROM folders"""
 
 
+# What every document must say, written out here: the check does not ask the engine for it.
+_HEADER = """\
+<?xml version="1.0" encoding="utf-8"?>
+<repository>
+  <file_summary>
+    <purpose>One document holding the readable content of a collection of files,
+laid out so that a program or a language model can take it in at once.</purpose>
+    <file_format>1. This summary.
+2. repository_structure: the folders and files, nested by name.
+3. repository_files: one element per file with its path, its size in bytes,
+   its number of lines, and its text in CDATA. Binary files and text that
+   XML 1.0 cannot hold carry a comment instead.</file_format>
+    <instructions>- Look at the files themselves, their text, layout and purpose.
+- Leave the markup of this document out of the discussion.
+- Take the language of a file from the extension of its path.</instructions>
+    <usage_guidelines>- Read only: make changes in the original files.
+- Tell files apart by their full path.
+- The content may be confidential; treat it like its source.</usage_guidelines>
+    <notes>- Paths ruled out by ignore files or by the exclusion options are missing.
+- The structure section lists every kept file, also those without text.</notes>
+    <additional_info>Written by sheafspark.</additional_info>
+  </file_summary>"""
+_NUMBERED_HEADER = _HEADER.replace(
+    "</instructions>",
+    """
+- Every line starts with its number, padded to equal width, and two spaces.
+  The numbers are for reference and are not part of the file.</instructions>""",
+)
+_FRAME = (
+    (1, "", "  <repository_structure>\n    <summary>The folders and files of the collection.</summary>"),
+    (1, "3", "  </repository_structure>"),
+    (2, "", "  <repository_files>\n    <summary>The files with their full paths and, where it can be shown, their text.</summary>"),
+    (2, "3", "  </repository_files>"),
+    (3, "", "</repository>"),
+)
+
+
 def _document_ctes(source: str, entry: str, line_numbers: bool = False) -> str:
+    rows = ((0, "", _NUMBERED_HEADER if line_numbers else _HEADER), *_FRAME)
     frame = " UNION ALL ".join(
         f"SELECT bundle_id, {s} AS section, {Q.quoted(k)} AS sort_key, {Q.quoted(v)} AS line FROM (SELECT DISTINCT bundle_id FROM {source})"
-        for s, k, v in document.frame_rows(line_numbers)
+        for s, k, v in rows
     )
     return f"""
 document_rows AS (
@@ -339,7 +395,16 @@ kept AS (
   WHERE NOT {C.DEFAULT_EXCLUDED} AND NOT contains(lower(path), 'src/'))
 """
 
-_MODEL_VALUES = "VALUES " + ", ".join("(" + ", ".join(Q.quoted(v) for v in row) + ")" for row in tokens.MODELS)
+_MODEL_VALUES = """VALUES
+  ('gpt5', 'gpt5', 'GPT-5', 'o200k_base', 'tiktoken'),
+  ('gpt4o', 'gpt4o', 'GPT-4o', 'o200k_base', 'tiktoken'),
+  ('gpt4', 'gpt4', 'GPT-4', 'cl100k_base', 'tiktoken'),
+  ('gpt3.5', 'gpt3.5', 'GPT-3.5', 'cl100k_base', 'tiktoken'),
+  ('deepseek-v4', 'deepseek-v4', 'DeepSeek V4', 'deepseek_v4', 'huggingface'),
+  ('deepseek-v3', 'deepseek-v3', 'DeepSeek V3', 'deepseek_v3', 'huggingface'),
+  ('deepseek-r1', 'deepseek-r1', 'DeepSeek R1', 'deepseek_r1', 'huggingface'),
+  ('glm5.2', 'glm5.2', 'GLM-5.2', 'glm_5_2', 'huggingface'),
+  ('deepseek', 'deepseek-r1', 'DeepSeek R1', 'deepseek_r1', 'huggingface')"""
 
 _REQUESTS = """
 requests AS (
@@ -385,6 +450,8 @@ GROUP BY bundle_id, depth""",
     "document_rows": with_(*_DOCUMENTS) + "SELECT bundle_id, section, sort_key, md5(line) AS line_md5 FROM document_rows",
     "bundle_roundtrip": _ROUNDTRIP,
     "gzip_roundtrip": _ROUNDTRIP,
+    "gzip_level1": _ROUNDTRIP,
+    "gzip_level6": _ROUNDTRIP,
     "structure_roundtrip": with_(C.DOCS) + "SELECT bundle_id, path FROM docs",
     "comment_roundtrip": with_(C.BYTES)
     + """SELECT bundle_id, path, size, 0 AS lines, CASE disposition_on
@@ -393,6 +460,8 @@ GROUP BY bundle_id, depth""",
 FROM byte_files WHERE disposition_on <> 'text'""",
     "bundle_metrics": with_(C.BYTES, Q.folders("byte_files"), _document_ctes("byte_files", _BYTES_ENTRY), _SIZES)
     + "SELECT bundle_id, n_files, xml_bytes, xml_bytes AS output_bytes FROM document_sizes",
+    "written_summary": with_(C.BYTES, Q.folders("byte_files"), _document_ctes("byte_files", _BYTES_ENTRY), _SIZES)
+    + "SELECT bundle_id, n_files, xml_bytes, xml_bytes AS output_bytes FROM document_sizes",
     "pack_run": with_(C.DOCS, _KEPT, Q.folders("kept"), _document_ctes("kept", _DOC_ENTRY, True), _SIZES)
     + "SELECT bundle_id, n_files, xml_bytes, xml_bytes AS output_bytes, xml_bytes AS file_bytes FROM document_sizes",
     "corpus_scan": with_(*_DOCUMENTS)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sheafspark.functions import paths as P
 from sheafspark.functions import xml as X
+from sheafspark.session import stage
 
 
 def normalize_paths(files: DataFrame) -> DataFrame:
@@ -49,6 +50,9 @@ def exclusion_audit(
     return files.agg(*counts).select(F.inline(F.array(*rows)))
 
 
+#: Bundle names that are sent to all tasks, at most.
+BROADCAST_BUNDLES = 100_000
+
 # Roles of a name in a bundle, and what is wrong with a bad one.
 FILE_PATH = "repository file path"
 FILE_NAME = "repository structure file path"
@@ -89,10 +93,16 @@ def path_violations(files: DataFrame) -> DataFrame:
 
 
 def require_safe_paths(files: DataFrame, mode: str = "fail") -> DataFrame:
-    """Stop on a bad name (``fail``) or drop the bundles that hold one (``quarantine``)."""
+    """Stop on a bad name (``fail``) or drop the bundles that hold one (``quarantine``).
+
+    Bad bundles are found on the path columns. They are few, and their names go to the files, so no content moves; only a
+    corpus with more than ``BROADCAST_BUNDLES`` of them is joined by shuffling.
+    """
     violations = path_violations(files)
     if mode == "quarantine":
-        return files.join(violations.select("bundle_id").distinct(), "bundle_id", "left_anti")
+        bad = stage(violations.select("bundle_id").distinct())
+        few = bad.limit(BROADCAST_BUNDLES + 1).count() <= BROADCAST_BUNDLES
+        return files.join(F.broadcast(bad) if few else bad, "bundle_id", "left_anti")
     first = violations.limit(1).collect()
     if first:
         v = first[0]

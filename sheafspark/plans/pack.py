@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from sheafspark.functions.tokens import Vocabulary
 from sheafspark.operators.classify import classify
 from sheafspark.operators.decode import decode_files
-from sheafspark.operators.document import document_rows, document_sizes
+from sheafspark.operators.document import document_rows, document_sizes, with_lengths
 from sheafspark.operators.entries import build_entries, diagnostics
 from sheafspark.operators.metrics import bundle_metrics
 from sheafspark.operators.select import exclude_paths, require_safe_paths
@@ -23,7 +23,10 @@ from sheafspark.sinks.bundles import write_bundles, written_bytes
 
 def entries_of(files: DataFrame, options: BundleOptions = BundleOptions()) -> DataFrame:
     """Filter, classify, decode and measure; narrow, so it also runs on streams."""
-    kept = exclude_paths(files, options.extend_exclude, options.exclude)
+    return _kept_entries(exclude_paths(files, options.extend_exclude, options.exclude), options)
+
+
+def _kept_entries(kept: DataFrame, options: BundleOptions) -> DataFrame:
     decoded = decode_files(classify(kept, options.utf8), options.utf8)
     return build_entries(decoded, options.line_numbers)
 
@@ -48,17 +51,19 @@ def pack(
     Bad names stop the run before anything is written, and so does a model
     without its vocabulary among ``vocabularies`` (vocabulary name -> file);
     without any, tokens are not counted. Raw content is read
-    and decoded once, into a staged table of entries; the documents, metrics
-    and diagnostics all read that table, each only the columns it needs.
+    and decoded once, into a staged table of entries, and rendered once, into
+    one of document rows with their lengths; the documents, metrics
+    and diagnostics read those tables, each only the columns it needs.
     """
     vocabulary = vocabulary_for(options.model, vocabularies) if vocabularies is not None else None
     safe = require_safe_paths(exclude_paths(files, options.extend_exclude, options.exclude), options.on_bad_path)
-    entries = stage(entries_of(safe, options))
-    rows = document_rows(entries, line_numbers=options.line_numbers)
+    entries = stage(_kept_entries(safe, options))
+    measured = stage(with_lengths(document_rows(entries, line_numbers=options.line_numbers)))
+    rows = measured.drop("row_bytes")
     write_bundles(rows, target, options.gzip_level if options.gzip else None, staged=True)
     tokens = bundle_tokens(rows, vocabulary) if vocabulary else None
     outputs = written_bytes(files.sparkSession, target) if options.gzip else None
-    metrics = bundle_metrics(document_sizes(rows), tokens, outputs)
+    metrics = bundle_metrics(document_sizes(measured), tokens, outputs)
     if vocabulary:
         metrics = metrics.withColumn("model", F.lit(display_name(options.model)))
     return Packed(entries, rows, metrics, diagnostics(entries, quiet))
