@@ -319,7 +319,7 @@ UNION ALL SELECT bundle_id, ({node_key}) || '2', {indent('node_path')} || '</fol
 
 
 # What every document must say, written out here: the check does not ask the engine for it.
-_HEADER = """\
+HEADER = """\
 <?xml version="1.0" encoding="utf-8"?>
 <repository>
   <file_summary>
@@ -340,7 +340,7 @@ laid out so that a program or a language model can take it in at once.</purpose>
 - The structure section lists every kept file, also those without text.</notes>
     <additional_info>Written by sheafspark.</additional_info>
   </file_summary>"""
-_NUMBERED_HEADER = _HEADER.replace(
+NUMBERED_HEADER = HEADER.replace(
     "</instructions>",
     """
 - Every line starts with its number, padded to equal width, and two spaces.
@@ -356,7 +356,7 @@ _FRAME = (
 
 
 def _document_ctes(source: str, entry: str, line_numbers: bool = False) -> str:
-    rows = ((0, "", _NUMBERED_HEADER if line_numbers else _HEADER), *_FRAME)
+    rows = ((0, "", NUMBERED_HEADER if line_numbers else HEADER), *_FRAME)
     frame = " UNION ALL ".join(
         f"SELECT bundle_id, {s} AS section, {Q.quoted(k)} AS sort_key, {Q.quoted(v)} AS line FROM (SELECT DISTINCT bundle_id FROM {source})"
         for s, k, v in rows

@@ -19,11 +19,24 @@ DEFAULT_EXCLUDE_PATTERNS = (
     r"\.vscode",
 )
 
+# The default exclusions by what they keep out.
+CATEGORIES = {
+    "licences": (r"licen[cs]e(\..*)?",),
+    "gitignore": (r"\.gitignore",),
+    "lockfiles": (r"\.lock$",),
+    "requirements": (r"requirement.*\.txt",),
+    "github": (r"\.github",),
+    "tools": (r"renovate\.json", r"\.vscode"),
+    "git": (r"\.git",),
+}
+# Some other default would keep a category's files out as well; this is what it leaves alone then.
+_SPARED = {r"\.git": {"gitignore": r"\.git(?!ignore)", "github": r"\.git(?!hub)"}}
+
 # Schemes whose URLs must name a host.
 HOST_SCHEMES = ("http", "https", "ws", "wss", "ftp")
 
 
-def _java_regex(pattern: str) -> str:
+def java_regex(pattern: str) -> str:
     """Same meaning in Java: ``$`` is the very end, ``.`` stops only at LF."""
     return pattern.replace(".*", "[^\n]*").replace("$", r"\z")
 
@@ -32,13 +45,32 @@ def _literal(pattern: str) -> str:
     return "".join(c if c.isalnum() or ord(c) > 127 else "\\" + c for c in pattern)
 
 
+def _without(include: Sequence[str]) -> list[tuple[str, str]]:
+    """The default exclusions but for some categories."""
+    unknown = set(include) - set(CATEGORIES)
+    if unknown:
+        raise ValueError(f"no such category: {', '.join(sorted(unknown))}; there are {', '.join(CATEGORIES)}")
+    dropped = {p for name in include for p in CATEGORIES[name]}
+    kept = []
+    for pattern in DEFAULT_EXCLUDE_PATTERNS:
+        spared = [_SPARED[pattern][name] for name in include if name in _SPARED.get(pattern, ())]
+        if pattern in dropped:
+            continue
+        regex = java_regex(pattern) if not spared else r"\.git" + "".join(s.removeprefix(r"\.git") for s in spared)
+        kept.append((pattern, regex))
+    return kept
+
+
 def exclusion_regexes(
-    extend: Sequence[str] | None = None, replace: Sequence[str] | None = None
+    extend: Sequence[str] | None = None, replace: Sequence[str] | None = None, include: Sequence[str] = ()
 ) -> list[tuple[str, str]]:
-    """(pattern as the user knows it, Java regex); user patterns are literal text."""
+    """(pattern as the user knows it, Java regex); user patterns are literal text.
+
+    ``include`` names categories (``CATEGORIES``) of the default exclusions that are kept in after all.
+    """
     if replace is not None:
         return [(p, _literal(p)) for p in replace]
-    defaults = [(p, _java_regex(p)) for p in DEFAULT_EXCLUDE_PATTERNS]
+    defaults = _without(include)
     return defaults + [(p, _literal(p)) for p in extend or ()]
 
 
@@ -46,11 +78,16 @@ def matches(path: Column, regex: str) -> Column:
     return path.rlike(f"(?iu){regex}")
 
 
+def is_dot_file(path: Column) -> Column:
+    """Whether the file or a folder above it has a name that begins with a dot."""
+    return path.rlike(r"(?:\A|/)\.")
+
+
 def is_excluded(
-    path: Column, extend: Sequence[str] | None = None, replace: Sequence[str] | None = None
+    path: Column, extend: Sequence[str] | None = None, replace: Sequence[str] | None = None, include: Sequence[str] = ()
 ) -> Column:
     """One regex test per path, whatever the number of patterns."""
-    regexes = [regex for _, regex in exclusion_regexes(extend, replace)]
+    regexes = [regex for _, regex in exclusion_regexes(extend, replace, include)]
     if not regexes:
         return F.lit(False)
     return matches(path, "(?:" + "|".join(f"(?:{r})" for r in regexes) + ")")

@@ -74,13 +74,39 @@ def frame_rows(line_numbers: bool = False) -> list[tuple[int, str, str]]:
     ]
 
 
-def document_rows(entries: DataFrame, files: DataFrame | None = None, line_numbers: bool = False) -> DataFrame:
+def metadata_rows(metadata: DataFrame) -> DataFrame:
+    """(bundle_id, section, sort_key, line) of a table (bundle_id, name, value): what users say about their bundles.
+
+    They follow the summary, one row per value, by name and value. Names and values are escaped; what XML cannot
+    hold becomes U+FFFD. Null values are empty.
+    """
+
+    def attribute(value: Column) -> Column:
+        return X.escape_attr(F.regexp_replace(F.coalesce(value, F.lit("")), X.INVALID_ATTRIBUTE_CLASS, "\ufffd"))
+
+    frame = F.array(
+        F.struct(F.lit("1").alias("sort_key"), F.lit("  <metadata>").alias("line")),
+        F.struct(F.lit("3").alias("sort_key"), F.lit("  </metadata>").alias("line")),
+    )
+    framed = metadata.select("bundle_id").distinct().select("bundle_id", F.inline(frame))
+    name, value = attribute(F.col("name")), attribute(F.col("value"))
+    body = metadata.select(
+        "bundle_id",
+        F.concat(F.lit("2"), F.coalesce("name", F.lit("")), F.lit("\x01"), F.coalesce("value", F.lit(""))).alias("sort_key"),
+        F.concat(F.lit('    <entry name="'), name, F.lit('" value="'), value, F.lit('" />')).alias("line"),
+    )
+    return framed.unionByName(body).select("bundle_id", F.lit(HEADER).alias("section"), "sort_key", "line")
+
+
+def document_rows(
+    entries: DataFrame, files: DataFrame | None = None, line_numbers: bool = False, metadata: DataFrame | None = None
+) -> DataFrame:
     """(bundle_id, section, sort_key, line); in that order the lines are the document.
 
     The structure section and the frame take their paths from ``files``, whose
     content is then not read. Leave it out only if ``entries`` is a staged
     table, or its texts would be decoded again for their paths. No row holds
-    more than one file.
+    more than one file. ``metadata`` (bundle_id, name, value) adds what users say about their bundles.
     """
     paths = (files if files is not None else entries).select("bundle_id", "path")
     frame = F.array(
@@ -97,7 +123,11 @@ def document_rows(entries: DataFrame, files: DataFrame | None = None, line_numbe
         F.concat(F.lit("1"), F.col("path")).alias("sort_key"),
         F.concat(F.lit("    "), entry_xml()).alias("line"),
     )
-    return framed.unionByName(structure).unionByName(body)
+    rows = framed.unionByName(structure).unionByName(body)
+    if metadata is None:
+        return rows
+    known = metadata.join(paths.select("bundle_id").distinct(), "bundle_id", "left_semi")
+    return rows.unionByName(metadata_rows(known))
 
 
 def document_chunk(newline: str = "next") -> Column:

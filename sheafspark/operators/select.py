@@ -17,10 +17,24 @@ def normalize_paths(files: DataFrame) -> DataFrame:
 
 
 def exclude_paths(
-    files: DataFrame, extend: Sequence[str] | None = None, replace: Sequence[str] | None = None
+    files: DataFrame,
+    extend: Sequence[str] | None = None,
+    replace: Sequence[str] | None = None,
+    include: Sequence[str] = (),
+    dot_files: bool = True,
 ) -> DataFrame:
-    """Drop excluded paths. ``replace`` switches the defaults and ``extend`` off."""
-    return files.where(~P.is_excluded(F.col("path"), extend, replace))
+    """Drop excluded paths. ``replace`` switches the defaults and ``extend`` off.
+
+    ``include`` keeps categories of the defaults in; without ``dot_files`` names that begin with a dot go too, but for included ones.
+    """
+    kept = ~P.is_excluded(F.col("path"), extend, replace, include)
+    if not dot_files:
+        spared = [P.matches(F.col("path"), regex) for name in include for pattern in P.CATEGORIES[name] for regex in [P.java_regex(pattern)]]
+        hidden = P.is_dot_file(F.col("path"))
+        for rule in spared:
+            hidden = hidden & ~rule
+        kept = kept & ~hidden
+    return files.where(kept)
 
 
 def exclusion_audit(
