@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from sheafspark.llm import arc, convrepair, fmindex, langid, lengths, mincut, mixing, quality, records, rules, simhash, urlrules, veccodes
+from sheafspark.llm.storage import stage
 
 END_ID = 1
 
@@ -56,6 +57,11 @@ def op8_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.verdicts(rules.ledger(table(spark, sf_dir, "documents")))
 
 
+def rule_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of each policy version costs, from one ledger of all documents."""
+    return rules.all_ablations(stage(rules.ledger(table(spark, sf_dir, "documents"))))
+
+
 def op9_marginal_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.languages_of(table(spark, sf_dir, "documents"), pieces_file())
 
@@ -76,6 +82,34 @@ def op13_dictionary_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return veccodes.compress(table(spark, sf_dir, "embeddings"))
 
 
+# The ledger of all rules; kept apart because the ablations are sums over it.
+_LEDGER = r"""
+        WITH t AS (SELECT doc_id, coalesce(text, '') AS text,
+                          regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        l AS (SELECT *, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM t),
+        g AS (SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS phrase
+              FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM t)),
+        r AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, phrase) AS n FROM g) WHERE n > 1),
+        c AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest(range(i, i + 8)) AS j FROM r) GROUP BY doc_id),
+        m AS (SELECT l.doc_id AS doc_id, CAST(len(w) AS BIGINT) AS n_words,
+                     CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+                     CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+                     CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+                     CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words,
+                     CAST(len(lines) AS BIGINT) AS n_lines,
+                     CAST(len(list_filter(w, lambda x: regexp_matches(x, '[A-Za-z]|[^\x00-\x7F]'))) AS BIGINT) AS n_letter_words,
+                     CAST(len(regexp_extract_all(text, '@UNSPACED@')) AS BIGINT) AS n_unspaced
+              FROM l LEFT JOIN c ON l.doc_id = c.doc_id),
+        f AS (SELECT *, CAST(CASE WHEN n_words < 20 THEN 1 ELSE 0 END
+                     + CASE WHEN 100 * n_repeat_words > 30 * n_words THEN 2 ELSE 0 END
+                     + CASE WHEN 2 * n_symbols > n_words THEN 4 ELSE 0 END
+                     + CASE WHEN 100 * n_dup_lines > 50 * n_lines THEN 8 ELSE 0 END
+                     + CASE WHEN word_chars < 2 * n_words OR word_chars > 20 * n_words THEN 16 ELSE 0 END
+                     + CASE WHEN 100 * n_letter_words < 60 * n_words THEN 32 ELSE 0 END
+                     + CASE WHEN word_chars < 2 * n_words OR word_chars - n_unspaced > 20 * n_words THEN 64 ELSE 0 END AS BIGINT) AS failed FROM m)
+""".replace("@UNSPACED@", rules.UNSPACED)
+
+
 def _codes_sql(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
     """All distances to all entries, round by round."""
     near = """
@@ -194,6 +228,7 @@ QUERIES = {
         op11_url_rules,
         op12_conversation_repair,
         op13_dictionary_codes,
+        rule_ablations,
     )
 }
 
@@ -228,30 +263,16 @@ SQL = {
                coalesce(covered.n, 0) > 0 AND 20 * coalesce(covered.n, 0) >= len(w) AS contaminated
         FROM d LEFT JOIN covered ON d.doc_id = covered.doc_id LEFT JOIN items ON d.doc_id = items.doc_id
     """,
-    "op8_rule_ledger": r"""
-        WITH t AS (SELECT doc_id, coalesce(text, '') AS text,
-                          regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
-        l AS (SELECT *, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM t),
-        g AS (SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS phrase
-              FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM t)),
-        r AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, phrase) AS n FROM g) WHERE n > 1),
-        c AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest(range(i, i + 8)) AS j FROM r) GROUP BY doc_id),
-        m AS (SELECT l.doc_id AS doc_id, CAST(len(w) AS BIGINT) AS n_words,
-                     CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
-                     CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
-                     CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
-                     CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words,
-                     CAST(len(lines) AS BIGINT) AS n_lines,
-                     CAST(len(list_filter(w, lambda x: regexp_matches(x, '[A-Za-z]|[^\x00-\x7F]'))) AS BIGINT) AS n_letter_words
-              FROM l LEFT JOIN c ON l.doc_id = c.doc_id),
-        f AS (SELECT *, CAST(CASE WHEN n_words < 20 THEN 1 ELSE 0 END
-                     + CASE WHEN 100 * n_repeat_words > 30 * n_words THEN 2 ELSE 0 END
-                     + CASE WHEN 2 * n_symbols > n_words THEN 4 ELSE 0 END
-                     + CASE WHEN 100 * n_dup_lines > 50 * n_lines THEN 8 ELSE 0 END
-                     + CASE WHEN word_chars < 2 * n_words OR word_chars > 20 * n_words THEN 16 ELSE 0 END
-                     + CASE WHEN 100 * n_letter_words < 60 * n_words THEN 32 ELSE 0 END AS BIGINT) AS failed FROM m)
-        SELECT *, failed & 3 <> 0 AS base_failed, failed = 0 AS kept FROM f
-    """,
+    "op8_rule_ledger": _LEDGER + "SELECT *, failed & 3 <> 0 AS base_failed, failed & 111 = 0 AS kept FROM f",
+    "rule_ablations": _LEDGER
+    + """SELECT policy, rule, count(*) FILTER (failed & bit <> 0) AS n_failed, count(*) FILTER (failed & mask = bit) AS n_only,
+        count(*) FILTER (failed & mask = 0) AS kept
+        FROM f, (VALUES ('base', 'few_words', 1, 3), ('base', 'repeated_windows', 2, 3),
+                 ('v1', 'few_words', 1, 63), ('v1', 'repeated_windows', 2, 63), ('v1', 'many_symbols', 4, 63), ('v1', 'repeated_lines', 8, 63),
+                 ('v1', 'word_length', 16, 63), ('v1', 'few_letters', 32, 63),
+                 ('v2', 'few_words', 1, 111), ('v2', 'repeated_windows', 2, 111), ('v2', 'many_symbols', 4, 111), ('v2', 'repeated_lines', 8, 111),
+                 ('v2', 'few_letters', 32, 111), ('v2', 'spaced_word_length', 64, 111)) AS p(policy, rule, bit, mask)
+        GROUP BY policy, rule""",
     "op11_url_rules": r"""
         WITH p AS (SELECT page_id, url, row_number() OVER () AS rn,
                           CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),

@@ -16,6 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,7 +25,7 @@ from sheafspark.llm.buffers import SPACED, Words, find_words, hash_words, mix, r
 WINDOW = 8
 
 MEASURES = (
-    "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_letter_words",
+    "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_letter_words", "n_unspaced",
 )
 
 #: name -> failing condition over the measurements; the position is the bit.
@@ -35,13 +36,23 @@ RULES = {
     "repeated_lines": "100 * n_dup_lines > 50 * n_lines",
     "word_length": "word_chars < 2 * n_words OR word_chars > 20 * n_words",
     "few_letters": "100 * n_letter_words < 60 * n_words",
+    "spaced_word_length": "word_chars < 2 * n_words OR word_chars - n_unspaced > 20 * n_words",
 }
 
+# Blocks of scripts that write no spaces between words (Thai, Lao, Burmese, Khmer, kana, Han).
+UNSPACED = (
+    r"[\x{0E00}-\x{0EFF}\x{1000}-\x{109F}\x{1780}-\x{17FF}\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}"
+    r"\x{20000}-\x{2FA1F}]"
+)
+
 #: version -> rules that count.
 POLICIES = {
     "base": ("few_words", "repeated_windows"),
-    "v1": tuple(RULES),
+    "v1": ("few_words", "repeated_windows", "many_symbols", "repeated_lines", "word_length", "few_letters"),
+    # Letters of scripts without spaces do not make a word too long.
+    "v2": ("few_words", "repeated_windows", "many_symbols", "repeated_lines", "few_letters", "spaced_word_length"),
 }
+CURRENT = "v2"
 
 _LINE = np.ones(256, bool)
 _LINE[0x0A] = False
@@ -98,6 +109,7 @@ def measure_rows(column: pa.Array) -> dict[str, np.ndarray]:
         "n_repeat_words": row_sums(covered, words.first),
         "n_lines": lines.per_row,
         "n_letter_words": row_sums(letters[words.end] > letters[words.start], words.first),
+        "n_unspaced": pc.fill_null(pc.count_substring_regex(column, pattern=UNSPACED), 0).to_numpy(zero_copy_only=False),
     }
 
 
@@ -157,6 +169,15 @@ def ablations(rows: DataFrame, policy: str) -> DataFrame:
     )
 
 
-def verdicts(rows: DataFrame, policy: str = "v1") -> DataFrame:
+def all_ablations(rows: DataFrame) -> DataFrame:
+    """``ablations`` of every version."""
+    found = None
+    for policy in POLICIES:
+        of_policy = ablations(rows, policy)
+        found = of_policy if found is None else found.unionByName(of_policy)
+    return found
+
+
+def verdicts(rows: DataFrame, policy: str = CURRENT) -> DataFrame:
     """The ledger with base_failed and kept under a policy."""
     return rows.withColumn("base_failed", fails("base")).withColumn("kept", ~fails("base") & ~fails(policy))

@@ -345,3 +345,12 @@ def test_very_long_and_very_deep_pages_take_time_in_proportion():
     for small, large in zip(pages(5_000), pages(20_000)):
         seconds(small)
         assert seconds(large) < 4 * 4 * max(seconds(small), 0.05)
+
+
+def test_scripts_without_spaces_are_not_too_long():
+    chinese, thai = "这是一个没有空格的句子用来测试规则。" * 3, "ภาษาไทยไม่มีการเว้นวรรคระหว่างคำ" * 2
+    texts = ["\n".join(f"{chinese}{i}" for i in range(30)), "\n".join(f"{thai}{i}" for i in range(30)), "\n".join("x" * 30 + str(i) for i in range(30)), None]
+    got = rules.measure_rows(pa.array(texts, pa.string()))
+    assert got["n_unspaced"].tolist() == [30 * 51, 30 * len(thai), 0, 0]
+    long = got["word_chars"] - got["n_unspaced"] > 20 * got["n_words"]
+    assert long.tolist() == [False, False, True, False] and (got["word_chars"] > 20 * got["n_words"])[:3].all()
