@@ -1,10 +1,9 @@
 """Read written documents back: their entries and the structure section.
 
 A document may lie in many files, but no row of it crosses from one file into
-the next. So entries are read file by file, as streams. The nesting of the
-structure section does depend on earlier files; the open folders are carried
-over in two steps, a window within each split and one over a single summary
-row per split.
+the next. So files are read as streams, one by one. The nesting of the
+structure section does depend on earlier files; each file is reduced to the folders it closes and opens, and these
+summaries are composed.
 """
 
 from __future__ import annotations
@@ -19,12 +18,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sheafspark.operators.document import STRUCTURE_END
+from sheafspark.session import stage
 from sheafspark.sources.corpus import BATCH_BYTES, open_uri
 
 ENTRIES = "bundle_id string, path string, size bigint, lines int, text string, comment string"
-_SPLIT = ("bundle_id", "file", "block")
 
 _START = re.compile(r'    <file path="([^"]*)" size="(\d+)" lines="(\d+)">(.*)', re.DOTALL)
+_NODE = re.compile(r' {4,}<(file path|folder name)="([^"]*)"(?: /)?>\n?\Z')
+_CLOSE = re.compile(r" {4,}</folder>\n?\Z")
 _ENTITIES = {"&quot;": '"', "&apos;": "'", "&#xA;": "\n", "&#xD;": "\r"}
 
 
@@ -108,66 +109,80 @@ def read_bundles(spark: SparkSession, target: str | list[str]) -> DataFrame:
     return written_files(spark, target).select("bundle_id", "file").mapInArrow(read, ENTRIES)
 
 
-def _lines(spark: SparkSession, target: str) -> DataFrame:
-    """Lines with their place: file, start of the split in it, number within the split."""
-    lines = spark.read.schema("value string, bundle_id string").option("lineSep", "\n").text(target)
-    return lines.select(
-        "bundle_id",
-        "value",
-        part_number(F.col("_metadata.file_name")).alias("file"),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("pos"),
-    )
-
-
-def _last_before(lines: DataFrame, **values: Column) -> DataFrame:
-    """Adds, per value, its last non-null occurrence in earlier lines of the document."""
-    marked = lines.withColumns(values)
-    in_split = Window.partitionBy(*_SPLIT).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    ends = marked.groupBy(*_SPLIT).agg(
-        *[F.max_by(F.col(v), F.when(F.col(v).isNotNull(), F.col("pos"))).alias(f"end_{v}") for v in values]
-    )
-    over_splits = Window.partitionBy("bundle_id").orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
-    carried = ends.select(
-        *_SPLIT, *[F.last(f"end_{v}", ignorenulls=True).over(over_splits).alias(f"carry_{v}") for v in values]
-    )
-    near = marked.select(
-        *lines.columns, *[F.last(v, ignorenulls=True).over(in_split).alias(f"near_{v}") for v in values]
-    )
-    return near.join(carried, list(_SPLIT)).select(
-        *lines.columns, *[F.coalesce(f"near_{v}", f"carry_{v}").alias(v) for v in values]
-    )
-
-
-def _unescape(value: Column) -> Column:
-    for old, new in (
-        ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"),
-        ("&#xA;", "\n"), ("&#xD;", "\r"), ("&amp;", "&"),
-    ):
-        value = F.replace(value, F.lit(old), F.lit(new))
-    return value
+def structure_steps(lines: Iterator[str]) -> Iterator[tuple]:
+    """What the lines of a file say about the structure section, whatever was open before them.
+
+    Per file listed (levels closed that were opened earlier, names of the folders opened here and of the file, None), and in the
+    end (levels closed, names still open, whether the section ends here).
+    """
+    closed, opened, ended = 0, [], False
+    for line in lines:
+        if node := _NODE.match(line):
+            name = unescape(node[2], _ENTITIES)
+            if node[1] == "file path":
+                yield closed, [*opened, name], None
+            else:
+                opened.append(name)
+        elif _CLOSE.match(line):
+            if opened:
+                opened.pop()
+            else:
+                closed += 1
+        elif line.rstrip("\n") == STRUCTURE_END:
+            # Texts may repeat the end tag or look like nodes, but only after the real one.
+            ended = True
+            break
+    yield closed, opened, ended
 
 
 def read_structure(spark: SparkSession, target: str) -> DataFrame:
-    """(bundle_id, path) of the files the structure section lists, from its nesting."""
-    node = r'\A( {4,})<(file path|folder name)="([^"]*)"(?: /)?>\z'
-    value = F.col("value")
-    place = F.struct("file", "block", "pos")
-    lines = _lines(spark, target).where(value.rlike(node) | (value == STRUCTURE_END))
-    # Texts may repeat the end tag, but only after the real one.
-    ends = lines.where(value == STRUCTURE_END).groupBy("bundle_id").agg(F.min(place).alias("end"))
-    nodes = lines.join(ends, "bundle_id").where(value.rlike(node) & (place < F.col("end"))).select(
-        *_SPLIT,
-        "pos",
-        ((F.length(F.regexp_extract(value, node, 1)) - 4) / 2).cast("int").alias("depth"),
-        (F.regexp_extract(value, node, 2) == "folder name").alias("is_folder"),
-        _unescape(F.regexp_extract(value, node, 3)).alias("name"),
-    )
-    deepest = nodes.agg(F.max("depth")).first()[0] or 0
-    opened = {
-        f"at_{d}": F.when(F.col("is_folder") & (F.col("depth") == d), F.col("name")) for d in range(deepest)
-    }
-    if opened:
-        nodes = _last_before(nodes, **opened)
-    above = [F.when(F.col("depth") > d, F.col(f"at_{d}")) for d in range(deepest)]
-    return nodes.where(~F.col("is_folder")).select("bundle_id", F.concat_ws("/", *above, F.col("name")).alias("path"))
+    """(bundle_id, path) of the files the structure section lists, from its nesting.
+
+    The files of a document are streamed once, in tasks of their own. Each comes down to how many folders it closes that others
+    opened and which it leaves open; these summaries, one row per file, are composed in order and give the folders that are open where
+    a file begins. Depth costs nothing but the length of a list.
+    """
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["bundle_id", "number", "closed", "names", "ended"]
+        types = [pa.string(), pa.int64(), pa.int32(), pa.list_(pa.string()), pa.bool_()]
+
+        def batch(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
+
+        rows = []
+        for incoming in batches:
+            for bundle, uri, number in zip(*[incoming[c].to_pylist() for c in ("bundle_id", "file", "number")]):
+                files, path = open_uri(uri)
+                with files.open_input_stream(path) as stream:
+                    for step in structure_steps(io.TextIOWrapper(stream, encoding="utf-8", newline="\n")):
+                        rows.append((bundle, number, *step))
+                        if len(rows) >= 20_000:
+                            yield batch(rows)
+                            rows = []
+        if rows:
+            yield batch(rows)
+
+    def compose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bundle, stack, ended = None, [], False
+        for incoming in batches:
+            rows = []
+            for this, number, closed, opened, ends in zip(*[c.to_pylist() for c in incoming.columns]):
+                if this != bundle:
+                    bundle, stack, ended = this, [], False
+                if not ended:
+                    rows.append((this, number, stack))
+                    stack = stack[: len(stack) - closed] + opened
+                    ended = ends
+            columns = list(zip(*rows)) or [(), (), ()]
+            types = [pa.string(), pa.int64(), pa.list_(pa.string())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["bundle_id", "number", "before"])
+
+    name = F.regexp_extract("file", r"[^/]*\z", 0)
+    parts = written_files(spark, target).select("bundle_id", "file", part_number(name).alias("number"))
+    steps = stage(parts.mapInArrow(scan, "bundle_id string, number bigint, closed int, names array<string>, ended boolean"))
+    ends = steps.where("ended IS NOT NULL").repartition("bundle_id").sortWithinPartitions("bundle_id", "number")
+    begins = ends.mapInArrow(compose, "bundle_id string, number bigint, before array<string>")
+    listed = steps.where("ended IS NULL").join(begins, ["bundle_id", "number"])
+    above = F.slice("before", F.lit(1), F.size("before") - F.col("closed"))
+    return listed.select("bundle_id", F.array_join(F.concat(above, "names"), "/").alias("path"))

@@ -19,14 +19,14 @@ from sheafspark.sources.bundles import document_order, read_bundles, read_struct
 CONTENTS = {
     "plain.txt": "alpha\nbeta\n",
     "dir/empty.txt": "",
-    "dir/cdata.txt": "before]]>middle]]>after",
-    "dir/only.txt": "]]>",
+    "dir/cdata.txt": "x]]>y]]]>z]]>",
+    "dir/ends.txt": "]]]]>]]>",
     "dir/markup.xml": "<a b='c'>&amp;</a>\n</file>\n<file path=\"x\" size=\"1\" lines=\"1\"/>",
     "dir/sub/mixed.txt": "a\r\nb\rc\n",
     "dir/sub/words.txt": "日本語 Русский العربية 😀\n",
     "dir/sub/deep/png.bin": b"\x89PNG\r\n\x1a\n\0",
     "bad.txt": "before\x0bafter",
-    "del.txt": "sparse \x7f text",
+    "del.txt": "one \x7f of many bytes here",
     "file<&\"'.txt": "odd name",
     "line\nfeed.txt": "lf",
     "carriage\rreturn.txt": "cr",
@@ -77,31 +77,31 @@ def test_document_survives_a_real_parser(spark, make_files):
 
 
 def test_structure_lists_files_before_folders(spark, make_files):
-    files = make_files({p: "" for p in ("src/nested/deep/f4", "src/nested/f3", "file1", "src/f2", "zfile")})
+    files = make_files({p: "" for p in ("kiln/ash/ember/coal", "kiln/ash/soot", "brick", "kiln/zinc", "wall")})
     rows = tree.structure_rows(files).orderBy("sort_key").collect()
     assert [r.line.strip() for r in rows] == [
-        '<file path="file1" />', '<file path="zfile" />', '<folder name="src">', '<file path="f2" />',
-        '<folder name="nested">', '<file path="f3" />', '<folder name="deep">', '<file path="f4" />',
+        '<file path="brick" />', '<file path="wall" />', '<folder name="kiln">', '<file path="zinc" />',
+        '<folder name="ash">', '<file path="soot" />', '<folder name="ember">', '<file path="coal" />',
         "</folder>", "</folder>", "</folder>",
     ]
-    assert rows[5].line == '        <file path="f3" />'
+    assert rows[5].line == '        <file path="soot" />'
 
 
 def test_tree_tables(spark, make_files):
-    files = make_files({"file1.txt": "a", "src/file2.rs": "bb", "src/nested/file3.rs": "c", "src/nested/deep/file4.rs": "d"})
+    files = make_files({"oak": "a", "moss/fern.c": "bb", "moss/bog/reed.c": "c", "moss/bog/peat/turf.c": "d"})
     nodes = tree.tree_nodes(files)
     got = {(r.parent_path, r.name, r.kind, r.depth) for r in nodes.collect()}
     assert got == {
-        ("", "file1.txt", "file", 0), ("", "src", "folder", 0), ("src", "file2.rs", "file", 1), ("src", "nested", "folder", 1),
-        ("src/nested", "file3.rs", "file", 2), ("src/nested", "deep", "folder", 2), ("src/nested/deep", "file4.rs", "file", 3),
+        ("", "oak", "file", 0), ("", "moss", "folder", 0), ("moss", "fern.c", "file", 1), ("moss", "bog", "folder", 1),
+        ("moss/bog", "reed.c", "file", 2), ("moss/bog", "peat", "folder", 2), ("moss/bog/peat", "turf.c", "file", 3),
     }
     sizes = {r.node_path: (r.n_files, r["size"]) for r in tree.directory_rollup(files, "size").collect()}
-    assert sizes == {"": (4, 5), "src": (3, 4), "src/nested": (2, 2), "src/nested/deep": (1, 1)}
+    assert sizes == {"": (4, 5), "moss": (3, 4), "moss/bog": (2, 2), "moss/bog/peat": (1, 1)}
     assert {(r.parent_path, r.n_files, r.n_folders) for r in tree.folder_sizes(nodes).collect()} == {
-        ("", 1, 1), ("src", 1, 1), ("src/nested", 1, 1), ("src/nested/deep", 1, 0),
+        ("", 1, 1), ("moss", 1, 1), ("moss/bog", 1, 1), ("moss/bog/peat", 1, 0),
     }
-    assert {(r.kind, r.name) for r in tree.children(nodes).where("parent_path = 'src'").collect()} == {
-        ("file", "file2.rs"), ("folder", "nested"),
+    assert {(r.kind, r.name) for r in tree.children(nodes).where("parent_path = 'moss'").collect()} == {
+        ("file", "fern.c"), ("folder", "bog"),
     }
     ranked = tree.largest_folders(tree.directory_rollup(files, "size"), "size", 1).collect()
     top = max(size for node, (_, size) in sizes.items() if node)
@@ -159,6 +159,7 @@ def test_read_back_takes_entries_only(spark, make_files):
 @pytest.mark.parametrize("split_bytes", [None, 700])
 def test_structure_and_comments_are_read_over_splits(spark, make_files, split_bytes):
     paths = [f"d{i % 3}/e{i % 5}/f{i}.txt" for i in range(60)] + ["top.txt", "d1/side.txt", "d&1/<q>.txt", "d1\nx/y"]
+    paths.append("/".join(f"n{i}" for i in range(40)) + "/deep.txt")
     contents = {p: "text\n" for p in paths}
     contents["tricky.txt"] = (
         '  </repository_structure>\n    <file path="no" />\n    <folder name="no">\n'

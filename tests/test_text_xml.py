@@ -18,11 +18,11 @@ def column(spark, values, *exprs):
 
 
 LINE_CASES = [
-    ("alpha\nbeta\ngamma\n", 3, "1  alpha\n2  beta\n3  gamma\n"),
-    ("alpha\r\nbeta\r\ngamma\r\n", 3, "1  alpha\n2  beta\n3  gamma\n"),
-    ("alpha\rbeta\rgamma\n", 3, "1  alpha\n2  beta\n3  gamma\n"),
+    ("so it\r\nmixes\rall\nkinds", 4, "1  so it\n2  mixes\n3  all\n4  kinds\n"),
+    ("\r\r\n\r", 3, "1  \n2  \n3  \n"),
+    ("ends with CR LF\r\n", 1, "1  ends with CR LF\n"),
     ("", 0, ""),
-    ("Line 1\nLine 2\nLine 3", 3, "1  Line 1\n2  Line 2\n3  Line 3\n"),
+    ("no end", 1, "1  no end\n"),
     ("\n", 1, "1  \n"),
     ("a\n\n", 2, "1  a\n2  \n"),
     ("\n\nx", 3, "1  \n2  \n3  x\n"),
