@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from catalogue import corpora as C
 from catalogue.sql import quoted, with_
 from sheafspark.functions import bytes as B
 from sheafspark.operators.classify import classification_profile, classification_rollup, classify
-from sheafspark.operators.decode import conversion_report, decode_files, decode_metrics
+from sheafspark.operators.decode import conversion_report, decode_files, decode_metrics, observe_decoding
 from sheafspark.sources.tables import from_table
 
 
@@ -138,11 +139,11 @@ SENTENCES = (
 
 
 def legacy_charsets(spark, sf):
-    """The plain letters of every document behind a sentence in one of the legacy charsets."""
+    """Every document behind a sentence in one of the legacy charsets; what is not ASCII, and so not in all of them, becomes a mark."""
     docs = C.table(spark, sf, "documents", "doc_id")
     encoded = F.array(*[F.lit(sentence.encode(codec)) for _, codec, sentence in SENTENCES])
     start = F.element_at(encoded, (F.col("doc_id") % len(SENTENCES) + 1).cast("int"))
-    plain = F.encode(F.regexp_replace("text", r"[^\x00-\x7f]", ""), "UTF-8")
+    plain = F.encode(F.regexp_replace("text", r"[^\x00-\x7f]", "_"), "UTF-8")
     files = from_table(docs, F.col("source"), F.col("doc_id").cast("string"), F.concat(start, plain))
     decoded = decode_files(classify(files, True), True)
     return decoded.select("path", "decode_class", "source_encoding", "had_replacements", F.md5("text").alias("text_md5"))
@@ -228,6 +229,13 @@ def metrics_off(spark, sf):
     return decode_metrics(_decoded(spark, sf, False))
 
 
+def observed_decoding(spark, sf):
+    """The counters of a whole run, taken along while its texts are written."""
+    seen = Observation("decoding")
+    observe_decoding(_decoded(spark, sf, True), seen).write.format("noop").mode("overwrite").save()
+    return spark.createDataFrame([seen.get], "valid_files bigint, valid_bytes bigint, transcoded_files bigint, transcoded_bytes bigint")
+
+
 QUERIES = {
     "bom_profile": bom_profile,
     "nul_flags": nul_flags,
@@ -250,6 +258,7 @@ QUERIES = {
     "conversion_report": conversions,
     "decode_metrics": metrics_on,
     "decode_metrics_off": metrics_off,
+    "observed_decoding": observed_decoding,
 }
 
 _BYTES = with_(C.BYTES)
@@ -334,7 +343,7 @@ FROM documents WHERE doc_id % 3 = 0""",
     "legacy_charsets": f"""
 SELECT CAST(doc_id AS VARCHAR) AS path, 'transcoded' AS decode_class,
   {_pick([label for label, _, _ in SENTENCES])} AS source_encoding, false AS had_replacements,
-  md5({_pick([sentence for _, _, sentence in SENTENCES])} || regexp_replace(text, '[^\\x00-\\x7f]', '', 'g')) AS text_md5
+  md5({_pick([sentence for _, _, sentence in SENTENCES])} || regexp_replace(text, '[^\\x00-\\x7f]', '_', 'g')) AS text_md5
 FROM documents""",
     "binary_starts": f"SELECT CAST(doc_id AS VARCHAR) AS path, {_pick([mime for mime, _ in STARTS])} AS mime FROM documents",
     "malformed_bom_on": _bad_bom_sql(True),
@@ -349,6 +358,11 @@ FROM byte_files WHERE encoding_on IS NOT NULL""",
   count(*) FILTER (k IN (2, 3, 12)) AS transcoded_files,
   CAST(coalesce(sum(size) FILTER (k IN (2, 3, 12)), 0) AS BIGINT) AS transcoded_bytes
 FROM byte_files GROUP BY bundle_id""",
+    "observed_decoding": _BYTES
+    + """SELECT count(*) FILTER (k NOT IN (2, 3, 4, 5, 6, 7, 12)) AS valid_files,
+  CAST(coalesce(sum(size) FILTER (k NOT IN (2, 3, 4, 5, 6, 7, 12)), 0) AS BIGINT) AS valid_bytes,
+  count(*) FILTER (k IN (2, 3, 12)) AS transcoded_files,
+  CAST(coalesce(sum(size) FILTER (k IN (2, 3, 12)), 0) AS BIGINT) AS transcoded_bytes FROM byte_files""",
     "decode_metrics_off": _BYTES
     + """SELECT bundle_id,
   count(*) FILTER (k NOT IN (2, 3, 4, 5, 6, 7, 12)) AS valid_files,
