@@ -39,6 +39,8 @@ SEGMENT, SEGMENT_BYTES = 256, 1 << 22
 #: Bounds of the grammar. It only decides how much work is shared: any grammar gives the same repairs.
 ROUNDS, RULES = 8, 192
 CHUNK_BYTES = 1 << 20
+#: Short hashes of possible repeats that are sent to all tasks, at most.
+BROADCAST_REPEATS = 100_000
 
 START, SYSTEM, USER, ASSISTANT = range(4)
 STATES = range(4)
@@ -70,17 +72,22 @@ def damage(rows: DataFrame) -> DataFrame:
 def _ordered(damaged: DataFrame) -> DataFrame:
     """Rows in order over all partitions, each repeat of an earlier turn's text led by a marker (copies null).
 
-    A conversation may be spread over many partitions, so whether a text was seen earlier is found by its hash, on narrow rows.
+    A conversation may be spread over many partitions, so whether a text was seen earlier is found by its hash, on narrow rows: a short
+    hash finds the few that may be repeats, and only these are compared by the long one.
     """
     trimmed = F.rtrim(F.col("text"), F.lit(_SPACES))
     ends = F.substring(trimmed, -1, 1)
-    rows = damaged.select(
-        "*",
-        F.unhex(F.sha2("text", 256)).alias("hash"),
-        (trimmed == "").alias("blank"),
-        (~ends.isin(".", "!", "?")).alias("truncated"),
-    )
-    narrow = rows.where("copies > 0 AND NOT blank").select("conv_id", "role", "hash", "turn")
+    hashed = F.unhex(F.sha2("text", 256)).alias("hash")
+    rows = damaged.select("*", hashed, (trimmed == "").alias("blank"), (~ends.isin(".", "!", "?")).alias("truncated"))
+    known = damaged.where("copies > 0").withColumn("short", F.xxhash64("role", "text"))
+    again = stage(known.groupBy("conv_id", "short").agg(F.count("*").alias("n")).where("n > 1").drop("n"))
+    may = F.col("k.conv_id").eqNullSafe(F.col("c.conv_id")) & (F.col("k.short") == F.col("c.short"))
+    if again.limit(BROADCAST_REPEATS + 1).count() <= BROADCAST_REPEATS:
+        repeats = known.alias("k").join(F.broadcast(again).alias("c"), may, "left_semi").where(trimmed != "").select("conv_id", "role", hashed, "turn")
+    else:  # no text moves
+        thin = known.where(trimmed != "").select("conv_id", "role", hashed, "turn", "short")
+        repeats = thin.alias("k").join(again.alias("c"), may, "left_semi").drop("short")
+    narrow = stage(repeats)
     first = narrow.groupBy("conv_id", "role", "hash").agg(
         F.min("turn").alias("least"), F.max("turn").alias("most"), F.max(F.col("turn").isNull()).alias("unnumbered")
     )

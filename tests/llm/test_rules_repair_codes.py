@@ -188,8 +188,9 @@ def turns_of(spark, rows):
     return spark.createDataFrame([(*r, 1, 2, 3, 4) for r in rows], TURNS)
 
 
-@pytest.mark.parametrize("segment", [256, 3, 1])
-def test_repairs_are_those_of_brute_force(spark, segment):
+@pytest.mark.parametrize(("segment", "sent"), [(256, 100_000), (3, 0), (1, 100_000)])
+def test_repairs_are_those_of_brute_force(spark, segment, sent, monkeypatch):
+    monkeypatch.setattr(convrepair, "BROADCAST_REPEATS", sent)
     rows = made_turns(1, 600, [None, *range(60)]) + made_turns(2, 500, [1000]) + [(2000, 1, "user", "x" * 200_000 + "."), (2000, 2, "assistant", "y.")]
     got = convrepair.repair_conversations(convrepair.damage(turns_of(spark, rows).repartition(5)), segment).collect()
     want = plain_conversations(rows)
