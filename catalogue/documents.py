@@ -228,7 +228,8 @@ def compression_profile(spark, sf):
 
 def _stream(spark, sf):
     schema = spark.read.parquet(f"{sf}/conversations.parquet").schema
-    arriving = spark.readStream.schema(schema).option("pathGlobFilter", "conversations.parquet").parquet(sf)
+    # A pattern, as a stream takes a plain path for a folder: the table may be one file or a folder of parts.
+    arriving = spark.readStream.schema(schema).parquet(f"{sf}/{{conversations.parquet}}")
     path = F.concat(F.lit("turn_"), F.col("turn").cast("string"), F.lit("_"), F.col("role"), F.lit(".txt"))
     return C.from_table(arriving, F.col("conv_id"), path, F.col("text"))
 

@@ -8,6 +8,7 @@ from xml.etree import ElementTree
 import pytest
 from pyspark.sql import functions as F
 
+from catalogue import documents as catalogue
 from sheafspark.operators import document, metrics, tree
 from sheafspark.operators.entries import diagnostics, render_entries
 from sheafspark.options import BundleOptions
@@ -272,3 +273,15 @@ def test_bundles_need_names(spark, make_files):
     rows = document.document_rows(entries_of(make_files({"a": "x"}, bundle="")))
     with pytest.raises(Exception, match="without a name"):
         write_bundles(rows, shared_dir(spark))
+
+
+def test_streams_of_a_table_in_parts(spark, tmp_path):
+    """A table is one file or a folder of files; both arrive whole."""
+    rows = [(c, t, "user", f"text {c}\n{t}") for c in range(4) for t in range(3)]
+    table = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    table.repartition(3).write.parquet(f"{tmp_path}/parts/conversations.parquet")
+    table.toPandas().to_parquet(tmp_path / "conversations.parquet")
+    for sf in (f"{tmp_path}/parts", f"{tmp_path}"):
+        assert catalogue.streamed_entries(spark, sf).count() == 12
+        totals = catalogue.streamed_totals(spark, sf).collect()
+        assert sorted((r.bundle_id, r.n_files, r.n_lines) for r in totals) == [(str(c), 3, 6) for c in range(4)]
