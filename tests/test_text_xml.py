@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sheafspark.functions import bytes as B
 from sheafspark.functions import text as L
 from sheafspark.functions import xml as X
+from sheafspark.operators.lines import line_stats
 
 
 def column(spark, values, *exprs):
@@ -105,3 +106,20 @@ def test_density_like_python(spark, values):
     control = set(range(1, 9)) | {11, 12} | set(range(14, 32)) | {127}
     for content, row in zip(values, rows):
         assert row.d == (sum(b in control for b in content) / len(content) if content else 0.0)
+
+
+def test_line_stats_are_exact(spark):
+    """More different values than an approximate percentile keeps; null sizes are counted as files only."""
+    n = 60_001
+    files = spark.range(n).selectExpr(
+        "'text' AS disposition", "IF(id % 2 = 0, 'a', NULL) AS kind", "CAST(id * 7919 % 60001 AS int) AS lines", "IF(id = 0, NULL, id * 104729 % 60001) AS size"
+    )
+    rows = {r.kind: r for r in line_stats(files, "kind").collect()}
+    for kind, first in (("a", 0), (None, 1)):
+        lines = sorted(i * 7919 % 60001 for i in range(first, n, 2))
+        sizes = sorted(i * 104729 % 60001 for i in range(first, n, 2) if i)
+        r = rows[kind]
+        assert (r.n_files, r.n_lines, r.max_lines, r.n_bytes, r.max_bytes) == (len(lines), sum(lines), lines[-1], sum(sizes), sizes[-1])
+        assert (r.median_lines, r.p90_lines) == (lines[-(-len(lines) // 2) - 1], lines[-(-9 * len(lines) // 10) - 1])
+        assert (r.median_bytes, r.p90_bytes) == (sizes[-(-len(sizes) // 2) - 1], sizes[-(-9 * len(sizes) // 10) - 1])
+        assert abs(r.avg_lines - sum(lines) / len(lines)) < 1e-9
