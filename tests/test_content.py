@@ -175,3 +175,10 @@ def test_metrics_and_report(make_files):
     seen = Observation()
     assert observe_decoding(decoded, seen).count() == 5
     assert seen.get == {"valid_files": 1, "valid_bytes": 2, "transcoded_files": 1, "transcoded_bytes": 6}
+
+
+def test_high_bytes_that_are_no_shift_jis():
+    """Python's cp932 has characters for A0 and FD to FF; the charset has none."""
+    text = "ASÍÍCO"
+    for byte in (b"\xa0", b"\xfd", b"\xfe", b"\xff"):
+        assert detect_legacy(text.encode() + byte)[0] == "windows-1252"
