@@ -182,3 +182,14 @@ def test_high_bytes_that_are_no_shift_jis():
     text = "ASÍÍCO"
     for byte in (b"\xa0", b"\xfd", b"\xfe", b"\xff"):
         assert detect_legacy(text.encode() + byte)[0] == "windows-1252"
+
+
+def test_jis_that_does_not_return_to_single_bytes(make_files):
+    """An escape before a word of even length: two-byte codes by chance, but the line does not end as JIS does."""
+    broken = [b"\x1b$BAndththwhes.", b"\x1b$@A.", b"\x1b$BA.\nThis is text.", b"\x1b(B\x1b$BA.\n\x1b(B"]
+    assert [detect_iso2022jp(content) for content in broken] == [None] * 4
+    for row, content in zip(run(make_files, broken, True), broken):
+        assert (row.text, row.source_encoding, row.decode_class) == (content.decode(), None, "valid")
+    sound = "日本\n".encode("iso2022_jp")
+    assert detect_iso2022jp(sound) == "日本\n"
+    assert detect_iso2022jp("日本".encode("iso2022_jp")) == "日本"
