@@ -3,6 +3,7 @@
 A chunk begins and ends at a character's border, at most three bytes after its nominal place, and looks one byte
 further, so neither a UTF-8 sequence nor CR LF falls between two chunks. Its summary therefore needs no other chunk, and
 the summary of a file is a plain sum over its chunks in any order: one aggregate, combined before the shuffle.
+Neighbouring small chunks travel as one row, a span, and are read from one open file; each is still measured on its own.
 No cell ever holds more than the start of a file.
 """
 
@@ -19,6 +20,10 @@ from sheafspark.session import attach
 from sheafspark.sources.corpus import TASK_BYTES, open_uri, said
 
 CHUNK_BYTES = 64 * 1024 * 1024
+# Chunks below these sizes go together: in one row, and in one read.
+SPAN_BYTES, READ_BYTES = 64 * 1024 * 1024, 1024 * 1024
+# A task hands over a batch of summaries when it has this many; each may hold the start of a file.
+_BATCH_ROWS = 1000
 
 _SUMMARY = (
     "bundle_id string, path string, size bigint, first boolean, head binary, n_bytes bigint, n_nul bigint, "
@@ -29,12 +34,15 @@ _JIS = tuple(bytes.fromhex(e) for e in B.JIS_ESCAPES)
 _LONGEST_ESCAPE = max(map(len, _JIS))
 
 
-def chunk_rows(listing: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """(bundle_id, path, size, uri, list_error, start): one row per chunk, one for an empty or unlisted file."""
+def span_rows(listing: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """(bundle_id, path, size, uri, list_error, start, stop): neighbouring chunks of a file, whole ones but for its last; one row for an empty or unlisted file."""
     failed = F.col("list_error") if "list_error" in listing.columns else F.lit(None).cast("string")
-    last = F.expr(f"greatest(0, (coalesce(size, 0) - 1) div {chunk_bytes})")
-    starts = F.transform(F.sequence(F.lit(0).cast("long"), last), lambda i: i * chunk_bytes)
-    return listing.select("bundle_id", "path", "size", "uri", failed.alias("list_error"), F.explode(starts).alias("start"))
+    span = max(1, SPAN_BYTES // chunk_bytes) * chunk_bytes
+    size = F.coalesce("size", F.lit(0).cast("long"))
+    last = F.expr(f"greatest(0, (coalesce(size, 0) - 1) div {span})")
+    starts = F.transform(F.sequence(F.lit(0).cast("long"), last), lambda i: i * span)
+    spans = listing.select("bundle_id", "path", "size", "uri", failed.alias("list_error"), F.explode(starts).alias("start"))
+    return spans.withColumn("stop", F.least(F.col("start") + span, size))
 
 
 def _border(data: bytes) -> int:
@@ -67,8 +75,34 @@ def measure(data: bytes, after: bytes) -> tuple[int, int, int, bool, bool]:
     return data.count(b"\0"), controls, ends, jis, data.isascii() or _is_utf8(data)
 
 
-def chunk_summaries(chunks: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """One summary row per chunk."""
+def _measure_span(stream, start: int, stop: int, size: int, chunk_bytes: int) -> dict:
+    """The sums over the chunks that begin from ``start`` up to ``stop``."""
+    beyond = 3 + _LONGEST_ESCAPE
+    step = max(1, READ_BYTES // chunk_bytes) * chunk_bytes
+    head, total, jis, valid, open_end = None, [0, 0, 0, 0], False, True, False
+    for at in range(start, max(stop, start + 1), step):
+        stream.seek(at)
+        wanted = min(step, max(stop - at, 0)) + beyond
+        block = stream.read(wanted if at else max(wanted, B.PROBE_BYTES))
+        if not at:
+            head = block[: B.PROBE_BYTES]
+        for offset in range(0, max(min(step, stop - at), 1), chunk_bytes):
+            data = block[offset : offset + min(chunk_bytes, max(size - at - offset, 0)) + beyond]
+            begin = _border(data[:3]) if at + offset else 0
+            end = min(chunk_bytes, len(data))
+            end += _border(data[end : end + 3])
+            body = data[begin:end]
+            nul, control, lines, has_jis, is_valid = measure(body, data[end:])
+            total = [total[0] + len(body), total[1] + nul, total[2] + control, total[3] + lines]
+            jis, valid = jis or has_jis, valid and is_valid
+            if at + offset + end >= size:
+                open_end = open_end or body[-1:] not in (b"", b"\n", b"\r")
+    names = ("n_bytes", "n_nul", "n_control", "n_lines")
+    return {"head": head, **dict(zip(names, total)), "jis": jis, "valid_utf8": valid, "open_end": open_end}
+
+
+def span_summaries(spans: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """One summary row per span."""
 
     def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrow = pa.schema(
@@ -80,34 +114,22 @@ def chunk_summaries(chunks: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFr
         )
 
         def made(row: dict) -> dict:
-            start, size = row["start"], row["size"] or 0
-            out = {k: row[k] for k in ("bundle_id", "path", "size")} | {"first": start == 0, "read_error": row["list_error"]}
+            out = {k: row[k] for k in ("bundle_id", "path", "size")} | {"first": row["start"] == 0, "read_error": row["list_error"]}
             if row["list_error"]:
                 return out
             try:
                 files, path = open_uri(row["uri"])
                 with files.open_input_file(path) as stream:
-                    stream.seek(start)
-                    nominal = min(chunk_bytes, max(size - start, 0)) + 3 + _LONGEST_ESCAPE
-                    data = stream.read(nominal if start else max(nominal, B.PROBE_BYTES))
+                    return out | _measure_span(stream, row["start"], row["stop"], row["size"] or 0, chunk_bytes)
             except OSError as failure:
                 return out | {"read_error": said(failure)}
-            begin = _border(data[:3]) if start else 0
-            end = min(chunk_bytes, len(data))
-            end += _border(data[end : end + 3])
-            body, after = data[begin:end], data[end:]
-            nul, control, lines, jis, valid = measure(body, after)
-            is_last = start + end >= size
-            return out | {
-                "head": None if start else data[: B.PROBE_BYTES], "n_bytes": len(body), "n_nul": nul, "n_control": control,
-                "n_lines": lines, "jis": jis, "valid_utf8": valid, "open_end": is_last and body[-1:] not in (b"", b"\n", b"\r"),
-            }
 
         for batch in batches:
-            for row in batch.to_pylist():
-                yield pa.RecordBatch.from_pylist([made(row)], arrow)
+            for at in range(0, batch.num_rows, _BATCH_ROWS):
+                rows = batch.slice(at, _BATCH_ROWS).to_pylist()
+                yield pa.RecordBatch.from_pylist([made(row) for row in rows], arrow)
 
-    return chunks.mapInArrow(summarise, _SUMMARY)
+    return spans.mapInArrow(summarise, _SUMMARY)
 
 
 def measure_files(listing: DataFrame, utf8: bool = False, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
@@ -117,12 +139,12 @@ def measure_files(listing: DataFrame, utf8: bool = False, chunk_bytes: int = CHU
     what was read. ``lines`` is null for UTF-16, whose line ends are not single bytes. An unreadable chunk
     makes its file unreadable.
     """
-    chunks = chunk_rows(listing, chunk_bytes)
+    spans = span_rows(listing, chunk_bytes)
     total = listing.agg(F.count("*").alias("n"), F.sum("size").alias("bytes")).first()
     tasks = max(-(-(total["bytes"] or 0) // TASK_BYTES), min(total["n"], listing.sparkSession.sparkContext.defaultParallelism), 1)
-    spread = chunks.repartition(tasks, "bundle_id", "path", "start")
+    spread = spans.repartition(tasks, "bundle_id", "path", "start")
     sums = (
-        chunk_summaries(spread, chunk_bytes)
+        span_summaries(spread, chunk_bytes)
         .groupBy("bundle_id", "path")
         .agg(
             F.sum("n_bytes").alias("size"),

@@ -13,6 +13,7 @@ from sheafspark.operators.diff import diff_snapshots, diff_summary, numbered
 from sheafspark.plans.pack import entries_of
 from sheafspark.session import shared_dir
 from sheafspark.sources import corpus
+from sheafspark.sources import chunks
 from sheafspark.sources.chunks import measure, measure_files
 from sheafspark.sources.corpus import content_reader, list_corpus, read_contents, read_corpus
 from sheafspark.streaming.corpus import ScanReader, arriving_paths, watch_corpus
@@ -153,6 +154,25 @@ def test_chunks_add_up_to_the_whole(spark, tmp_path, chunk):
             assert (r.binary_reason, r.binary_detail, r.bom, r.iso2022jp_candidate) == (w.binary_reason, w.binary_detail, w.bom, w.iso2022jp_candidate), r.path
 
 
+def test_small_chunks_share_rows_and_reads(spark, tmp_path, monkeypatch):
+    """One open file for neighbouring chunks; spans and reads end anywhere and change nothing."""
+    text = "a line é 日本 \U0001f600\r\nnext\rlast\n\x1b$B" * 300
+    root = plant(tmp_path / "in", {"f": text, "empty": ""})
+    listing = list_corpus(spark, root)
+    assert chunks.span_rows(listing, 97).count() == 2
+    size, lines, valid = plain_measure(text.encode())
+    for span, read in ((chunks.SPAN_BYTES, chunks.READ_BYTES), (1000, 300), (97, 97), (64, 10)):
+        with monkeypatch.context() as m:
+            m.setattr(chunks, "SPAN_BYTES", span)
+            assert chunks.span_rows(listing.where("path = 'f'"), 97).count() == -(-size // (max(1, span // 97) * 97))
+            with open(f"{root}/f", "rb") as stream:
+                m.setattr(chunks, "READ_BYTES", read)
+                found = chunks._measure_span(stream, 0, size, size, 97)
+                assert (found["n_bytes"], found["n_lines"] + found["open_end"], found["valid_utf8"], found["jis"]) == (size, lines, valid, True)
+            (row,) = [r for r in measure_files(listing, True, 97).collect() if r.path == "f"]
+            assert (row["size"], row.lines, row.valid_utf8) == (size, lines, valid)
+
+
 def test_a_file_above_two_gibibytes(spark, tmp_path):
     big = tmp_path / "in" / "big.txt"
     plant(tmp_path / "in", {"big.txt": "first line\n", "small.txt": "x\n"})
