@@ -4,16 +4,21 @@ from __future__ import annotations
 
 import base64
 import os
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import SparkFiles
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+# What an encoder gets at a time: its results take many times the bytes of the texts.
+SLICE_BYTES = 256 * 1024
+
+
 @dataclass(frozen=True)
 class Vocabulary:
     """A vocabulary file. ``kind`` is 'tiktoken', 'huggingface' or 'sentencepiece'.
@@ -73,15 +78,29 @@ def _counter(vocabulary: Vocabulary, special: str) -> Callable[[list[str]], list
 
         tokenizer = Tokenizer.from_file(path)
         tokenizer.encode_special_tokens = special != "all"
-        return lambda texts: [len(e) for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+        # Results without offsets, of one text at a time: those of a whole batch would be held together.
+        return lambda texts: [len(e) for t in texts for e in tokenizer.encode_batch_fast([t], add_special_tokens=False)]
     if vocabulary.kind == "sentencepiece":
         import sentencepiece
 
         processor = sentencepiece.SentencePieceProcessor(model_file=path)
-        return lambda texts: [len(ids) for ids in processor.encode(texts, num_threads=1)]
+        return lambda texts: [len(processor.encode(t)) for t in texts]
     raise ValueError(f"unknown vocabulary kind {vocabulary.kind!r}")
 
 
+def slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[pa.Array]:
+    """The array in runs of at most so many bytes, but one value at least, so that few values are Python objects at a time."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
+    start = held = 0
+    for i, size in enumerate(sizes):
+        if held and held + size > most:
+            yield texts.slice(start, i - start)
+            start, held = i, 0
+        held += size
+    if start < len(sizes):
+        yield texts.slice(start)
+
+
 def token_counter(vocabulary: Vocabulary, special: str = "all"):
     """Arrow UDF text -> number of tokens; null stays null.
 
@@ -94,8 +113,11 @@ def token_counter(vocabulary: Vocabulary, special: str = "all"):
     @F.arrow_udf(T.LongType())
     def n_tokens(texts: pa.Array) -> pa.Array:
         count = _counter(vocabulary, special)
-        values = texts.to_pylist()
-        counts = iter(count([v for v in values if v is not None]))
-        return pa.array([None if v is None else next(counts) for v in values], pa.int64())
+        found = []
+        for part in slices(texts):
+            values = part.to_pylist()
+            counts = iter(count([v for v in values if v is not None]))
+            found += [None if v is None else next(counts) for v in values]
+        return pa.array(found, pa.int64())
 
     return n_tokens

@@ -2,6 +2,9 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
+import pyarrow as pa
+
+from sheafspark.functions.tokens import slices
 from sheafspark.functions.tokens import Vocabulary, _counter, token_counter
 from sheafspark.operators import document, tokens
 from sheafspark.options import BundleOptions
@@ -102,3 +105,12 @@ def test_comparison_and_overhead(spark, make_files):
     assert got["byte_bpe_50k"] == got["byte_bpe_50k_json"] and got["byte_bpe_50k"][0] == 2
     row = tokens.token_overhead(entries, RANKS).first()
     assert row.plain_tokens == got["byte_bpe_50k"][1] < row.numbered_tokens < row.packed_tokens
+
+
+def test_encoders_get_few_texts_at_a_time():
+    """A batch is handed on in runs of bounded bytes; nulls and a text above the bound have their places."""
+    texts = pa.array(["a" * 100, None, "b" * 150, "é" * 400, "", None, "c" * 250, "d"])
+    parts = [part.to_pylist() for part in slices(texts, 300)]
+    assert [t for part in parts for t in part] == texts.to_pylist()
+    assert parts == [["a" * 100, None, "b" * 150], ["é" * 400], ["", None, "c" * 250, "d"]]
+    assert list(slices(pa.array([], pa.string()), 300)) == []
