@@ -4,19 +4,16 @@ from __future__ import annotations
 
 import base64
 import os
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import lru_cache
 
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import SparkFiles
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-
-# What an encoder gets at a time: its results take many times the bytes of the texts.
-SLICE_BYTES = 256 * 1024
+from sheafspark.functions.batches import slices
 
 
 @dataclass(frozen=True)
@@ -88,19 +85,6 @@ def _counter(vocabulary: Vocabulary, special: str) -> Callable[[list[str]], list
     raise ValueError(f"unknown vocabulary kind {vocabulary.kind!r}")
 
 
-def slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[pa.Array]:
-    """The array in runs of at most so many bytes, but one value at least, so that few values are Python objects at a time."""
-    sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
-    start = held = 0
-    for i, size in enumerate(sizes):
-        if held and held + size > most:
-            yield texts.slice(start, i - start)
-            start, held = i, 0
-        held += size
-    if start < len(sizes):
-        yield texts.slice(start)
-
-
 def token_counter(vocabulary: Vocabulary, special: str = "all"):
     """Arrow UDF text -> number of tokens; null stays null.
 
@@ -114,7 +98,7 @@ def token_counter(vocabulary: Vocabulary, special: str = "all"):
     def n_tokens(texts: pa.Array) -> pa.Array:
         count = _counter(vocabulary, special)
         found = []
-        for part in slices(texts):
+        for part in slices(texts):  # results take many times the bytes of the texts
             values = part.to_pylist()
             counts = iter(count([v for v in values if v is not None]))
             found += [None if v is None else next(counts) for v in values]

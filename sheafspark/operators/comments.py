@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sheafspark.functions.batches import slices
 from sheafspark.operators.classify import file_extension
 from sheafspark.session import stage
 
@@ -159,10 +160,14 @@ def strip_comments(texts: DataFrame) -> DataFrame:
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pairs = zip(batch.column("text").to_pylist(), batch.column("family").to_pylist())
-            done = [text if text is None or name is None else strip_text(name, text) for text, name in pairs]
-            kept = [batch.column(c) for c in ("bundle_id", "path", "text")]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(done, pa.string())], ["bundle_id", "path", "text", "stripped"])
+            start = 0
+            for texts in slices(batch.column("text")):
+                rows = batch.slice(start, len(texts))
+                start += len(texts)
+                pairs = zip(texts.to_pylist(), rows.column("family").to_pylist())
+                done = [text if text is None or name is None else strip_text(name, text) for text, name in pairs]
+                kept = [rows.column(c) for c in ("bundle_id", "path", "text")]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(done, pa.string())], ["bundle_id", "path", "text", "stripped"])
 
     rows = texts.select("bundle_id", "path", "text", family_of().alias("family"))
     return rows.mapInArrow(strip, "bundle_id string, path string, text string, stripped string")
