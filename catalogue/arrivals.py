@@ -25,8 +25,8 @@ def plant(files, folder):
         store, top = open_uri(folder)
         for batch in batches:
             paths = batch.column("path").to_pylist()
-            for path, content in zip(paths, batch.column("content").to_pylist()):
-                place = f"{top}/{path}"
+            for path, content in zip(paths, batch.column("content")):
+                place, content = f"{top}/{path}", content.as_py()
                 store.create_dir(place.rpartition("/")[0], recursive=True)
                 with store.open_output_stream(place, compression=None) as stream:
                     stream.write(content or b"")

@@ -24,7 +24,7 @@ from sheafspark.schemas import FILES, LISTING
 from sheafspark.session import stage
 
 # A reader task hands over a batch when it holds this many bytes.
-BATCH_BYTES = 32 * 1024 * 1024
+BATCH_BYTES = 4 * 1024 * 1024
 # What a cell of a table can hold, with room for what the operators add to it.
 CELL_BYTES = 1_900_000_000
 TOO_LARGE = "File is too large for one row"

@@ -5,6 +5,7 @@ import random
 import time
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -154,6 +155,14 @@ def test_chunks_add_up_to_the_whole(spark, tmp_path, chunk):
             assert (r.binary_reason, r.binary_detail, r.bom, r.iso2022jp_candidate) == (w.binary_reason, w.binary_detail, w.bom, w.iso2022jp_candidate), r.path
 
 
+def test_contents_are_handed_over_in_small_batches(tmp_path):
+    root = plant(tmp_path / "in", {f"f{i}": "x" * 2_500_000 for i in range(4)})
+    rows = [{"bundle_id": "b", "path": f"f{i}", "size": 2_500_000, "uri": f"{root}/f{i}", "list_error": None} for i in range(4)]
+    listing = pa.Table.from_pylist(rows).cast(pa.schema([("bundle_id", pa.string()), ("path", pa.string()), ("size", pa.int64()), ("uri", pa.string()), ("list_error", pa.string())]))
+    read, _ = content_reader()
+    assert [b.column("path").to_pylist() for b in read(iter(listing.to_batches()))] == [["f0", "f1"], ["f2", "f3"]]
+
+
 def test_small_chunks_share_rows_and_reads(spark, tmp_path, monkeypatch):
     """One open file for neighbouring chunks; spans and reads end anywhere and change nothing."""
     text = "a line é 日本 \U0001f600\r\nnext\rlast\n\x1b$B" * 300
