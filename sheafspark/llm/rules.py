@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from sheafspark.llm.buffers import SPACED, Words, find_words, hash_words, mix, row_sums, slices, text_of, window_hash
 
 WINDOW = 8
+# Texts measured at a time: words, hashes and windows take many times their bytes.
+RUN_BYTES = 512 * 1024
 
 MEASURES = (
     "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_letter_words", "n_unspaced",
@@ -118,7 +120,7 @@ def ledger(docs: DataFrame) -> DataFrame:
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows in slices(batch, "text"):
+            for rows in slices(batch, "text", RUN_BYTES):
                 found = measure_rows(rows.column("text"))
                 yield pa.RecordBatch.from_arrays(
                     [rows.column("doc_id"), *[pa.array(found[m].astype(np.int64)) for m in MEASURES]],

@@ -9,10 +9,12 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from sheafspark.llm import convrepair, urlrules, veccodes
+from sheafspark.llm import convrepair, rules, urlrules, veccodes
 
 # ---- op11
 
@@ -293,3 +295,25 @@ def test_dictionaries_give_the_values_back():
     shape = veccodes.Shape(8)
     grid = veccodes.integers(pa.array([[0.1, -0.1], [1.0] * 8, []], pa.list_(pa.float64())), shape)
     assert grid.tolist() == [[409, -410] + [0] * 6, [4096] * 8, [0] * 8]
+
+
+def test_ledger_measures_few_texts_at_a_time(spark):
+    """A batch of long texts leaves in several; every row once."""
+
+    class Rows:
+        schema = T.StructType([T.StructField("doc_id", T.LongType())])
+
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, function, columns):
+            self.measure = function
+            return self
+
+        def withColumn(self, name, value):
+            return self
+
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(6)), "text": ["one two three\n" * 30_000] * 6})
+    found = list(rules.ledger(Rows()).measure(iter([batch])))
+    assert len(found) == 6
+    assert [(i, n) for b in found for i, n in zip(b.column("doc_id").to_pylist(), b.column("n_words").to_pylist())] == [(i, 90_000) for i in range(6)]
