@@ -23,11 +23,15 @@ def plant(files, folder):
 
     def write(batches):
         store, top = open_uri(folder)
+        made = set()
         for batch in batches:
             paths = batch.column("path").to_pylist()
             for path, content in zip(paths, batch.column("content")):
                 place, content = f"{top}/{path}", content.as_py()
-                store.create_dir(place.rpartition("/")[0], recursive=True)
+                inside = place.rpartition("/")[0]
+                if inside not in made:
+                    store.create_dir(inside, recursive=True)
+                    made.add(inside)
                 with store.open_output_stream(place, compression=None) as stream:
                     stream.write(content or b"")
             yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string())], ["path"])

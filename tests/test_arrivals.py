@@ -122,6 +122,40 @@ def test_a_batch_run_again_replaces_itself(spark, make_files):
     assert {r.bundle_id for r in read_finished(spark, target).collect()} == {"x", "z"}
 
 
+def test_contents_are_written_once_before_they_are_rendered(spark, tmp_path, monkeypatch):
+    """Staged tables hold paths or document rows, no contents, and are planned by sizes as outside of a stream."""
+    from sheafspark.streaming import documents
+
+    staged = []
+
+    def stage(df):
+        staged.append((set(df.columns), df.sparkSession.conf.get("spark.sql.adaptive.enabled")))
+        return kept(df)
+
+    kept = documents.stage
+    monkeypatch.setattr(documents, "stage", stage)
+    root = plant(tmp_path / "in", {"one/a.txt": "1\n", "one/sub/b.txt": "2", "one/c.lock": "3", f"one/{MARKER}": "", "two/d": "4"})
+    target = shared_dir(spark)
+    write_finished(watch_corpus(spark, root, "children"), target, shared_dir(spark)).awaitTermination()
+    assert {(r.bundle_id, r.path, r.text) for r in read_finished(spark, target).collect()} == {("one", "a.txt", "1\n"), ("one", "sub/b.txt", "2")}
+    assert staged and not any(columns & {"content", "body"} for columns, _ in staged)
+    assert {adaptive for _, adaptive in staged} == {spark.conf.get("spark.sql.adaptive.enabled")}
+    assert late_files(spark, target).count() == 0
+
+
+def test_bad_names_keep_a_finished_bundle_out(spark, make_files):
+    from sheafspark.options import BundleOptions
+
+    both = make_files({"a\tb": "1", "c": "2", MARKER: ""}, "bad").unionByName(make_files({"d": "old", "e": "4"}, "good"))
+    with pytest.raises(ValueError, match="U\\+0009"):
+        write_batch(both, 0, shared_dir(spark))
+    target, options = shared_dir(spark), BundleOptions(on_bad_path="quarantine")
+    write_batch(both, 0, target, options)
+    write_batch(make_files({"d": "new", MARKER: ""}, "good"), 1, target, options)
+    got = Counter((r.bundle_id, r.path, r.text) for r in read_finished(spark, target).collect())
+    assert got == Counter([("good", "d", "new"), ("good", "e", "4")])
+
+
 # ---- files of any size
 
 
