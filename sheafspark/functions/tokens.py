@@ -4,17 +4,27 @@ from __future__ import annotations
 
 import base64
 import os
+import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import lru_cache
 
 import pyarrow as pa
 from pyspark import SparkFiles
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sheafspark.functions.batches import slices
 
+# One pattern in two spellings. No pre-token of it holds white space behind anything else.
+CUTTABLE = (
+    r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+",
+    r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s",
+)
+# The inside of a line: from the first to the last white space that follows a visible ASCII character.
+_INSIDE = r"(?<=[!-~]) [^\r\n]*[!-~](?=[ \r\n])"
+
 
 @dataclass(frozen=True)
 class Vocabulary:
@@ -39,6 +49,12 @@ class Vocabulary:
         if self.newline not in ("next", "previous"):
             raise ValueError("newline must be 'next' or 'previous'")
 
+    @property
+    def cuttable(self) -> bool:
+        """Whether a text may be cut wherever white space follows something else, so that the counts of the pieces add up."""
+        spaced = any(re.search(r"\s", token) for token, _ in self.special_tokens)
+        return self.kind == "tiktoken" and self.pattern in CUTTABLE and not spaced
+
     def local_path(self) -> str:
         if os.path.exists(self.path):
             return self.path
@@ -105,3 +121,12 @@ def token_counter(vocabulary: Vocabulary, special: str = "all"):
         return pa.array(found, pa.int64())
 
     return n_tokens
+
+
+def line_ends(text: Column) -> Column:
+    """The text without the insides of its lines, cut where a ``cuttable`` vocabulary allows it.
+
+    What is put before or behind lines changes its count as much as that of the whole text. A text that holds ``]]>``, which CDATA
+    changes inside of lines, stays whole.
+    """
+    return F.when(F.contains(text, F.lit("]]>")), text).otherwise(F.regexp_replace(text, F.lit(_INSIDE), F.lit("")))

@@ -1,14 +1,19 @@
+import random
+
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
 import pyarrow as pa
 
+from sheafspark.functions.text import number_lines
 from sheafspark.functions.tokens import slices
-from sheafspark.functions.tokens import Vocabulary, _counter, token_counter
+from sheafspark.functions.tokens import Vocabulary, _counter, line_ends, token_counter
 from sheafspark.operators import document, tokens
+from sheafspark.operators.entries import entry_xml
 from sheafspark.options import BundleOptions
 from sheafspark.plans.pack import entries_of, pack
+from sheafspark.schemas import FILES
 from sheafspark.session import shared_dir
 
 PATTERN = public_tokenizers.PATTERN
@@ -107,6 +112,53 @@ def test_comparison_and_overhead(spark, make_files):
     assert row.plain_tokens == got["byte_bpe_50k"][1] < row.numbered_tokens < row.packed_tokens
 
 
+def test_overhead_is_that_of_the_whole_forms(spark, make_files):
+    """Counts taken from the ends of lines are those of whole numbered and packed texts, whatever stands where lines are cut."""
+    rng = random.Random(7)
+    signs = ["a", "Wort", "é", "日本", "12", "don't", "'s", ".", "]]>", "]]", ">", "<&", " ", " ", "  ", "\t", "\n", "\n\n", "\r\n", "\r", "\u00a0", "\u2028", "\u0085", END, "\U0001f600"]
+    contents = {f"{i}.txt": "".join(rng.choices(signs, k=rng.randrange(1, 60))) for i in range(400)}
+    contents |= {"long line": "word " * 2000, "s": "a b c\nd e f", "no space": "x" * 500, **{f"t{i}": t for i, t in enumerate(TEXTS) if t}}
+    rows = spark.createDataFrame([(path, path, len(t.encode()), bytearray(t.encode()), None) for path, t in contents.items()], FILES)
+    entries = entries_of(rows, BundleOptions(exclude=()))
+    forms = entries.where("disposition = 'text'").select(
+        "bundle_id", F.col("body"), number_lines(F.col("body")).alias("numbered"), F.concat(F.lit("\n    "), entry_xml()).alias("packed")
+    )
+    for special in ("all", "none"):
+        count = _counter(RANKS, special)
+        want = {r.bundle_id: tuple(count([r.body, r.numbered, r.packed])) for r in forms.collect()}
+        got = {r.bundle_id: (r.plain_tokens, r.numbered_tokens, r.packed_tokens) for r in tokens.token_overhead(entries, RANKS, special).collect()}
+        assert got == want and len(want) > 400
+
+
+def test_overhead_encodes_the_inside_of_lines_once(spark, make_files, monkeypatch):
+    text = "one two three four five six seven\n" * 50
+    entries = entries_of(make_files({"a": text}), BundleOptions(exclude=()))
+    seen = []
+
+    def counter(vocabulary, special):
+        def lengths(column):
+            seen.append(column)
+            return F.length(column).cast("bigint")
+
+        return lengths
+
+    monkeypatch.setattr(tokens, "token_counter", counter)
+    for vocabulary in (RANKS, JSON):
+        seen.clear()
+        row = tokens.token_overhead(entries, vocabulary).first()
+        # Lengths add up as tokens do.
+        assert (row.plain_tokens, row.numbered_tokens) == (len(text), len(text) + 50 * len("12  "))
+        assert len(seen) == (4 if vocabulary.cuttable else 3)
+    ends = spark.createDataFrame([(text,), ("a b]]>c d e\n",), ("",)], "t string").select(line_ends(F.col("t"))).collect()
+    assert [r[0] for r in ends] == ["one\n" * 50, "a b]]>c d e\n", ""]
+
+
+def test_only_known_patterns_are_cut():
+    assert RANKS.cuttable and not JSON.cuttable and not PIECES.cuttable
+    assert not Vocabulary("x", "tiktoken", RANKS.path, JOINING).cuttable
+    assert not Vocabulary("x", "tiktoken", RANKS.path, PATTERN, (("a b", 1),)).cuttable
+
+
 def test_encoders_get_few_texts_at_a_time():
     """A batch is handed on in runs of bounded bytes; nulls and a text above the bound have their places."""
     texts = pa.array(["a" * 100, None, "b" * 150, "é" * 400, "", None, "c" * 250, "d"])
